@@ -61,11 +61,11 @@ LOGIN = "Customer#000000011"
 
 def plain(df: DataFrame) -> DataFrame:
     """Times as text."""
-    return df.select(
+    return df.selectExpr(
         *[
-            F.date_format(f.name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(f.name)
+            f"date_format({f.name}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS {f.name}"
             if isinstance(f.dataType, T.TimestampType)
-            else F.col(f.name)
+            else f"`{f.name}`"
             for f in df.schema.fields
         ]
     )

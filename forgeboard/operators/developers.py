@@ -19,6 +19,8 @@ PROFILE_COLUMNS = [
     "updated_at", "company", "hide", "is_admin",
 ]
 PROFILE_RAW = ["login", "company", "hide", "is_admin"]
+# Totals of an owner that may have no repository.
+KNOWN_TOTALS = ["CAST(coalesce(stars, 0) AS INT) AS stars", "CAST(coalesce(forks, 0) AS INT) AS forks"]
 NESTED_ROWS = 10_000
 
 
@@ -52,10 +54,10 @@ def popular_devs(
         .limit(limit)
     )
     shown = ["login", "name", "company", "avatar_url", "followers", "public_repos"]
-    return ranked.select(
+    return ranked.selectExpr(
         *defaulted(USER, shown, raw=["login", "company"]),
-        F.col("stars").cast("int").alias("stars"),
-        F.col("forks").cast("int").alias("forks"),
+        "CAST(stars AS INT) AS stars",
+        "CAST(forks AS INT) AS forks",
         *defaulted(USER, ["type"]),
     )
 
@@ -69,10 +71,8 @@ def user_profiles(
     only the one owner.
     """
     totals = owner_totals(repos) if totals is None else totals
-    return users.join(totals, F.col("owner") == F.col("login"), "left").select(
-        *defaulted(USER, PROFILE_COLUMNS, raw=PROFILE_RAW),
-        F.coalesce("stars", F.lit(0)).cast("int").alias("stars"),
-        F.coalesce("forks", F.lit(0)).cast("int").alias("forks"),
+    return users.join(totals, F.col("owner") == F.col("login"), "left").selectExpr(
+        *defaulted(USER, PROFILE_COLUMNS, raw=PROFILE_RAW), *KNOWN_TOTALS
     )
 
 
@@ -85,7 +85,7 @@ def get_user(
 
 def repo_listing(repos: DataFrame) -> DataFrame:
     """Every repository with read defaults."""
-    return repos.select(*defaulted(REPO, REPO.names, raw=["owner", "name"]))
+    return repos.selectExpr(*defaulted(REPO, REPO.names, raw=["owner", "name"]))
 
 
 def listing_order() -> list[Column]:

@@ -55,15 +55,13 @@ def leaders(repos: DataFrame, users: DataFrame, k: int = 3) -> DataFrame:
         .withColumn("rownum", F.row_number().over(best_first).cast("bigint"))
         .filter(F.col("rownum") <= k)
     )
-    people = users.select(
-        F.col("login").alias("owner"),
-        F.coalesce("name", F.lit("")).alias("display_name"),
-        F.coalesce("type", F.lit("")).alias("type"),
+    people = users.selectExpr(
+        "login AS owner", "coalesce(name, '') AS display_name", "coalesce(type, '') AS type"
     )
     return (
         ranked.join(totals, ["lang_key", "owner"])
         .join(people, "owner")
-        .select(
+        .selectExpr(
             "lang_key",
             "owner",
             *defaulted(REPO, BOARD_REPO_COLUMNS, raw=["name"]),

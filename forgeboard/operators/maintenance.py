@@ -43,15 +43,13 @@ def upsert_users(target: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     latest = last_arrival(incoming, USER_KEY).alias("i")
     joined = target.alias("t").join(latest, F.col("t.login") == F.col("i.login"), "full_outer")
-    arrived = F.col("i.login").isNotNull()
-    existed = F.col("t.login").isNotNull()
 
-    def next_value(name: str) -> Column:
+    def next_value(name: str) -> str:
         if name in MODERATION_FLAGS:
-            return F.when(existed, F.col(f"t.{name}")).otherwise(F.lit(False))
-        return F.when(arrived, F.col(f"i.{name}")).otherwise(F.col(f"t.{name}"))
+            return f"IF(t.login IS NOT NULL, t.{name}, false) AS {name}"
+        return f"IF(i.login IS NOT NULL, i.{name}, t.{name}) AS {name}"
 
-    return joined.select(*[next_value(f.name).cast(f.dataType).alias(f.name) for f in USER.fields])
+    return joined.selectExpr(*[next_value(name) for name in USER.names])
 
 
 def upsert_repos(target: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from forgeboard.functions.defaults import defaulted
 from forgeboard.functions.text import contains, contains_folded
-from forgeboard.operators.developers import repo_listing
+from forgeboard.operators.developers import KNOWN_TOTALS, repo_listing
 from forgeboard.operators.totals import owner_totals
 from forgeboard.sources.schema import USER
 
@@ -25,10 +25,8 @@ def search_users(
     return (
         users.filter(contains(F.col("login"), term))
         .join(totals, F.col("owner") == F.col("login"), "left")
-        .select(
-            *defaulted(USER, [*shown, "hide", "is_admin"], raw=["login", "hide", "is_admin"]),
-            F.coalesce("stars", F.lit(0)).cast("int").alias("stars"),
-            F.coalesce("forks", F.lit(0)).cast("int").alias("forks"),
+        .selectExpr(
+            *defaulted(USER, shown, raw=["login"]), "hide", "is_admin", *KNOWN_TOTALS
         )
         .orderBy(F.desc("stars"), F.asc("login"))
         .limit(limit)

@@ -98,37 +98,40 @@ class Normalized(NamedTuple):
     rejects: DataFrame
 
 
-def _int32(name: str) -> Column:
+def _int32(name: str) -> str:
     """A count in 32 bits; one beyond that range wraps around as it does at the source."""
-    low = F.pmod(F.col(name), F.lit(2**32))
-    return F.when(low < 2**31, low).otherwise(low - 2**32).cast("int")
+    low = f"pmod({name}, 4294967296)"
+    return f"CAST(IF({low} < 2147483648, {low}, {low} - 4294967296) AS INT)"
 
 
 def _judge(
     payload: DataFrame,
     schema: T.StructType,
-    key: dict[str, tuple[Column, str]],
-    set_columns: dict[str, Column],
+    missing: dict[str, tuple[str, str]],
+    filled: dict[str, str],
+    refreshed_at: datetime | str,
 ) -> DataFrame:
-    """Payload rows in table form with a ``reason``, which is NULL for a good row."""
-    corrupt = F.col(CORRUPT).isNotNull() if CORRUPT in payload.columns else F.lit(False)
-    reason = F.when(corrupt, F.lit("malformed payload"))
-    for column, message in key.values():
-        reason = reason.when(column.isNull() | (column == ""), F.lit(message))
-
-    def value(field: T.StructField) -> Column:
-        if field.name in set_columns:
-            column = set_columns[field.name]
-        elif field.name in key:
-            column = key[field.name][0]
-        elif isinstance(field.dataType, T.IntegerType):
-            column = _int32(field.name)
-        else:
-            column = F.col(field.name)
-        return column.cast(field.dataType).alias(field.name)
+    """Payload rows in table form with a ``reason``, which is NULL for a good row.
 
+    ``missing`` gives each key column its payload field and what to say when
+    that is absent or empty; ``filled`` the columns a payload does not decide.
+    """
+    cases = [f"WHEN {CORRUPT} IS NOT NULL THEN 'malformed payload'"] if CORRUPT in payload.columns else []
+    cases += [f"WHEN coalesce({field}, '') = '' THEN '{say}'" for field, say in missing.values()]
+
+    def value(field: T.StructField) -> str:
+        name = field.name
+        if name in filled:
+            return f"{filled[name]} AS {name}"
+        if name in missing:
+            return f"{missing[name][0]} AS {name}"
+        return f"{_int32(name)} AS {name}" if isinstance(field.dataType, T.IntegerType) else name
+
+    stamp = F.col(refreshed_at) if isinstance(refreshed_at, str) else F.lit(refreshed_at)
     kept = [c for c in (ARRIVAL,) if c in payload.columns]
-    return payload.select(*[value(f) for f in schema.fields], *kept, reason.alias("reason"))
+    return payload.withColumn("refreshed_at", stamp.cast("timestamp")).selectExpr(
+        *[value(f) for f in schema.fields], *kept, f"CASE {' '.join(cases)} END AS reason"
+    )
 
 
 def split(judged: DataFrame, key: list[str]) -> Normalized:
@@ -139,20 +142,13 @@ def split(judged: DataFrame, key: list[str]) -> Normalized:
     )
 
 
-def _stamp(refreshed_at: datetime | str) -> Column:
-    return F.col(refreshed_at) if isinstance(refreshed_at, str) else F.lit(refreshed_at)
-
-
 def judge_users(payload: DataFrame, refreshed_at: datetime | str) -> DataFrame:
     return _judge(
         payload,
         USER,
-        {"login": (F.col("login"), "user missing login")},
-        {
-            "company": F.coalesce("company", F.lit("")),
-            "refreshed_at": _stamp(refreshed_at),
-            **{flag: F.lit(False) for flag in MODERATION_FLAGS},
-        },
+        {"login": ("login", "user missing login")},
+        {"company": "coalesce(company, '')", **{flag: "false" for flag in MODERATION_FLAGS}},
+        refreshed_at,
     )
 
 
@@ -160,11 +156,9 @@ def judge_repos(payload: DataFrame, refreshed_at: datetime | str) -> DataFrame:
     return _judge(
         payload,
         REPO,
-        {
-            "owner": (F.col("owner.login"), "repo missing owner"),
-            "name": (F.col("name"), "repo missing name"),
-        },
-        {"refreshed_at": _stamp(refreshed_at)},
+        {"owner": ("owner.login", "repo missing owner"), "name": ("name", "repo missing name")},
+        {},
+        refreshed_at,
     )
 
 

@@ -60,6 +60,12 @@ USER_BOUNDED = ["login", "type", "name"]
 REPO_BOUNDED = ["owner", "name", "language"]
 
 
+def _sql_literal(value: object) -> str:
+    if value is None:
+        return "NULL"
+    return str(value).lower() if isinstance(value, bool) else "'" + str(value).replace("'", "\\'") + "'"
+
+
 def evolve(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
     """Bring ``df`` to ``schema``: add absent columns with their default.
 
@@ -67,15 +73,15 @@ def evolve(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | No
     nothing.
     """
     defaults = ADDED_DEFAULTS if defaults is None else defaults
-    present = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in present else F.lit(defaults.get(f.name)))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    present = {f.name: f.dataType for f in df.schema.fields}
+
+    def column(field: T.StructField) -> str:
+        if present.get(field.name) == field.dataType:
+            return field.name
+        value = field.name if field.name in present else _sql_literal(defaults.get(field.name))
+        return f"CAST({value} AS {field.dataType.simpleString()}) AS {field.name}"
+
+    return df.selectExpr(*[column(f) for f in schema.fields])
 
 
 def validate_keys(
