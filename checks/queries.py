@@ -464,7 +464,13 @@ def _landing(spark, folder) -> str:
 
 
 def _refreshed(spark, folder) -> Snapshot:
-    landed = land(read_items(spark, _landing(spark, folder)))
+    staging = shared_dir(spark, "staging")
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{staging}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{staging}/{name}")
+
+    landed = land(read_items(spark, _landing(spark, folder)), stage)
     return refresh(_before(spark, folder), landed)
 
 

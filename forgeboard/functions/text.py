@@ -15,6 +15,11 @@ def same_folded(column: Column, value: str) -> Column:
     return F.lower(column) == F.lower(F.lit(value))
 
 
+def collated(name: str, collation: str | None) -> Column:
+    """A sort key for a text column: binary order, or that of a named collation."""
+    return F.col(name) if collation is None else F.collate(F.col(name), collation)
+
+
 def contains_pattern(term: str) -> str:
     r"""LIKE pattern for "holds ``term``", with ``%`` and ``_`` left live.
 

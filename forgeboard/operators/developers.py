@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from forgeboard.functions.defaults import defaulted
 from forgeboard.functions.params import sort_key
-from forgeboard.functions.text import contains_folded, same_folded
+from forgeboard.functions.text import collated, contains_folded, same_folded
 from forgeboard.operators.totals import owner_totals
 from forgeboard.sources.schema import REPO, USER
 
@@ -88,18 +88,26 @@ def repo_listing(repos: DataFrame) -> DataFrame:
     return repos.selectExpr(*defaulted(REPO, REPO.names, raw=["owner", "name"]))
 
 
-def listing_order() -> list[Column]:
+def listing_order(collation: str | None = None) -> list[Column]:
     """Language, stars downwards, name; the owner parts names that differ only by owner case."""
-    return [F.asc("language"), F.desc("stargazers_count"), F.asc("name"), F.asc("owner")]
+    return [
+        F.asc(collated("language", collation)),
+        F.desc("stargazers_count"),
+        F.asc(collated("name", collation)),
+        F.asc("name"),
+        F.asc("owner"),
+    ]
 
 
-def repos_for_user(repos: DataFrame, login: str) -> DataFrame:
+def repos_for_user(repos: DataFrame, login: str, collation: str | None = None) -> DataFrame:
     """Repositories of an owner, matched without case.
 
     Sorted by the shown language and stars. The repository name in the sort
     key lets the range exchange split even one owner's one language.
     """
-    return repo_listing(repos.filter(same_folded(F.col("owner"), login))).orderBy(*listing_order())
+    return repo_listing(repos.filter(same_folded(F.col("owner"), login))).orderBy(
+        *listing_order(collation)
+    )
 
 
 class Profile(NamedTuple):

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from forgeboard.functions.defaults import defaulted
 from forgeboard.functions.params import page_bounds
-from forgeboard.functions.text import same_folded
+from forgeboard.functions.text import collated, same_folded
 from forgeboard.sources.schema import REPO
 
 BOARD_REPO_COLUMNS = [
@@ -73,12 +73,24 @@ def leaders(repos: DataFrame, users: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
-def language_leaders(repos: DataFrame, users: DataFrame, lang: str, k: int = 3) -> DataFrame:
-    """Leaders of one language, matched without case, best total first."""
-    return (
-        leaders(repos.filter(same_folded(F.col("language"), lang)), users, k)
-        .drop("lang_key")
-        .orderBy(F.desc_nulls_first("total_stars"), F.asc("owner"), F.asc("rownum"))
+def leaders_of(repos: DataFrame, users: DataFrame, lang: str, k: int = 3) -> DataFrame:
+    """Leaders of one language, matched without case, unordered."""
+    return leaders(repos.filter(same_folded(F.col("language"), lang)), users, k).drop("lang_key")
+
+
+def language_leaders(
+    repos: DataFrame, users: DataFrame, lang: str, k: int = 3, collation: str | None = None
+) -> DataFrame:
+    """Leaders of one language, best total first.
+
+    Owners of equal total follow in binary order, or in that of a
+    ``collation`` such as ``UNICODE``.
+    """
+    return leaders_of(repos, users, lang, k).orderBy(
+        F.desc_nulls_first("total_stars"),
+        F.asc(collated("owner", collation)),
+        F.asc("owner"),
+        F.asc("rownum"),
     )
 
 
@@ -124,7 +136,7 @@ def language_page(
     reads only the pieces that hold the page (``plans.leaderboards``).
     """
     limit, offset = page_bounds(limit, offset)
-    owners = by_owner(language_leaders(repos, users, lang))
+    owners = by_owner(leaders_of(repos, users, lang))
     page = (
         owners.orderBy(F.desc_nulls_first("count"), F.asc("owner")).offset(offset).limit(limit)
     )

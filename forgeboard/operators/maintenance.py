@@ -6,7 +6,7 @@ table. None of them writes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,14 +20,11 @@ def last_arrival(df: DataFrame, key: list[str]) -> DataFrame:
 
     Testing for the first row number lets every input task drop all but one
     row of a key before the shuffle, however often the key was copied.
-    Rows that tie are told apart by their content, so reruns agree.
+    Rows that tie are told apart by a hash of their content, so reruns agree.
     """
-    order: list[Column] = []
-    if ARRIVAL in df.columns:
-        order.append(F.desc_nulls_last(ARRIVAL))
-    if "refreshed_at" in df.columns:
-        order.append(F.desc_nulls_last("refreshed_at"))
-    order.append(F.desc(F.struct(*[c for c in df.columns if c not in (ARRIVAL, "refreshed_at")])))
+    timed = [c for c in (ARRIVAL, "refreshed_at") if c in df.columns]
+    content = F.xxhash64(*[c for c in df.columns if c not in timed])
+    order = [*[F.desc_nulls_last(c) for c in timed], F.desc(content)]
     return (
         df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
         .filter("_n = 1")
@@ -35,28 +32,56 @@ def last_arrival(df: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def _without(target: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``target`` whose key is not among ``keys``.
+
+    Only the key columns of the changes are read and moved. When their size
+    is known to be small they are broadcast and the target stays in place;
+    else both sides meet on the full key, which no hot owner can skew.
+    """
+    return target.join(keys.select(*key).distinct(), key, "left_anti").select(*target.columns)
+
+
 def upsert_users(target: DataFrame, incoming: DataFrame) -> DataFrame:
     """Update by login, insert where absent.
 
     An incoming row replaces every payload column, with NULL where it holds
     NULL. The moderation flags stay as they are, and start out false.
     """
-    latest = last_arrival(incoming, USER_KEY).alias("i")
-    joined = target.alias("t").join(latest, F.col("t.login") == F.col("i.login"), "full_outer")
+    flags = target.selectExpr("login AS _login", *[f"{c} AS _{c}" for c in MODERATION_FLAGS])
 
     def next_value(name: str) -> str:
         if name in MODERATION_FLAGS:
-            return f"IF(t.login IS NOT NULL, t.{name}, false) AS {name}"
-        return f"IF(i.login IS NOT NULL, i.{name}, t.{name}) AS {name}"
+            return f"IF(_login IS NOT NULL, _{name}, false) AS {name}"
+        return name
 
-    return joined.selectExpr(*[next_value(name) for name in USER.names])
+    arrived = (
+        last_arrival(incoming, USER_KEY)
+        .join(flags, F.col("login") == F.col("_login"), "left")
+        .selectExpr(*[next_value(name) for name in USER.names])
+    )
+    kept = _without(target.select(*USER.names), incoming, USER_KEY)
+    return kept.unionByName(arrived)
 
 
 def upsert_repos(target: DataFrame, incoming: DataFrame) -> DataFrame:
     """Replace whole rows by (owner, name), insert where absent."""
-    latest = last_arrival(incoming, REPO_KEY).select(*REPO.names)
-    kept = target.select(*REPO.names).join(latest.select(*REPO_KEY), REPO_KEY, "left_anti")
-    return kept.unionByName(latest)
+    kept = _without(target.select(*REPO.names), incoming, REPO_KEY)
+    return kept.unionByName(last_arrival(incoming, REPO_KEY).select(*REPO.names))
+
+
+def _stale(repos: DataFrame, refreshed_owners: DataFrame, how: str) -> DataFrame:
+    """Repositories that a complete, later listing of their owner no longer showed, or the others.
+
+    The listings are reduced to one row per owner first. Should they be too
+    many to broadcast, adaptive execution splits the partition of a hot owner
+    on the repository side and copies that owner's single row.
+    """
+    cutoff = refreshed_owners.groupBy(F.col("owner").alias("_owner")).agg(
+        F.max("started_at").alias("_started_at")
+    )
+    gone = (F.col("owner") == F.col("_owner")) & (F.col("refreshed_at") < F.col("_started_at"))
+    return repos.join(cutoff, gone, how)
 
 
 def prune_stale_repos(repos: DataFrame, refreshed_owners: DataFrame) -> DataFrame:
@@ -66,13 +91,19 @@ def prune_stale_repos(repos: DataFrame, refreshed_owners: DataFrame) -> DataFram
     that ended well, empty listings included. A repository of such an owner
     goes when it was refreshed before the listing began; one never stamped
     stays. If an owner was listed twice the later start counts.
+    """
+    return _stale(repos, refreshed_owners, "left_anti")
 
-    The owner side is reduced to one row per owner first. Should it be too
-    large to broadcast, adaptive execution splits the partition of a hot owner
-    on the repository side and copies that owner's single row.
+
+def replace_repos(target: DataFrame, incoming: DataFrame, refreshed_owners: DataFrame) -> DataFrame:
+    """``prune_stale_repos(upsert_repos(target, incoming), refreshed_owners)`` in one pass.
+
+    The join on the owner, which a hot owner skews, sees three narrow columns
+    and yields keys. Whole target rows move once, matched by their full key
+    against the keys that arrived and the keys that went stale.
     """
-    cutoff = refreshed_owners.groupBy(F.col("owner").alias("_owner")).agg(
-        F.max("started_at").alias("_started_at")
-    )
-    stale = (F.col("owner") == F.col("_owner")) & (F.col("refreshed_at") < F.col("_started_at"))
-    return repos.join(cutoff, stale, "left_anti")
+    stale = _stale(target.select(*REPO_KEY, "refreshed_at"), refreshed_owners, "left_semi")
+    superseded = incoming.select(*REPO_KEY).unionByName(stale.select(*REPO_KEY))
+    kept = _without(target.select(*REPO.names), superseded, REPO_KEY)
+    arrived = last_arrival(incoming, REPO_KEY).select(*REPO.names)
+    return kept.unionByName(prune_stale_repos(arrived, refreshed_owners))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from forgeboard.functions.params import page_bounds
-from forgeboard.operators.languages import LanguagePage, by_owner, language_leaders
+from forgeboard.operators.languages import LanguagePage, by_owner, leaders_of
 from forgeboard.sources.schema import REPO, USER
 from forgeboard.sources.snapshots import SnapshotStore
 
@@ -58,7 +58,7 @@ class Leaderboards:
         snapshot = self.store.read(version)
         order = [F.desc_nulls_first("count"), F.asc("owner")]
         (
-            by_owner(language_leaders(snapshot.repos, snapshot.users, lang))
+            by_owner(leaders_of(snapshot.repos, snapshot.users, lang))
             .repartitionByRange(*order)
             .sortWithinPartitions(*order)
             .withColumn("chunk", F.spark_partition_id())
@@ -83,7 +83,7 @@ class Leaderboards:
     def _owners(self, path: str) -> DataFrame:
         spark = self.store.spark
         nothing = [spark.createDataFrame([], s) for s in (REPO, USER)]
-        schema = by_owner(language_leaders(*nothing, "")).schema
+        schema = by_owner(leaders_of(*nothing, "")).schema
         return spark.read.schema(schema.add("chunk", T.IntegerType())).parquet(f"{path}/owners")
 
     def page(

@@ -9,13 +9,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeboard.operators.maintenance import (
-    prune_stale_repos,
-    upsert_repos,
-    upsert_users,
-)
+from forgeboard.operators.maintenance import replace_repos, upsert_users
 from forgeboard.sources.payload import (
     ARRIVAL,
+    VISITED,
     REPO_PAYLOAD,
     USER_PAYLOAD,
     judge_repos,
@@ -31,9 +28,9 @@ from forgeboard.sources.snapshots import Snapshot, SnapshotStore
 class Landed:
     """What a run brought in.
 
-    ``users`` and ``repos`` are normalized rows. ``listed`` holds
-    ``(owner, started_at)`` for listings that ended well, with or without
-    repositories.
+    ``users`` and ``repos`` are normalized rows of the accounts whose profile
+    came through. ``listed`` holds ``(owner, started_at)`` for their listings
+    that ended well, with or without repositories.
     """
 
     users: DataFrame
@@ -42,19 +39,29 @@ class Landed:
     rejects: DataFrame
 
 
+Stage = Callable[[str, DataFrame], DataFrame]
+
+
 def land(
-    items: DataFrame, stage: Callable[[str, DataFrame], DataFrame] | None = None
+    items: DataFrame, stage: Stage | None = None, candidates: DataFrame | None = None
 ) -> Landed:
     """Sort envelope rows into profiles, repositories and finished listings.
 
-    ``stage`` may write a parsed table and hand back what it reads, so that
-    payloads are parsed once however often the rows are used.
+    An account whose profile failed is passed over with its repositories and
+    its listing, under the name it was visited by. A listing that broke off still brings the rows it got. With
+    ``candidates`` only those logins are visited.
+
+    ``stage`` may write a table and hand back what it reads. Payloads are then
+    parsed once however often the rows are used, and the few accounts to pass
+    over have a known size, so leaving them out moves no repository.
     """
     order = [ARRIVAL] if ARRIVAL in items.columns else []
     stage = stage or (lambda _, df: df)
 
     def bodies(kind: str) -> DataFrame:
-        return items.filter((F.col("kind") == kind) & F.col("ok")).select("fetched_at", "body", *order)
+        return items.filter(
+            (F.col("kind") == kind) & F.col("ok") & F.col("login").isNotNull()
+        ).select(F.col("login").alias(VISITED), "fetched_at", "body", *order)
 
     users = split(
         stage("users", judge_users(parse_body(bodies("profile"), USER_PAYLOAD), "fetched_at")),
@@ -64,37 +71,46 @@ def land(
         stage("repos", judge_repos(parse_body(bodies("repo"), REPO_PAYLOAD), "fetched_at")),
         REPO_KEY,
     )
-    listed = items.filter("kind = 'listing' AND ok").select(
+    listed = items.filter("kind = 'listing' AND ok AND login IS NOT NULL").select(
         F.col("login").alias("owner"), F.col("fetched_at").alias("started_at")
     )
+
+    good = users.rows
+    if candidates is not None:
+        good = good.join(candidates.select(F.col("login").alias(VISITED)), VISITED, "left_semi")
+    named = repos.rows.select(VISITED).union(listed.select("owner")).distinct()
+    passed_over = stage(
+        "passed_over", named.join(good.select(VISITED).distinct(), VISITED, "left_anti")
+    )
+
     no_name = F.lit(None).cast("string").alias("name")
-    unknown = items.filter("kind IS NULL OR kind NOT IN ('profile', 'repo', 'listing')")
+    unknown = items.filter(
+        "kind IS NULL OR login IS NULL OR kind NOT IN ('profile', 'repo', 'listing')"
+    )
     rejects = (
-        users.rejects.select(F.lit("profile").alias("kind"), F.col("login").alias("owner"), no_name, "reason")
+        users.rejects.select(
+            F.lit("profile").alias("kind"), F.col("login").alias("owner"), no_name, "reason"
+        )
         .unionByName(repos.rejects.select(F.lit("repo").alias("kind"), "owner", "name", "reason"))
         .unionByName(
-            unknown.select("kind", F.col("login").alias("owner"), no_name, F.lit("unknown item").alias("reason"))
+            unknown.select(
+                "kind", F.col("login").alias("owner"), no_name, F.lit("unknown item").alias("reason")
+            )
         )
     )
-    return Landed(users.rows, repos.rows, listed, rejects)
-
+    return Landed(
+        good.drop(VISITED),
+        repos.rows.join(passed_over, VISITED, "left_anti").drop(VISITED),
+        listed.join(passed_over, F.col("owner") == F.col(VISITED), "left_anti"),
+        rejects,
+    )
 
-def refresh(snapshot: Snapshot, landed: Landed, candidates: DataFrame | None = None) -> Snapshot:
-    """The next snapshot: users upserted, their repositories upserted, then pruned.
 
-    An account whose profile failed is passed over with its repositories and
-    its listing. A listing that broke off still brings the rows it got but
-    prunes nothing. With ``candidates`` only those logins are visited.
-    """
-    users = landed.users
-    if candidates is not None:
-        users = users.join(candidates.select("login"), "login", "left_semi")
-    visited = users.select(F.col("login").alias("owner")).distinct()
-    repos = landed.repos.join(visited, "owner", "left_semi")
-    listed = landed.listed.join(visited, "owner", "left_semi")
+def refresh(snapshot: Snapshot, landed: Landed) -> Snapshot:
+    """The next snapshot: users upserted, their repositories upserted, then pruned."""
     return Snapshot(
-        upsert_users(snapshot.users, users),
-        prune_stale_repos(upsert_repos(snapshot.repos, repos), listed),
+        upsert_users(snapshot.users, landed.users),
+        replace_repos(snapshot.repos, landed.repos, landed.listed),
     )
 
 
@@ -114,7 +130,7 @@ def run(
     if source is not None and store.has_batch(source, batch):
         return None
     store.log_run(started_at)
-    landed = land(items, store.staged(started_at))
+    landed = land(items, store.staged(started_at), candidates)
     owners = (
         landed.users.select(F.col("login").alias("owner"))
         .unionByName(landed.repos.select("owner"))
@@ -122,6 +138,6 @@ def run(
     )
     touched = store.touched_parts(owners)
     before = store.read(parts=touched)
-    version = store.publish(refresh(before, landed, candidates), touched, source, batch)
+    version = store.publish(refresh(before, landed), touched, source, batch)
     store.keep_rejects(version, landed.rejects)
     return version

@@ -13,6 +13,8 @@ from forgeboard.operators.maintenance import ARRIVAL
 from forgeboard.sources.schema import MODERATION_FLAGS, REPO, REPO_KEY, USER, USER_KEY
 
 CORRUPT = "_corrupt_record"
+# The name an account was visited by, which may differ in case from its login.
+VISITED = "visited"
 _STAMPED = [*MODERATION_FLAGS, "refreshed_at"]
 
 
@@ -128,7 +130,7 @@ def _judge(
         return f"{_int32(name)} AS {name}" if isinstance(field.dataType, T.IntegerType) else name
 
     stamp = F.col(refreshed_at) if isinstance(refreshed_at, str) else F.lit(refreshed_at)
-    kept = [c for c in (ARRIVAL,) if c in payload.columns]
+    kept = [c for c in (ARRIVAL, VISITED) if c in payload.columns]
     return payload.withColumn("refreshed_at", stamp.cast("timestamp")).selectExpr(
         *[value(f) for f in schema.fields], *kept, f"CASE {' '.join(cases)} END AS reason"
     )
