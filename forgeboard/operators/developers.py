@@ -163,6 +163,8 @@ def nested_profile(
         placed = listed.repartitionByRange(parts, *listing_order()).withColumn(
             "part", F.spark_partition_id()
         )
+    # Listed rows differ in the case of their owner at most.
+    placed = placed.withColumn("_login", F.lower("owner"))
     # array_sort orders structs field by field: stars downwards, then name.
     entry = F.struct((-F.col("stargazers_count").cast("bigint")).alias("_rank"), "name", *[
         c for c in names if c != "name"
@@ -171,17 +173,16 @@ def nested_profile(
         F.array_sort(F.collect_list(entry)), lambda e: F.struct(*[e[c].alias(c) for c in names])
     )
     maps = (
-        placed.groupBy("part", "language")
+        placed.groupBy("_login", "part", "language")
         .agg(in_order.alias("rows"))
-        .groupBy("part")
+        .groupBy("_login", "part")
         .agg(F.map_from_entries(F.collect_list(F.struct("language", "rows"))).alias("repos"))
-        .withColumn("_login", F.lit(login))
     )
     no_repos = F.create_map().cast(maps.schema["repos"].dataType)
     user = get_user(users, repos, login, totals)
     return (
         user.select(F.struct(*user.columns).alias("user"))
-        .join(maps, F.col("user.login") == F.col("_login"), "left")
+        .join(maps, F.lower("user.login") == F.col("_login"), "left")
         .select(
             F.coalesce("part", F.lit(0)).alias("part"),
             "user",

@@ -73,15 +73,16 @@ def upsert_repos(target: DataFrame, incoming: DataFrame) -> DataFrame:
 def _stale(repos: DataFrame, refreshed_owners: DataFrame, how: str) -> DataFrame:
     """Repositories that a complete, later listing of their owner no longer showed, or the others.
 
-    The listings are reduced to one row per owner first. Should they be too
-    many to broadcast, adaptive execution splits the partition of a hot owner
-    on the repository side and copies that owner's single row.
+    Should the listings be too many to broadcast, adaptive execution splits
+    the partition of a hot owner on the repository side and copies that
+    owner's listing. It does so only for sides that come straight from a
+    shuffle, which is why the listings are not aggregated here.
     """
-    cutoff = refreshed_owners.groupBy(F.col("owner").alias("_owner")).agg(
-        F.max("started_at").alias("_started_at")
+    listed = refreshed_owners.select(
+        F.col("owner").alias("_owner"), F.col("started_at").alias("_started_at")
     )
     gone = (F.col("owner") == F.col("_owner")) & (F.col("refreshed_at") < F.col("_started_at"))
-    return repos.join(cutoff, gone, how)
+    return repos.join(listed, gone, how)
 
 
 def prune_stale_repos(repos: DataFrame, refreshed_owners: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def prune_stale_repos(repos: DataFrame, refreshed_owners: DataFrame) -> DataFram
     ``refreshed_owners`` holds ``(owner, started_at)``, one row per listing
     that ended well, empty listings included. A repository of such an owner
     goes when it was refreshed before the listing began; one never stamped
-    stays. If an owner was listed twice the later start counts.
+    stays.
     """
     return _stale(repos, refreshed_owners, "left_anti")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgeboard.operators.maintenance import replace_repos, upsert_users
+from forgeboard.session import Stage, shared_dir, stage_in
 from forgeboard.sources.payload import (
     ARRIVAL,
     VISITED,
@@ -39,9 +39,6 @@ class Landed:
     rejects: DataFrame
 
 
-Stage = Callable[[str, DataFrame], DataFrame]
-
-
 def land(
     items: DataFrame, stage: Stage | None = None, candidates: DataFrame | None = None
 ) -> Landed:
@@ -51,12 +48,14 @@ def land(
     its listing, under the name it was visited by. A listing that broke off still brings the rows it got. With
     ``candidates`` only those logins are visited.
 
-    ``stage`` may write a table and hand back what it reads. Payloads are then
-    parsed once however often the rows are used, and the few accounts to pass
-    over have a known size, so leaving them out moves no repository.
+    What is used again is staged, in the shared folder if not said otherwise:
+    payloads are parsed once, and the few accounts to pass over have a known
+    size, so leaving them out moves no repository. The finished listings, one
+    row per owner, are staged as well; adaptive execution can only split a hot
+    owner where both join sides come straight from a shuffle.
     """
     order = [ARRIVAL] if ARRIVAL in items.columns else []
-    stage = stage or (lambda _, df: df)
+    stage = stage or stage_in(shared_dir(items.sparkSession, "staging"))
 
     def bodies(kind: str) -> DataFrame:
         return items.filter(
@@ -101,7 +100,12 @@ def land(
     return Landed(
         good.drop(VISITED),
         repos.rows.join(passed_over, VISITED, "left_anti").drop(VISITED),
-        listed.join(passed_over, F.col("owner") == F.col(VISITED), "left_anti"),
+        stage(
+            "listed",
+            listed.join(passed_over, F.col("owner") == F.col(VISITED), "left_anti")
+            .groupBy("owner")
+            .agg(F.max("started_at").alias("started_at")),
+        ),
         rejects,
     )
 

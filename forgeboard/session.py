@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+Stage = Callable[[str, DataFrame], DataFrame]
 
 # Settings the plans rely on. Joins on an owner can meet a hot owner, which
 # adaptive execution splits; the forced form splits it even when the join
@@ -59,3 +62,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="forgeboard-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def stage_in(folder: str) -> Stage:
+    """Write tables below ``folder`` and hand back what can be read there.
+
+    What was written survives the loss of any executor, is computed once, and
+    has a size the optimizer knows.
+    """
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return stage

@@ -10,7 +10,7 @@ readers of older versions are never disturbed.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from forgeboard.functions.params import ParameterError
 from forgeboard.operators.totals import owner_totals
+from forgeboard.session import Stage, stage_in
 from forgeboard.sources.schema import REPO, RUN, USER, repo_violations, user_violations
 
 TOTALS = T.StructType(
@@ -161,15 +162,9 @@ class SnapshotStore:
             f"{self.root}/runs"
         )
 
-    def staged(self, started_at: datetime) -> Callable[[str, DataFrame], DataFrame]:
-        """Write a run's parsed payloads once and read them back."""
-        folder = f"{self.root}/staging/{started_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-
-        def stage(name: str, df: DataFrame) -> DataFrame:
-            df.write.parquet(f"{folder}/{name}")
-            return self.spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-        return stage
+    def staged(self, started_at: datetime) -> Stage:
+        """Where a run keeps its parsed payloads."""
+        return stage_in(f"{self.root}/staging/{started_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}")
 
     def keep_rejects(self, version: int, rejects: DataFrame) -> None:
         """Payload rows a version could not take, with the reason."""
