@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
 from forgeboard.session import local_session
-from forgeboard.sources.mapping import TABLES
+from checks.mapping import TABLES
 
 
 def _cell(value: object) -> str:

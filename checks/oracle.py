@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-from forgeboard.sources import mapping
+from checks import mapping
 from forgeboard.sources.schema import ADDED_DEFAULTS, REPO, USER
 
 SQL_TYPES = {

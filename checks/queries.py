@@ -27,7 +27,7 @@ from forgeboard.plans.leaderboards import Leaderboards
 from forgeboard.plans.listings import list_devs, list_repos
 from forgeboard.plans.refresh import land, refresh, run
 from forgeboard.session import shared_dir, tune
-from forgeboard.sources import mapping
+from checks import mapping
 from forgeboard.sources.payload import (
     ARRIVAL,
     ENVELOPE,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from forgeboard.session import Stage
 from forgeboard.sources.schema import MODERATION_FLAGS, REPO, REPO_KEY, USER, USER_KEY
 
 ARRIVAL = "arrival"
@@ -96,15 +97,24 @@ def prune_stale_repos(repos: DataFrame, refreshed_owners: DataFrame) -> DataFram
     return _stale(repos, refreshed_owners, "left_anti")
 
 
-def replace_repos(target: DataFrame, incoming: DataFrame, refreshed_owners: DataFrame) -> DataFrame:
+def replace_repos(
+    target: DataFrame,
+    incoming: DataFrame,
+    refreshed_owners: DataFrame,
+    stage: Stage | None = None,
+) -> DataFrame:
     """``prune_stale_repos(upsert_repos(target, incoming), refreshed_owners)`` in one pass.
 
     The join on the owner, which a hot owner skews, sees three narrow columns
     and yields keys. Whole target rows move once, matched by their full key
-    against the keys that arrived and the keys that went stale.
+    against the keys that arrived and the keys that went stale. Where those
+    keys are staged their size is known, and if it is small the target rows
+    do not move for the match at all.
     """
     stale = _stale(target.select(*REPO_KEY, "refreshed_at"), refreshed_owners, "left_semi")
-    superseded = incoming.select(*REPO_KEY).unionByName(stale.select(*REPO_KEY))
+    superseded = incoming.select(*REPO_KEY).unionByName(stale.select(*REPO_KEY)).distinct()
+    if stage is not None:
+        superseded = stage("superseded", superseded)
     kept = _without(target.select(*REPO.names), superseded, REPO_KEY)
     arrived = last_arrival(incoming, REPO_KEY).select(*REPO.names)
     return kept.unionByName(prune_stale_repos(arrived, refreshed_owners))
