@@ -271,6 +271,14 @@ JUDGED = {
 }
 ALLOWED = "(admin OR (action = 'hide' AND actor = target))"
 
+MODERATED = JUDGED | {
+    "asked": JUDGED["asked"].replace(
+        "name AS request", "COALESCE(fork, false) AS hide, name AS arrival"
+    ),
+    "judged": JUDGED["judged"].replace("asked.*", "actor, action, target, asked.hide, arrival"),
+    "allowed": f"SELECT action, target, hide, arrival FROM judged WHERE {ALLOWED}",
+}
+
 ORACLE: dict[str, str] = {
     "popular_languages": _popular("repos"),
     "popular_languages_packages": _popular("packages"),
@@ -427,6 +435,19 @@ ORACLE: dict[str, str] = {
         FROM judged WHERE NOT {ALLOWED}""",
         JUDGED,
     ),
+    "moderated_users": _with(
+        "repos",
+        """SELECT login, COALESCE((SELECT arg_max(a.hide, a.arrival) FROM allowed a
+          WHERE a.action = 'hide' AND a.target = users.login), hide) AS hide, is_admin
+        FROM users WHERE login NOT IN (SELECT target FROM allowed WHERE action = 'delete')""",
+        FILLED | MODERATED,
+    ),
+    "moderated_repos": _with(
+        "repos",
+        """SELECT owner, name, stargazers_count FROM repos
+        WHERE owner NOT IN (SELECT target FROM allowed WHERE action = 'delete')""",
+        FILLED | MODERATED,
+    ),
     "evolve_users": _with(
         "users",
         f"""SELECT {_columns(USER)} FROM (SELECT * REPLACE (false AS hide, false AS is_admin,

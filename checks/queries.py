@@ -25,6 +25,7 @@ from forgeboard.operators import (
 )
 from forgeboard.plans.leaderboards import Leaderboards
 from forgeboard.plans.listings import list_devs, list_repos
+from forgeboard.plans.moderate import moderate
 from forgeboard.plans.refresh import land, refresh, run
 from forgeboard.session import shared_dir, tune
 from checks import mapping
@@ -587,6 +588,30 @@ def authorize_denied(spark, folder):
     return _requests(spark, folder).denied
 
 
+def _moderated(spark, folder):
+    store, _ = _published(spark, folder)
+    asked = mapping.repos(spark, folder).select(
+        F.col("owner").alias("actor"),
+        F.when(F.col("network_count") < 10, "delete").otherwise("hide").alias("action"),
+        F.when(F.col("subscribers_count") < 5, F.col("owner")).otherwise(F.lit(LOGIN)).alias("target"),
+        F.col("fork").eqNullSafe(True).alias("hide"),
+        F.col("name").alias("arrival"),
+    )
+    return store, moderate(store, asked)
+
+
+@query
+def moderated_users(spark, folder):
+    store, outcome = _moderated(spark, folder)
+    return store.read(outcome.version).users.select("login", "hide", "is_admin")
+
+
+@query
+def moderated_repos(spark, folder):
+    store, outcome = _moderated(spark, folder)
+    return store.read(outcome.version).repos.select("owner", "name", "stargazers_count")
+
+
 # -- schema --------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from forgeboard.operators.maintenance import replace_repos, upsert_users
 from forgeboard.session import Stage, shared_dir, stage_in
 from forgeboard.sources.payload import (
     ARRIVAL,
+    TOO_LONG,
     VISITED,
     REPO_PAYLOAD,
     USER_PAYLOAD,
@@ -45,8 +46,10 @@ def land(
     """Sort envelope rows into profiles, repositories and finished listings.
 
     An account whose profile failed is passed over with its repositories and
-    its listing, under the name it was visited by. A listing that broke off still brings the rows it got. With
-    ``candidates`` only those logins are visited.
+    its listing, under the name it was visited by. A listing that broke off
+    still brings the rows it got, and a row that does not fit the table makes
+    its listing one that broke off. With ``candidates`` only those logins are
+    visited.
 
     What is used again is staged, in the shared folder if not said otherwise:
     payloads are parsed once, and the few accounts to pass over have a known
@@ -66,10 +69,8 @@ def land(
         stage("users", judge_users(parse_body(bodies("profile"), USER_PAYLOAD), "fetched_at")),
         USER_KEY,
     )
-    repos = split(
-        stage("repos", judge_repos(parse_body(bodies("repo"), REPO_PAYLOAD), "fetched_at")),
-        REPO_KEY,
-    )
+    judged = stage("repos", judge_repos(parse_body(bodies("repo"), REPO_PAYLOAD), "fetched_at"))
+    repos = split(judged, REPO_KEY)
     listed = items.filter("kind = 'listing' AND ok AND login IS NOT NULL").select(
         F.col("login").alias("owner"), F.col("fetched_at").alias("started_at")
     )
@@ -82,6 +83,9 @@ def land(
         "passed_over", named.join(good.select(VISITED).distinct(), VISITED, "left_anti")
     )
 
+    broke_off = judged.filter(F.col("reason") == TOO_LONG).select(VISITED)
+    without_listing = passed_over.union(broke_off).distinct()
+
     no_name = F.lit(None).cast("string").alias("name")
     unknown = items.filter(
         "kind IS NULL OR login IS NULL OR kind NOT IN ('profile', 'repo', 'listing')"
@@ -102,7 +106,7 @@ def land(
         repos.rows.join(passed_over, VISITED, "left_anti").drop(VISITED),
         stage(
             "listed",
-            listed.join(passed_over, F.col("owner") == F.col(VISITED), "left_anti")
+            listed.join(without_listing, F.col("owner") == F.col(VISITED), "left_anti")
             .groupBy("owner")
             .agg(F.max("started_at").alias("started_at")),
         ),
@@ -110,11 +114,11 @@ def land(
     )
 
 
-def refresh(snapshot: Snapshot, landed: Landed) -> Snapshot:
+def refresh(snapshot: Snapshot, landed: Landed, stage: Stage | None = None) -> Snapshot:
     """The next snapshot: users upserted, their repositories upserted, then pruned."""
     return Snapshot(
         upsert_users(snapshot.users, landed.users),
-        replace_repos(snapshot.repos, landed.repos, landed.listed),
+        replace_repos(snapshot.repos, landed.repos, landed.listed, stage),
     )
 
 
@@ -134,7 +138,8 @@ def run(
     if source is not None and store.has_batch(source, batch):
         return None
     store.log_run(started_at)
-    landed = land(items, store.staged(started_at), candidates)
+    stage = store.staged(started_at)
+    landed = land(items, stage, candidates)
     owners = (
         landed.users.select(F.col("login").alias("owner"))
         .unionByName(landed.repos.select("owner"))
@@ -142,6 +147,9 @@ def run(
     )
     touched = store.touched_parts(owners)
     before = store.read(parts=touched)
-    version = store.publish(refresh(before, landed), touched, source, batch)
+    # Rows kept come from a published version, and rows that arrived were
+    # checked one by one and reduced to one per key.
+    after = refresh(before, landed, stage)
+    version = store.publish(after, touched, source, batch, check=False)
     store.keep_rejects(version, landed.rejects)
     return version

@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forgeboard.operators.maintenance import ARRIVAL
-from forgeboard.sources.schema import MODERATION_FLAGS, REPO, REPO_KEY, USER, USER_KEY
+from forgeboard.sources.schema import (
+    MAX_LENGTH,
+    MODERATION_FLAGS,
+    REPO,
+    REPO_BOUNDED,
+    REPO_KEY,
+    USER,
+    USER_BOUNDED,
+    USER_KEY,
+)
 
 CORRUPT = "_corrupt_record"
 # The name an account was visited by, which may differ in case from its login.
 VISITED = "visited"
+TOO_LONG = "value too long"
 _STAMPED = [*MODERATION_FLAGS, "refreshed_at"]
 
 
@@ -110,16 +120,20 @@ def _judge(
     payload: DataFrame,
     schema: T.StructType,
     missing: dict[str, tuple[str, str]],
+    bounded: list[str],
     filled: dict[str, str],
     refreshed_at: datetime | str,
 ) -> DataFrame:
     """Payload rows in table form with a ``reason``, which is NULL for a good row.
 
     ``missing`` gives each key column its payload field and what to say when
-    that is absent or empty; ``filled`` the columns a payload does not decide.
+    that is absent or empty; ``bounded`` are the columns of limited length and
+    ``filled`` those a payload does not decide.
     """
     cases = [f"WHEN {CORRUPT} IS NOT NULL THEN 'malformed payload'"] if CORRUPT in payload.columns else []
     cases += [f"WHEN coalesce({field}, '') = '' THEN '{say}'" for field, say in missing.values()]
+    long = [f"length({missing.get(c, (c,))[0]}) > {MAX_LENGTH}" for c in bounded]
+    cases.append(f"WHEN {' OR '.join(long)} THEN '{TOO_LONG}'")
 
     def value(field: T.StructField) -> str:
         name = field.name
@@ -149,6 +163,7 @@ def judge_users(payload: DataFrame, refreshed_at: datetime | str) -> DataFrame:
         payload,
         USER,
         {"login": ("login", "user missing login")},
+        USER_BOUNDED,
         {"company": "coalesce(company, '')", **{flag: "false" for flag in MODERATION_FLAGS}},
         refreshed_at,
     )
@@ -159,6 +174,7 @@ def judge_repos(payload: DataFrame, refreshed_at: datetime | str) -> DataFrame:
         payload,
         REPO,
         {"owner": ("owner.login", "repo missing owner"), "name": ("name", "repo missing name")},
+        REPO_BOUNDED,
         {},
         refreshed_at,
     )

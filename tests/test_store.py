@@ -5,10 +5,11 @@ import json
 import pytest
 
 from forgeboard.operators import developers
+from forgeboard.plans.moderate import moderate
 from forgeboard.plans.refresh import land, refresh, run
 from forgeboard.session import shared_dir
 from forgeboard.sources.payload import ENVELOPE, read_items
-from forgeboard.sources.schema import REPO, USER
+from forgeboard.sources.schema import REPO, USER, repo_violations, user_violations
 from forgeboard.sources.snapshots import InvalidSnapshot, Snapshot, SnapshotStore
 from forgeboard.streaming.landing import stream_refresh
 from tests.conftest import at, column, repo
@@ -93,6 +94,7 @@ def test_refresh_rules(spark, store, tmp_path):
     assert store.read(1).repos.count() == 12
     # The pure form gives the same tables.
     pure = refresh(store.read(1), land(items))
+    assert user_violations(after.users).isEmpty() and repo_violations(after.repos).isEmpty()
     assert rows(pure.repos, *REPO.names) == rows(after.repos, *REPO.names)
     assert rows(pure.users, *USER.names) == rows(after.users, *USER.names)
     # The same items once more change nothing.
@@ -101,6 +103,17 @@ def test_refresh_rules(spark, store, tmp_path):
     assert rows(store.read().users, *USER.names) == rows(after.users, *USER.names)
 
 
+def test_a_value_too_long_spoils_its_listing(spark, store, tmp_path):
+    lines = [
+        profile("full", name="n" * 256), *listed("full", "x"),
+        profile("hidden"), *listed("hidden", "x", "n" * 256),
+    ]
+    run(store, read_items(spark, landing(tmp_path, lines)), T1)
+    got = rows(store.read().repos, "owner", "name", "stargazers_count")
+    assert {("full", "x", 10), ("full", "y", 10), ("hidden", "x", 1), ("hidden", "y", 10)} <= set(got)
+    assert column(spark.read.parquet(f"{store.root}/rejects"), "reason") == ["value too long"] * 2
+
+
 def test_only_candidates_are_visited(spark, store, make, tmp_path):
     items = read_items(spark, landing(tmp_path))
     run(store, items, T1, candidates=make.frame("login string", ("full",)))
@@ -187,3 +200,29 @@ def test_later_line_wins_within_a_file(spark, store, tmp_path):
 
 def test_envelope_schema():
     assert ENVELOPE.names == ["kind", "login", "fetched_at", "ok", "body"]
+
+
+def test_moderation_of_stored_tables(store, make):
+    asked = make.frame(
+        "actor string, action string, target string, hide boolean, arrival int",
+        ("full", "hide", "full", True, 1),
+        ("full", "hide", "empty", True, 2),
+        ("full", "delete", "full", None, 3),
+        ("chief", "hide", "hidden", False, 4),
+        ("chief", "hide", "nobody", True, 5),
+        ("chief", "delete", "absent", None, 6),
+        ("chief", "delete", "nobody", None, 7),
+    )
+    before = store.read()
+    users = before.users.union(make.users({"login": "chief", "is_admin": True}))
+    store.publish(Snapshot(users, before.repos))
+    version, rejects = moderate(store, asked)
+    after = store.read(version)
+    assert rows(after.users.filter("hide"), "login") == [("full",)]
+    assert "absent" not in column(after.users, "login")
+    assert after.repos.filter("owner = 'absent'").isEmpty() and after.repos.count() == 10
+    assert rows(rejects, "actor", "target", "reason") == [
+        ("chief", "nobody", "affected no users"),
+        ("full", "empty", "Users can only modify themselves"),
+        ("full", "full", "Only admins can delete users"),
+    ]
