@@ -21,9 +21,11 @@ class Hidden(NamedTuple):
 def hide_users(users: DataFrame, requests: DataFrame) -> Hidden:
     """Set ``hide`` for exact logins from ``(login, hide[, arrival])``.
 
-    Among several requests for a login the last one counts.
+    Among several requests for a login the last one counts. A request that
+    does not say whether to hide is turned away.
     """
-    wanted = last_arrival(requests, USER_KEY).select(
+    clear = requests.filter("hide IS NOT NULL")
+    wanted = last_arrival(clear, USER_KEY).select(
         F.col("login").alias("_login"), F.col("hide").alias("_hide")
     )
     shown = users.join(wanted, F.col("login") == F.col("_login"), "left").select(
@@ -34,10 +36,14 @@ def hide_users(users: DataFrame, requests: DataFrame) -> Hidden:
             for c in users.columns
         ]
     )
-    rejects = requests.join(users.select("login"), "login", "left_anti").withColumn(
-        "reason", F.lit("affected no users")
+    unmet = clear.join(users.select("login"), "login", "left_anti")
+    unclear = requests.filter("hide IS NULL")
+    return Hidden(
+        shown,
+        unmet.withColumn("reason", F.lit("affected no users")).unionByName(
+            unclear.withColumn("reason", F.lit("hide is required"))
+        ),
     )
-    return Hidden(shown, rejects)
 
 
 class Remaining(NamedTuple):

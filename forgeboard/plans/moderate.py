@@ -29,9 +29,7 @@ def moderate(store: SnapshotStore, requests: DataFrame) -> Moderated:
     stage = stage_in(shared_dir(store.spark, "moderation"))
     decided = authorize(stage("requests", requests), store.read().users)
     allowed = stage("allowed", decided.allowed)
-    hides = allowed.filter("action = 'hide'").select(
-        F.col("target").alias("login"), "hide", "arrival"
-    )
+    hides = allowed.filter("action = 'hide'").withColumn("login", F.col("target"))
     deletes = allowed.filter("action = 'delete'").select(F.col("target").alias("login"))
     touched = store.touched_parts(allowed.select(F.col("target").alias("owner")))
     before = store.read(parts=touched)
@@ -39,10 +37,8 @@ def moderate(store: SnapshotStore, requests: DataFrame) -> Moderated:
     left = delete_users(hidden.users, before.repos, deletes)
     rejects = stage(
         "rejects",
-        decided.denied.select("actor", "action", "target", "reason").unionByName(
-            allowed.filter("action = 'hide'")
-            .join(hidden.rejects.selectExpr("login AS target", "reason").distinct(), "target")
-            .select("actor", "action", "target", "reason")
+        decided.denied.unionByName(hidden.rejects.drop("login")).select(
+            "actor", "action", "target", "reason"
         ),
     )
     version = store.publish(Snapshot(left.users, left.repos), touched, check=False)

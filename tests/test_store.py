@@ -212,6 +212,7 @@ def test_moderation_of_stored_tables(store, make):
         ("chief", "hide", "nobody", True, 5),
         ("chief", "delete", "absent", None, 6),
         ("chief", "delete", "nobody", None, 7),
+        ("chief", "hide", "broken", None, 8),
     )
     before = store.read()
     users = before.users.union(make.users({"login": "chief", "is_admin": True}))
@@ -222,6 +223,7 @@ def test_moderation_of_stored_tables(store, make):
     assert "absent" not in column(after.users, "login")
     assert after.repos.filter("owner = 'absent'").isEmpty() and after.repos.count() == 10
     assert rows(rejects, "actor", "target", "reason") == [
+        ("chief", "broken", "hide is required"),
         ("chief", "nobody", "affected no users"),
         ("full", "empty", "Users can only modify themselves"),
         ("full", "full", "Only admins can delete users"),
