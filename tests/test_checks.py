@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from checks import compare
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 from tests.conftest import SMALL
 
 
@@ -14,13 +16,14 @@ def db():
     return compare.connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     assert compare.difference(spark, db, name, SMALL) == ""
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
