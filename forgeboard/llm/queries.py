@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forgeboard.llm import bpe, tokens
+from forgeboard.llm import arrowfiles, bpe, packing, tokens
 from forgeboard.llm.frames import table
+from forgeboard.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +17,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = arrowfiles.write(table(spark, sf_dir, "documents"), shared_dir(spark, "arrow-tokens"))
+    return arrowfiles.read_documents(spark, manifest)
+
+
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
+    "op6_minimum_slack_packing": op6_minimum_slack_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op10_arrow_token_files": op10_arrow_token_files,
 }
 ORACLE: dict[str, str] = {}
