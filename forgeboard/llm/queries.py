@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forgeboard.llm import arrowfiles, bpe, packing, tokens
+from forgeboard.llm import arrowfiles, bpe, packing, sharding, tokens, topk
 from forgeboard.llm.frames import table
 from forgeboard.session import shared_dir
 
@@ -17,6 +17,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op9_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = arrowfiles.write(table(spark, sf_dir, "documents"), shared_dir(spark, "arrow-tokens"))
     return arrowfiles.read_documents(spark, manifest)
@@ -32,8 +40,29 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
+    "op4_pivot_top_k": op4_pivot_top_k,
     "op6_minimum_slack_packing": op6_minimum_slack_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_kd_tree_shards": op9_kd_tree_shards,
     "op10_arrow_token_files": op10_arrow_token_files,
 }
-ORACLE: dict[str, str] = {}
+
+ORACLE: dict[str, str] = {
+    "op4_pivot_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+        ),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id
+            WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id,
+            CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+            vec_id, score
+        FROM s
+        QUALIFY rank <= 5
+    """,
+}
