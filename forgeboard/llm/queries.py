@@ -6,17 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forgeboard.llm import arrowfiles, bpe, packing, sharding, tokens, topk
+from forgeboard.llm import arrowfiles, bpe, packing, quality, sharding, tokens, topk, toxicity
 from forgeboard.llm.frames import table
 from forgeboard.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -39,7 +48,9 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_crf_toxicity": op1_crf_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op3_site_quality": op3_site_quality,
     "op4_pivot_top_k": op4_pivot_top_k,
     "op6_minimum_slack_packing": op6_minimum_slack_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
