@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forgeboard.llm import arrowfiles, bpe, packing, quality, sharding, tokens, topk, toxicity
+from forgeboard.llm import arrowfiles, bpe, divergence, packing, quality, sharding, tokens, topk, toxicity
 from forgeboard.llm.frames import table
 from forgeboard.session import shared_dir
 
@@ -30,6 +30,10 @@ def op4_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_site_quality": op3_site_quality,
     "op4_pivot_top_k": op4_pivot_top_k,
+    "op5_distribution_divergence": op5_distribution_divergence,
     "op6_minimum_slack_packing": op6_minimum_slack_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_kd_tree_shards": op9_kd_tree_shards,

@@ -43,8 +43,8 @@ SEQUENCE = 64
 SPACE = 1 << 18
 PREFIXES = (4, 5, 6)
 #: The most toxic documents to learn from (of clean ones twice as many), and the bytes of one.
-SAMPLE = 2000
-SAMPLE_BYTES = 1 << 16
+SAMPLE = 1000
+SAMPLE_BYTES = 1 << 15
 #: Sequences to learn from.
 MOST_SEQUENCES = 8000
 THRESHOLD = 0.7
@@ -91,6 +91,24 @@ def words_of(column: pa.Array) -> Words:
     return Words(np.searchsorted(at, starts, "right") - 1, starts, ends, kinds, features, at)
 
 
+def words_of_sample(texts: list[str]) -> Words:
+    """The same for a sample, taken 1 MB at a time to keep the driver's memory low."""
+    column = pa.array(texts, pa.large_string())
+    parts = [(a, words_of(column.slice(a, b - a))) for a, b in by_bytes(column, 1 << 20)]
+    features = np.concatenate([w.features for _, w in parts])
+    offsets = np.cumsum([0, *(len(w.features) for _, w in parts)])
+    kinds, first = distinct(features[:, 0]) if len(features) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    join = lambda arrays: np.concatenate([*arrays, np.zeros(0, np.int64)])
+    return Words(
+        join([w.text + a for a, w in parts]),
+        join([w.starts for _, w in parts]),
+        join([w.ends for _, w in parts]),
+        kinds[join([w.kinds + o for (_, w), o in zip(parts, offsets)])],
+        features[first],
+        np.zeros(0, np.int64),
+    )
+
+
 def windows(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of each word where rows are sequences of one text's consecutive words."""
     if not len(text):
@@ -159,11 +177,11 @@ def telling(words: Words, toxic: np.ndarray) -> np.ndarray:
     chance would hardly (1 in ten million) have put them all there.
     """
     wide = words.features.shape[1] - 1  # endings tell too little by themselves
-    texts = np.repeat(words.text, wide)
-    found = words.features[words.kinds, :-1].ravel()
-    all_texts, all_found = texts, found
-    key = mix(found) ^ (texts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, first = distinct(key)
+    kinds_in = len(words.features)
+    _, first = distinct(words.text * kinds_in + words.kinds)
+    texts = np.repeat(words.text[first], wide)
+    found = words.features[words.kinds[first], :-1].ravel()
+    _, first = distinct(mix(found) ^ (texts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     texts, found = texts[first], found[first]
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     bad = toxic[texts]
@@ -187,11 +205,14 @@ def telling(words: Words, toxic: np.ndarray) -> np.ndarray:
         chosen.append(best)
         explained[texts[inverse == best]] = True
     # Features after many different words: one that spreads by copies has few.
-    before = np.append(np.uint64(0), words.features[words.kinds[:-1], 0])
-    before[np.append(True, words.text[1:] != words.text[:-1])] = 0
-    here = toxic[all_texts]
-    _, first = distinct(mix(all_found[here]) ^ np.repeat(before, wide)[here])
-    settings = np.bincount(np.searchsorted(kinds, all_found[here][first]), minlength=len(kinds))
+    before = np.append(-1, words.kinds[:-1])
+    before[np.append(True, words.text[1:] != words.text[:-1])] = -1
+    here = np.flatnonzero(toxic[words.text])
+    _, first = distinct(words.kinds[here] * (kinds_in + 1) + before[here] + 1)
+    here = here[first]
+    own = words.features[words.kinds[here], :-1].ravel()
+    _, first = distinct(mix(own) ^ mix(np.repeat(before[here], wide).astype(np.uint64)))
+    settings = np.bincount(np.searchsorted(kinds, own[first]), minlength=len(kinds))
     varied = np.flatnonzero(fit & (settings >= least))
     return kinds[np.union1d(np.asarray(chosen, np.int64), varied)]
 
@@ -201,8 +222,10 @@ def fit(texts: list[str], toxic: list[bool], steps: int = 40, rate: float = 0.35
     blank = Field(np.zeros(SPACE), np.zeros((2, 2)))
     blank.weights[0] = -8.0
     truth = np.asarray(toxic, bool)
-    words = words_of(pa.array(texts, pa.large_string()))
-    if not truth.any() or truth.all() or not len(words.kinds):
+    if not truth.any() or truth.all():
+        return blank
+    words = words_of_sample(texts)
+    if not len(words.kinds):
         return blank
     lexicon = telling(words, truth)
     if not len(lexicon):
