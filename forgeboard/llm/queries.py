@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forgeboard.llm import arrowfiles, bpe, divergence, packing, quality, sharding, tokens, topk, toxicity
+from forgeboard.llm import arrowfiles, bpe, divergence, jaccard, packing, quality, sharding, tokens, topk, toxicity
 from forgeboard.llm.frames import table
 from forgeboard.session import shared_dir
 
@@ -38,6 +38,10 @@ def op6_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_partition_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op4_pivot_top_k": op4_pivot_top_k,
     "op5_distribution_divergence": op5_distribution_divergence,
     "op6_minimum_slack_packing": op6_minimum_slack_packing,
+    "op7_partition_jaccard_join": op7_partition_jaccard_join,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_kd_tree_shards": op9_kd_tree_shards,
     "op10_arrow_token_files": op10_arrow_token_files,
