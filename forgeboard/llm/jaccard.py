@@ -12,8 +12,11 @@ a pool whose one-deletion neighbourhoods are in the index. Every candidate is
 verified on the whole sets.
 
 Sets that agree on a segment are not paired all with all. Each is compared
-with the first of them; once links have been gathered into components, only
-members of different components are compared further.
+with the first of them, then, where several components are left, with one
+more; once links have been gathered into components, only members of
+different components are compared further, and where more than
+``SMALL`` sets share a signature, only those that also share a shingle among
+their rarest (linked sets must, by the overlap they need).
 """
 
 from __future__ import annotations
@@ -41,6 +44,12 @@ from forgeboard.session import Stage, shared_dir, stage_in
 POOL = 24
 #: A segment of at most so many shingles is costly, one of at least so many can be bought.
 COSTLY, FULL = 1, 3
+#: Sets that share a signature are paired directly up to this many.
+SMALL = 32
+#: A shingle is common that more than one in so many of the sets concerned hold.
+RARE = 1000
+#: Rounds in which every signature's sets are compared with one of them only.
+STARS = 3
 #: Roles of a signature.
 INDEX, PROBE, INDEX_LESS, PROBE_LESS = 1, 2, 4, 8
 
@@ -283,6 +292,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def _rarest(crowd: DataFrame, width: int, percent: int) -> DataFrame:
+    """``key, node, n, comp`` for the rarest shingles of every set of ``crowd``.
+
+    A linked set has ``percent`` of a set's shingles at least, so it has one
+    of the first n - ceil(n x percent / 100) + 1 in any order that both use;
+    here those come first that few sets hold. The common ones, less than
+    ``RARE`` times the mean size of a set, go to the tasks as an array.
+    """
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, own in sets_of(batch["text"], width):
+                yield pa.record_batch([pa.array(own.view(np.int64))], names=["key"])
+
+    n = crowd.count()
+    counts = crowd.select("text").mapInArrow(tokens, "key long").groupBy("key").agg(F.count("*").alias("held"))
+    often = counts.filter(F.col("held") > max(4, n // RARE)).select("key").collect() if n else []
+    common = np.sort(np.array([r["key"] for r in often], np.int64).view(np.uint64))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = [], []
+            for i, own in sets_of(batch["text"], width):
+                need = len(own) - -(-len(own) * percent // 100) + 1
+                at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
+                known = common[at] == own if len(common) else np.zeros(len(own), bool)
+                keys.append(own[np.lexsort((own, known))[:need]].view(np.int64))
+                rows.append(np.full(len(keys[-1]), i))
+            if not rows:
+                continue
+            of = pa.array(np.concatenate(rows))
+            yield pa.record_batch(
+                [pa.array(np.concatenate(keys)), *(batch[c].take(of) for c in ("node", "n", "comp"))],
+                names=["key", "node", "n", "comp"],
+            )
+
+    return crowd.select("node", "n", "comp", "text").mapInArrow(first, "key long, node long, n long, comp long")
+
+
 def components(links: DataFrame, stage: Stage, name: str) -> DataFrame:
     """``node, comp``: the smallest node reachable, for every node with a link.
 
@@ -338,25 +386,59 @@ def links(docs: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Data
     tried = stage("tried", starred)
     found = stage("links-1", _verified(tried, texts, width, percent))
 
-    # What lies in different components and was not compared.
-    labels = components(found, stage, "comp-1")
-    members = shared.select("sig", "node", "n", "role").union(
-        shared.select("sig", F.col("first").alias("node"), F.col("first_n").alias("n"), F.col("first_role").alias("role"))
-    ).distinct()
-    labelled = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    members = stage(
+        "members",
+        shared.select("sig", "node", "n", "role")
+        .union(
+            shared.select("sig", F.col("first").alias("node"), F.col("first_n").alias("n"), F.col("first_role").alias("role"))
+        )
+        .distinct(),
+    )
+
+    def labelled_now(step: int) -> DataFrame:
+        labels = components(found, stage, f"comp-1-{step}")
+        return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = ordered(tried)
+    for step in range(2, STARS + 1):
+        # Another member of each signature that still joins several components.
+        labelled = labelled_now(step)
+        other = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("lot"), "node", "n", "comp"))
+        hubs = labelled.groupBy("sig").agg(
+            other.alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
+        ).filter("low < high").select("sig", "hub")
+        fits = F.lit(100) * F.least("n", "hub.n") >= F.lit(percent) * F.greatest("n", "hub.n")
+        pairs = (
+            labelled.join(hubs, "sig")
+            .filter((F.col("comp") != F.col("hub.comp")) & fits)
+            .select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+        )
+        fresh = stage(f"tried-{step}", ordered(pairs).distinct().join(tried, ["a", "b"], "left_anti"))
+        found = found.union(stage(f"links-star-{step}", _verified(fresh, texts, width, percent)))
+        tried = tried.union(fresh)
+
+    # What still lies in different components and was not compared.
+    labelled = labelled_now(0)
     apart = labelled.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     open_rows = stage("open", labelled.join(apart.select("sig"), "sig", "left_semi"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    large = open_rows.groupBy("sig").agg(F.count("*").alias("size")).filter(F.col("size") > SMALL).select("sig")
+    few = open_rows.join(large, "sig", "left_anti").withColumnRenamed("sig", "key")
+    crowd = stage("crowd", open_rows.join(large, "sig", "left_semi").select("node", "n", "comp").distinct())
+    rare = _rarest(crowd.join(texts, "node"), width, percent)
+
+    def cross(rows: DataFrame, more) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
+        fit_sizes = (F.col("y.n") <= F.col("x.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+        return (
+            x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & fit_sizes & more)
+            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        )
+
     probe = F.col("x.role").bitwiseAND(PROBE | PROBE_LESS) > 0
     held = F.col("y.role").bitwiseAND(INDEX | INDEX_LESS) > 0
-    fit_sizes = (F.col("y.n") <= F.col("x.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
-    cross = (
-        x.join(y, F.col("x.sig") == F.col("y.sig"))
-        .filter((F.col("x.comp") != F.col("y.comp")) & probe & held & fit_sizes)
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        .distinct()
-    )
-    rest = stage("rest", cross.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    cross = cross(few, probe & held).union(cross(stage("rare", rare), F.lit(True))).distinct()
+    rest = stage("rest", cross.join(tried, ["a", "b"], "left_anti"))
     more = stage("links-2", _verified(rest, texts, width, percent))
     return sets, found.union(more)
 
