@@ -16,8 +16,11 @@ def sort_key(name: str | None) -> str:
 
 
 def page_bounds(limit: int | None, offset: int | None) -> tuple[int, int]:
-    """Page size and start. Absent or non-positive sizes mean a full page."""
-    limit = PAGE_SIZE if limit is None or limit <= 0 else limit
-    if limit > PAGE_SIZE:
+    """Page size and start. Absent ones mean a full page from the first."""
+    limit = PAGE_SIZE if limit is None else limit
+    offset = 0 if offset is None else offset
+    if not 1 <= limit <= PAGE_SIZE:
         raise ParameterError(f"limit must lie between 1 and {PAGE_SIZE}, got {limit}")
-    return limit, max(offset or 0, 0)
+    if offset < 0:
+        raise ParameterError(f"offset must not be negative, got {offset}")
+    return limit, offset

@@ -120,9 +120,8 @@ class Profile(NamedTuple):
 def _repos_of_known(users: DataFrame, repos: DataFrame, login: str) -> DataFrame:
     """Repositories of ``login`` in any case, none unless the exact login has a profile."""
     known = users.filter(F.col("login") == F.lit(login)).select(F.lower("login").alias("_login"))
-    # A login is a key: its one row is what gets broadcast.
     return repo_listing(repos.filter(same_folded(F.col("owner"), login))).join(
-        known.limit(1), F.lower("owner") == F.col("_login"), "left_semi"
+        known.distinct(), F.lower("owner") == F.col("_login"), "left_semi"
     )
 
 

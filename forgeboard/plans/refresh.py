@@ -12,7 +12,7 @@ from forgeboard.operators.maintenance import replace_repos, upsert_users
 from forgeboard.session import Stage, shared_dir, stage_in
 from forgeboard.sources.payload import (
     ARRIVAL,
-    TOO_LONG,
+    ENDS_LISTING,
     VISITED,
     REPO_PAYLOAD,
     USER_PAYLOAD,
@@ -47,8 +47,8 @@ def land(
 
     An account whose profile failed is passed over with its repositories and
     its listing, under the name it was visited by. A listing that broke off
-    still brings the rows it got, and a row that does not fit the table makes
-    its listing one that broke off. With ``candidates`` only those logins are
+    still brings the rows it got, and a row that cannot be read or does not fit
+    the table makes its listing one that broke off. With ``candidates`` only those logins are
     visited.
 
     What is used again is staged, in the shared folder if not said otherwise:
@@ -83,7 +83,7 @@ def land(
         "passed_over", named.join(good.select(VISITED).distinct(), VISITED, "left_anti")
     )
 
-    broke_off = judged.filter(F.col("reason") == TOO_LONG).select(VISITED)
+    broke_off = judged.filter(F.col("reason").isin(*ENDS_LISTING)).select(VISITED)
     without_listing = passed_over.union(broke_off).distinct()
 
     no_name = F.lit(None).cast("string").alias("name")
@@ -129,11 +129,14 @@ def run(
     candidates: DataFrame | None = None,
     source: str | None = None,
     batch: int | None = None,
+    files: DataFrame | None = None,
 ) -> int | None:
     """Log the run, refresh the parts the items touch, publish; returns the version.
 
     A batch already published under ``source`` is passed over, which makes a
-    replay after a lost driver harmless.
+    replay after a lost driver harmless. ``files`` are the landed files (path
+    and modification time) that the items come from, recorded with the version.
+    Rejects and files are written before the commit and count through it.
     """
     if source is not None and store.has_batch(source, batch):
         return None
@@ -150,6 +153,8 @@ def run(
     # Rows kept come from a published version, and rows that arrived were
     # checked one by one and reduced to one per key.
     after = refresh(before, landed, stage)
-    version = store.publish(after, touched, source, batch, check=False)
-    store.keep_rejects(version, landed.rejects)
-    return version
+    write = store.new_write()
+    store.keep_rejects(write, landed.rejects)
+    if files is not None:
+        store.keep_files(write, files)
+    return store.publish(after, touched, source, batch, check=False, write=write)

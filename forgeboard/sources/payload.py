@@ -25,6 +25,10 @@ CORRUPT = "_corrupt_record"
 # The name an account was visited by, which may differ in case from its login.
 VISITED = "visited"
 TOO_LONG = "value too long"
+MALFORMED = "malformed payload"
+# A row set aside for one of these ends its listing: what it should have said is
+# unknown, so nothing may be pruned on its account.
+ENDS_LISTING = (TOO_LONG, MALFORMED)
 _STAMPED = [*MODERATION_FLAGS, "refreshed_at"]
 
 
@@ -130,7 +134,7 @@ def _judge(
     that is absent or empty; ``bounded`` are the columns of limited length and
     ``filled`` those a payload does not decide.
     """
-    cases = [f"WHEN {CORRUPT} IS NOT NULL THEN 'malformed payload'"] if CORRUPT in payload.columns else []
+    cases = [f"WHEN {CORRUPT} IS NOT NULL THEN '{MALFORMED}'"] if CORRUPT in payload.columns else []
     cases += [f"WHEN coalesce({field}, '') = '' THEN '{say}'" for field, say in missing.values()]
     long = [f"length({missing.get(c, (c,))[0]}) > {MAX_LENGTH}" for c in bounded]
     cases.append(f"WHEN {' OR '.join(long)} THEN '{TOO_LONG}'")
@@ -162,7 +166,7 @@ def judge_users(payload: DataFrame, refreshed_at: datetime | str) -> DataFrame:
     return _judge(
         payload,
         USER,
-        {"login": ("login", "user missing login")},
+        {"login": ("login", "user missing login")},  # fixed value: what callers look for
         USER_BOUNDED,
         {"company": "coalesce(company, '')", **{flag: "false" for flag in MODERATION_FLAGS}},
         refreshed_at,
@@ -173,6 +177,7 @@ def judge_repos(payload: DataFrame, refreshed_at: datetime | str) -> DataFrame:
     return _judge(
         payload,
         REPO,
+        # What callers look for.
         {"owner": ("owner.login", "repo missing owner"), "name": ("name", "repo missing name")},
         REPO_BOUNDED,
         {},

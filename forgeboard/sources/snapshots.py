@@ -46,6 +46,12 @@ COMMIT = T.StructType(
 )
 
 
+REJECTS = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "owner", "name", "reason")])
+FILES = T.StructType([T.StructField("file", T.StringType()), T.StructField("modified", T.TimestampType())])
+#: Names, in a commit, the write that holds a run's rejects and files.
+RUN_ROWS = "run"
+
+
 class InvalidSnapshot(ValueError):
     """Rows that break a key or a required column were about to be published."""
 
@@ -75,7 +81,8 @@ class SnapshotStore:
 
     def _commits(self) -> DataFrame:
         try:
-            return self.spark.read.schema(COMMIT).parquet(f"{self.root}/commits")
+            commits = self.spark.read.schema(COMMIT).option("recursiveFileLookup", "true")
+            return commits.parquet(f"{self.root}/commits")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -166,11 +173,35 @@ class SnapshotStore:
         """Where a run keeps its parsed payloads."""
         return stage_in(f"{self.root}/staging/{started_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}")
 
-    def keep_rejects(self, version: int, rejects: DataFrame) -> None:
+    def new_write(self) -> str:
+        """A name for what is about to be written; it counts once a version names it."""
+        return f"{(self.latest() or 0) + 1:010d}-{uuid.uuid4().hex[:8]}"
+
+    def keep_rejects(self, write: str, rejects: DataFrame) -> None:
         """Payload rows a version could not take, with the reason."""
-        rejects.withColumn("version", F.lit(version)).write.mode("append").parquet(
-            f"{self.root}/rejects"
-        )
+        rejects.write.parquet(f"{self.root}/rejects/write={write}")
+
+    def keep_files(self, write: str, files: DataFrame) -> None:
+        """The landed files that a version took in."""
+        files.select(*FILES.names).write.parquet(f"{self.root}/files/write={write}")
+
+    def _of_versions(self, table: str, schema: T.StructType) -> DataFrame:
+        """Rows written along with versions, without those of writes that came to nothing."""
+        with_write = T.StructType([*schema.fields, T.StructField("write", T.StringType())])
+        try:
+            rows = self.spark.read.schema(with_write).parquet(f"{self.root}/{table}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+        named = self._commits().filter(F.col("table") == RUN_ROWS).select("write")
+        return rows.join(named, "write", "left_semi").select(*schema.names)
+
+    def rejects(self) -> DataFrame:
+        return self._of_versions("rejects", REJECTS)
+
+    def files(self) -> DataFrame:
+        return self._of_versions("files", FILES)
 
     # -- publishing ------------------------------------------------------
 
@@ -207,6 +238,7 @@ class SnapshotStore:
         source: str | None = None,
         batch: int | None = None,
         check: bool = True,
+        write: str | None = None,
     ) -> int:
         """Write the next version and make it visible; returns its number.
 
@@ -222,7 +254,8 @@ class SnapshotStore:
             touched = None
         replaced = set(range(parts)) if touched is None else set(touched)
         version = 1 if before is None else before + 1
-        write = f"{version:010d}-{uuid.uuid4().hex[:8]}"
+        named = write is not None
+        write = write or self.new_write()
         next_layout = {
             name: {p: w for p, w in layout[name].items() if p not in replaced} for name in TABLES
         }
@@ -246,9 +279,12 @@ class SnapshotStore:
             for name, where in next_layout.items()
             for p, w in (sorted(where.items()) or [(None, None)])
         ]
-        # One file, hence one atomic step from the old version to the new.
-        self.spark.createDataFrame(rows, COMMIT).coalesce(1).write.mode("append").parquet(
-            f"{self.root}/commits"
+        if named:
+            rows.append((version, source, batch, parts, RUN_ROWS, None, write))
+        # One file under the version's own name: one step from the old version
+        # to the new, and a second writer of the same version fails.
+        self.spark.createDataFrame(rows, COMMIT).coalesce(1).write.mode("error").parquet(
+            f"{self.root}/commits/{version:010d}"
         )
         return version
 

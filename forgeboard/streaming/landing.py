@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from forgeboard.plans.refresh import run
+from forgeboard.session import shared_dir, stage_in
 from forgeboard.sources.payload import ENVELOPE, arrival_order, file_position
 from forgeboard.sources.snapshots import SnapshotStore
 
@@ -17,29 +18,36 @@ def stream_refresh(
     store: SnapshotStore,
     landing: str,
     checkpoint: str,
-    source: str = "landing",
     files_per_batch: int | None = None,
     once: bool = True,
 ) -> StreamingQuery:
     """Refresh ``store`` from files of envelope lines as they land.
 
     A file holds everything about the accounts in it, since a micro-batch
-    takes whole files. The checkpoint replays an unfinished batch, and the
-    store passes over a batch it has already published.
+    takes whole files. Files are known by path and modification time: those
+    that a version has taken in are passed over, whether the checkpoint replays
+    a batch or a new one starts from the first file.
     """
     spark = store.spark
     reader = spark.readStream.schema(ENVELOPE)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    lines = reader.json(landing).select(*ENVELOPE.names, file_position().alias("stretch"))
+    landed_file = [
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+    ]
+    lines = reader.json(landing).select(*ENVELOPE.names, file_position().alias("stretch"), *landed_file)
 
     def apply(items: DataFrame, batch: int) -> None:
         # Lines are numbered here, where a batch is an ordinary scan of its files.
-        kept = items.select(*ENVELOPE.names, arrival_order(F.col("stretch"))).persist()
-        try:
-            run(store, kept, datetime.now(UTC), source=source, batch=batch)
-        finally:
-            kept.unpersist()
+        stage = stage_in(shared_dir(spark, "landed"))
+        numbered = stage("lines", items.select(*ENVELOPE.names, arrival_order(F.col("stretch")), "file", "modified"))
+        files = numbered.select("file", "modified").distinct()
+        fresh = stage("files", files.join(store.files(), ["file", "modified"], "left_anti"))
+        if fresh.isEmpty():
+            return
+        kept = numbered.join(fresh, ["file", "modified"], "left_semi").drop("file", "modified")
+        run(store, kept, datetime.now(UTC), files=fresh)
 
     writer = lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

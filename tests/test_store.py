@@ -187,9 +187,41 @@ def test_stream_equals_one_run(spark, store, tmp_path):
     # Started again with nothing new, it publishes nothing.
     stream_refresh(store, str(place), checkpoint, files_per_batch=1).awaitTermination()
     assert store.latest() == 3
-    # A lost checkpoint replays both batches, which the store knows.
+    # A lost checkpoint replays both batches, which the store knows by their files.
     stream_refresh(store, str(place), shared_dir(spark, "stream"), files_per_batch=1).awaitTermination()
     assert store.latest() == 3
+    # A fresh checkpoint over another folder starts at batch 0 again and is taken in.
+    other = tmp_path / "other"
+    other.mkdir()
+    landing(other, [profile("full", followers=77)], "1.json")
+    stream_refresh(store, str(other), shared_dir(spark, "stream")).awaitTermination()
+    assert store.latest() == 4
+    assert store.read().users.filter("login = 'full'").first().followers == 77
+
+
+def test_a_row_that_cannot_be_read_prunes_nothing(spark, store, tmp_path):
+    lines = [profile("full"), *listed("full", "x")]
+    cut_off = json.loads(line("repo", "full", body={})) | {"body": '{"name": "y", "owner": {"log'}
+    lines.insert(1, json.dumps(cut_off))
+    before = rows(store.read().repos.filter("owner = 'full'"), "name")
+    run(store, read_items(spark, landing(tmp_path, lines)), T1)
+    assert rows(store.read().repos.filter("owner = 'full'"), "name") == before
+    assert column(store.rejects(), "reason") == ["malformed payload"]
+
+
+def test_rejects_of_a_run_that_failed_do_not_count(spark, store):
+    found = spark.createDataFrame([("repo", "o", "n", "why")], "kind string, owner string, name string, reason string")
+    store.keep_rejects(store.new_write(), found)
+    assert store.rejects().isEmpty()
+
+
+def test_second_writer_of_a_version_fails(spark, store, make):
+    version = store.latest()
+    again = type(store)(spark, store.root)
+    again.latest = lambda: version
+    store.publish(Snapshot(make.users({"login": "a"}), make.repos()))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        again.publish(Snapshot(make.users({"login": "b"}), make.repos()))
 
 
 def test_later_line_wins_within_a_file(spark, store, tmp_path):
