@@ -36,12 +36,12 @@ FOUND = "query_id long, vec_id long, score long"
 
 
 def scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Integer inner products; beyond 64 bits the nearest end of the range."""
+    """Integer inner products; beyond 64 bits 2^63 - 1 with their sign."""
     most = np.abs(query).max(initial=0.0) * np.abs(vectors).max(initial=0.0) * max(1, len(query))
     if most < EXACT:
         return (vectors @ query).astype(np.int64)
     exact = [sum(int(a) * int(b) for a, b in zip(query, row)) for row in vectors]
-    return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in exact], np.int64)
+    return np.array([min(max(s, 1 - (1 << 63)), (1 << 63) - 1) for s in exact], np.int64)
 
 
 def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
