@@ -67,7 +67,7 @@ def test_pages_are_slices(spark, board):
     whole = sorted(whole, key=lambda r: (-r["count"], r.owner))
     want = [(r.owner, r["count"], r.name, [x.name for x in r.repos]) for r in whole]
     assert len(want) == 60 and want[0][3] == ["r4", "r3", "r2"]
-    for limit, offset in [(None, None), (0, -5), (25, 25), (25, 50), (7, 13), (25, 60), (25, 100)]:
+    for limit, offset in [(None, None), (25, 0), (25, 25), (25, 50), (7, 13), (25, 60), (25, 100)]:
         size, start = page_bounds(limit, offset)
         direct = languages.language_page(repos, users, "GO", limit, offset)
         stored = boards.page(1, "Go", limit, offset)
@@ -115,7 +115,10 @@ def test_stored_board_follows_the_version(spark, make):
 
 
 def test_parameters():
-    assert page_bounds(None, None) == page_bounds(0, -1) == (25, 0)
+    assert page_bounds(None, None) == (25, 0)
+    for limit, offset in [(0, 0), (-1, 0), (5, -1)]:
+        with pytest.raises(ParameterError):
+            page_bounds(limit, offset)
     assert page_bounds(3, 4) == (3, 4)
     with pytest.raises(ParameterError):
         page_bounds(26, 0)
