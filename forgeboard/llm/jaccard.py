@@ -270,11 +270,50 @@ def _shared(rows: DataFrame, parts: int) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that are linked. ``texts`` holds one text for each set."""
+def parities(h: np.ndarray) -> bytes:
+    """Bit k says whether an odd number of shingles falls on k; twice as many bits as shingles, or more."""
+    size = max(64, 1 << int(2 * len(h) - 1).bit_length())
+    spread = mix(h ^ np.uint64(0x94D049BB133111EB)) & np.uint64(size - 1)
+    odd = np.bincount(spread.astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart_at_least(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of the symmetric difference of two sets, from their parities.
+
+    Every shingle that only one of them has flips one bit. The longer array
+    folds to the length of the shorter, as lengths are powers of two.
+    """
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    folded = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ folded).sum())
+
+
+def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that may be linked by their parities; no linked pair is left out."""
+    both = pairs.join(bits.toDF("b", "n_b", "bits_b"), "b").join(bits.toDF("a", "n_a", "bits_a"), "a")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            most = bands.difference(batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
+            left, right = batch["bits_a"].to_pylist(), batch["bits_b"].to_pylist()
+            least = np.array([apart_at_least(x, y) for x, y in zip(left, right)], np.int64)
+            keep = pa.array(least <= most)
+            yield pa.record_batch([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
+
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(check, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, bits: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that are linked.
+
+    ``texts`` holds one text for each set, ``bits`` its size and parities.
+    Texts only move for pairs that their parities do not rule out.
+    """
     left = texts.toDF("a", "text_a")
     right = texts.toDF("b", "text_b")
-    both = pairs.join(right, "b").join(left, "a")
+    both = _possible(pairs, bits, percent).join(right, "b").join(left, "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, before = Bands(percent), None
@@ -381,10 +420,20 @@ def links(docs: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Data
         narrow.join(wanted, "doc_id").dropDuplicates(["node"]).select("node", "text"),
     )
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(len(s), parities(s)) for _, s in sets_of(batch["text"], width)]
+            yield pa.record_batch(
+                [batch["node"], pa.array([n for n, _ in own], pa.int64()), pa.array([b for _, b in own], pa.binary())],
+                names=["node", "n", "bits"],
+            )
+
+    bits = stage("bits", texts.mapInArrow(fold, "node long, n long, bits binary"))
+
     near = F.lit(100) * F.least("n", "first_n") >= F.lit(percent) * F.greatest("n", "first_n")
     starred = shared.filter(near).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     tried = stage("tried", starred)
-    found = stage("links-1", _verified(tried, texts, width, percent))
+    found = stage("links-1", _verified(tried, texts, bits, width, percent))
 
     members = stage(
         "members",
@@ -415,7 +464,7 @@ def links(docs: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Data
             .select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
         )
         fresh = stage(f"tried-{step}", ordered(pairs).distinct().join(tried, ["a", "b"], "left_anti"))
-        found = found.union(stage(f"links-star-{step}", _verified(fresh, texts, width, percent)))
+        found = found.union(stage(f"links-star-{step}", _verified(fresh, texts, bits, width, percent)))
         tried = tried.union(fresh)
 
     # What still lies in different components and was not compared.
@@ -439,7 +488,7 @@ def links(docs: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Data
     held = F.col("y.role").bitwiseAND(INDEX | INDEX_LESS) > 0
     cross = cross(few, probe & held).union(cross(stage("rare", rare), F.lit(True))).distinct()
     rest = stage("rest", cross.join(tried, ["a", "b"], "left_anti"))
-    more = stage("links-2", _verified(rest, texts, width, percent))
+    more = stage("links-2", _verified(rest, texts, bits, width, percent))
     return sets, found.union(more)
 
 

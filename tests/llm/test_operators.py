@@ -233,6 +233,16 @@ def test_jaccard(spark, docs, empty):
     assert jaccard.join_components(empty).count() == 0
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, size=int(rng.integers(1, 400)), dtype=np.uint64)
+        a, b = (np.unique(pool[rng.random(len(pool)) < share]) for share in rng.random(2))
+        if len(a) and len(b):
+            assert jaccard.apart_at_least(jaccard.parities(a), jaccard.parities(b)) <= len(np.setxor1d(a, b))
+            assert jaccard.apart_at_least(jaccard.parities(a), jaccard.parities(a)) == 0
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     random.seed(4)
