@@ -92,7 +92,7 @@ def words_of(column: pa.Array) -> Words:
 
 
 def words_of_sample(texts: list[str]) -> Words:
-    """The same for a sample, taken 1 MB at a time to keep the driver's memory low."""
+    """The same for a sample, taken 1 MB at a time to keep memory low."""
     column = pa.array(texts, pa.large_string())
     parts = [(a, words_of(column.slice(a, b - a))) for a, b in by_bytes(column, 1 << 20)]
     features = np.concatenate([w.features for _, w in parts])
@@ -217,19 +217,24 @@ def telling(words: Words, toxic: np.ndarray) -> np.ndarray:
     return kinds[np.union1d(np.asarray(chosen, np.int64), varied)]
 
 
+def blank() -> Field:
+    """A field that finds nothing."""
+    field = Field(np.zeros(SPACE), np.zeros((2, 2)))
+    field.weights[0] = -8.0
+    return field
+
+
 def fit(texts: list[str], toxic: list[bool], steps: int = 40, rate: float = 0.35, decay: float = 1e-3) -> Field:
     """The field from labelled documents; all of them clean or toxic gives one that finds nothing."""
-    blank = Field(np.zeros(SPACE), np.zeros((2, 2)))
-    blank.weights[0] = -8.0
     truth = np.asarray(toxic, bool)
     if not truth.any() or truth.all():
-        return blank
+        return blank()
     words = words_of_sample(texts)
     if not len(words.kinds):
-        return blank
+        return blank()
     lexicon = telling(words, truth)
     if not len(lexicon):
-        return blank
+        return blank()
     kind_label = np.isin(words.features[:, :-1], lexicon).any(axis=1)
     label = kind_label[words.kinds] & truth[words.text]
     row, column = windows(words.text)
@@ -347,13 +352,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     thin = rows.filter(F.when(F.col("toxic") == 1, lot < chance.get(1, 0)).otherwise(lot < chance.get(0, 0)))
     # So few ids go to every task, and no text is shuffled for its label.
     thin = thin.orderBy(lot, "doc_id").limit(6 * sample)
-    order = F.xxhash64("text")
-    taken = []
-    met = texts.join(F.broadcast(thin), "doc_id").select("text", "toxic")
-    for kind in (1, 0):
-        taken += met.filter(F.col("toxic") == kind).orderBy(order, "text").limit(most[kind]).collect()
-    by_text = {r["text"]: bool(r["toxic"]) for r in reversed(taken)}  # toxic if either copy is
-    return fit(list(by_text), list(by_text.values()))
+    met = texts.join(F.broadcast(thin), "doc_id").select("text", "toxic", F.xxhash64("text").alias("lot"))
+    toxic, clean = (
+        met.filter(F.col("toxic") == kind).orderBy("lot", "text").limit(most[kind]) for kind in (1, 0)
+    )
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = [row for batch in batches for row in batch.to_pylist()]
+        taken.sort(key=lambda row: (row["lot"], row["text"]), reverse=True)
+        taken.sort(key=lambda row: row["toxic"])
+        by_text = {row["text"]: bool(row["toxic"]) for row in taken}  # toxic if either copy is
+        field = fit(list(by_text), list(by_text.values()))
+        yield pa.record_batch(
+            [pa.array([x.tobytes()], pa.binary()) for x in (field.weights, field.pairs)], names=["weights", "pairs"]
+        )
+
+    # The sample goes to one task; the driver only sees the weights.
+    learnt = toxic.union(clean).coalesce(1).mapInArrow(train, "weights binary, pairs binary").collect()
+    if not learnt:
+        return blank()
+    return Field(np.frombuffer(learnt[0]["weights"]), np.frombuffer(learnt[0]["pairs"]).reshape(2, 2))
 
 
 def score(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:
