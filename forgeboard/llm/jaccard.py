@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from forgeboard.llm.frames import pick
 from forgeboard.llm.text import (
-    BLOCK_BYTES,
     by_bytes,
     flat,
     mix,
@@ -40,6 +39,8 @@ from forgeboard.llm.text import (
 )
 from forgeboard.session import Stage, shared_dir, stage_in
 
+#: Bytes of text that become sets at a time.
+SET_BYTES = 1 << 20
 #: One in so many segments is in the pool with one-deletion neighbourhoods.
 POOL = 24
 #: A segment of at most so many shingles is costly, one of at least so many can be bought.
@@ -98,7 +99,7 @@ def _key(hashes: np.ndarray) -> int:
 def sets_of(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """Text number and sorted shingle hashes of each text."""
     column = column.cast(pa.large_string()).fill_null("")
-    for start, stop in by_bytes(column, BLOCK_BYTES):
+    for start, stop in by_bytes(column, SET_BYTES):
         text, h = shingles(column.slice(start, stop - start), width)
         bounds = np.searchsorted(text, np.arange(stop - start + 1))
         for i in range(stop - start):
@@ -320,7 +321,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, bits: DataFrame, width: int, p
         for batch in batches:
             a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
             keep = np.zeros(len(a), bool)
-            for start, stop in by_bytes(batch["text_b"]):
+            for start, stop in by_bytes(batch["text_b"], SET_BYTES):
                 own = dict(sets_of(batch["text_b"].slice(start, stop - start), width))
                 for i in range(start, stop):
                     if before is None or before[0] != a[i]:
