@@ -431,8 +431,11 @@ def links(docs: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Data
 
     bits = stage("bits", texts.mapInArrow(fold, "node long, n long, bits binary"))
 
+    # A pair is a candidate only where one of the two probes; most crowded
+    # signatures, such as empty segments, are only in the index.
+    probing = lambda role: F.col(role).bitwiseAND(PROBE | PROBE_LESS) > 0
     near = F.lit(100) * F.least("n", "first_n") >= F.lit(percent) * F.greatest("n", "first_n")
-    starred = shared.filter(near).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    starred = shared.filter(near & (probing("role") | probing("first_role"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     tried = stage("tried", starred)
     found = stage("links-1", _verified(tried, texts, bits, width, percent))
 
@@ -454,10 +457,12 @@ def links(docs: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Data
     for step in range(2, STARS + 1):
         # Another member of each signature that still joins several components.
         labelled = labelled_now(step)
-        other = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("lot"), "node", "n", "comp"))
+        other = F.min(
+            F.struct((~probing("role")).alias("silent"), F.xxhash64("node", F.lit(step)).alias("lot"), "node", "n", "comp")
+        )
         hubs = labelled.groupBy("sig").agg(
             other.alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
-        ).filter("low < high").select("sig", "hub")
+        ).filter("low < high AND NOT hub.silent").select("sig", "hub")
         fits = F.lit(100) * F.least("n", "hub.n") >= F.lit(percent) * F.greatest("n", "hub.n")
         pairs = (
             labelled.join(hubs, "sig")
@@ -470,7 +475,11 @@ def links(docs: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Data
 
     # What still lies in different components and was not compared.
     labelled = labelled_now(0)
-    apart = labelled.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    apart = (
+        labelled.groupBy("sig")
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(probing("role")).alias("probed"))
+        .filter("low < high AND probed")
+    )
     open_rows = stage("open", labelled.join(apart.select("sig"), "sig", "left_semi"))
     large = open_rows.groupBy("sig").agg(F.count("*").alias("size")).filter(F.col("size") > SMALL).select("sig")
     few = open_rows.join(large, "sig", "left_anti").withColumnRenamed("sig", "key")
