@@ -127,7 +127,8 @@ class Bands:
 
     def last(self, band: np.ndarray) -> np.ndarray:
         """The largest size of a band."""
-        self._grow(self._starts[-1])
+        while len(self._starts) < int(np.max(band, initial=0)) + 2:
+            self._grow(self._starts[-1])
         return np.array(self._starts)[band + 1] - 1
 
     def difference(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -233,6 +233,16 @@ def test_jaccard(spark, docs, empty):
     assert jaccard.join_components(empty).count() == 0
 
 
+def test_bands_stay_as_they_are_however_often_they_are_asked():
+    bands = jaccard.Bands(80)
+    band = bands.of(np.array([1, 7, 40, 5000]))
+    first = bands.last(band).tolist()
+    for _ in range(1000):
+        assert bands.last(band).dtype == np.int64
+    assert bands.last(band).tolist() == first
+    assert (bands.of(bands.last(band)) == band).all() and (bands.of(bands.last(band) + 1) == band + 1).all()
+
+
 def test_parities_never_exceed_the_difference():
     rng = np.random.default_rng(7)
     for _ in range(300):
