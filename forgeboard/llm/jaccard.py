@@ -39,8 +39,8 @@ from forgeboard.llm.text import (
 )
 from forgeboard.session import Stage, shared_dir, stage_in
 
-#: Bytes of text that become sets at a time.
-SET_BYTES = 1 << 20
+#: Bytes of text that become sets at a time, and shingles whose signatures are formed at a time.
+SET_BYTES, SIGN_SHINGLES = 1 << 18, 1 << 17
 #: One in so many segments is in the pool with one-deletion neighbourhoods.
 POOL = 24
 #: A segment of at most so many shingles is costly, one of at least so many can be bought.
@@ -197,6 +197,33 @@ def _signatures(
     return owners[use], signs[use], roles[use]
 
 
+def _signed(nodes: np.ndarray, own: list[np.ndarray], bands: Bands, percent: int) -> Iterator[pa.RecordBatch]:
+    """All signatures of these sets."""
+    sizes = np.array([len(s) for s in own], np.int64)
+    owner, h = np.repeat(np.arange(len(nodes)), sizes), np.concatenate(own)
+    band = bands.of(sizes)
+    found = [_signatures(owner, h, sizes, band, bands, True)]
+    # Sets of the band below that are large enough to be linked.
+    below = (band > 0) & (100 * bands.last(np.maximum(band - 1, 0)) >= percent * sizes)
+    if below.any():
+        renumber = np.cumsum(below) - 1
+        part = below[owner]
+        o, s, r = _signatures(renumber[owner[part]], h[part], sizes[below], band[below] - 1, bands, False)
+        found.append((np.flatnonzero(below)[o], s, r))
+    for owners, signs, roles in found:
+        for at in range(0, len(owners), 100_000):
+            o = owners[at : at + 100_000]
+            yield pa.record_batch(
+                [
+                    pa.array(signs[at : at + 100_000].view(np.int64)),
+                    pa.array(nodes[o]),
+                    pa.array(sizes[o]),
+                    pa.array(roles[at : at + 100_000].astype(np.int32)),
+                ],
+                names=["sig", "node", "n", "role"],
+            )
+
+
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``sig, node, n, role`` of all sets; of equal sets in a batch one stands for all."""
 
@@ -209,30 +236,12 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     kept.setdefault(_key(own), own)
             if not kept:
                 continue
-            nodes = np.array(list(kept), np.int64)
             sizes = np.array([len(s) for s in kept.values()], np.int64)
-            owner, h = np.repeat(np.arange(len(nodes)), sizes), np.concatenate(list(kept.values()))
-            band = bands.of(sizes)
-            found = [_signatures(owner, h, sizes, band, bands, True)]
-            # Sets of the band below that are large enough to be linked.
-            below = (band > 0) & (100 * bands.last(np.maximum(band - 1, 0)) >= percent * sizes)
-            if below.any():
-                renumber = np.cumsum(below) - 1
-                part = below[owner]
-                o, s, r = _signatures(renumber[owner[part]], h[part], sizes[below], band[below] - 1, bands, False)
-                found.append((np.flatnonzero(below)[o], s, r))
-            owners, signs, roles = (np.concatenate([f[k] for f in found]) for k in range(3))
-            for at in range(0, len(owners), 100_000):
-                o = owners[at : at + 100_000]
-                yield pa.record_batch(
-                    [
-                        pa.array(signs[at : at + 100_000].view(np.int64)),
-                        pa.array(nodes[o]),
-                        pa.array(sizes[o]),
-                        pa.array(roles[at : at + 100_000].astype(np.int32)),
-                    ],
-                    names=["sig", "node", "n", "role"],
-                )
+            piece = (np.cumsum(sizes) - 1) // SIGN_SHINGLES
+            every, own_sets = np.array(list(kept), np.int64), list(kept.values())
+            for at in np.unique(piece):
+                low, high = np.searchsorted(piece, [at, at + 1])
+                yield from _signed(every[low:high], own_sets[low:high], bands, percent)
 
     return docs.mapInArrow(sign, SIGNATURES)
 
