@@ -1,7 +1,7 @@
 """Token ids of whole texts, with each distinct word encoded once.
 
 A byte-level BPE cuts a text into words and encodes each by itself, so the
-ids of a text are those of its words. The words are found with array
+ids of a text are those of its words. Words are told apart by 64-bit hashes and found with array
 operations; how a word is encoded is left to the ``cold`` function given.
 """
 
@@ -90,35 +90,42 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[str, int] = {}
+        self._known = np.zeros(0, np.uint64)  # sorted hashes of the words in the store
+        self._places = np.zeros(0, np.int64)  # and the place of each
         self._offsets = np.zeros(0, np.int64)
         self._lengths = np.zeros(0, np.int64)
         self._ids = np.zeros(0, self.dtype)
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """The place of each word in the store; new words are encoded."""
+    def _numbers(self, hashes: np.ndarray, word: Callable[[int], str]) -> np.ndarray:
+        """The place of each of these different words in the store; new words are encoded."""
         if len(self._known) > KEPT_WORDS:
             self._forget()
-        known = self._known
-        numbers = [known.get(word, -1) for word in words]
-        fresh = [word for word, number in zip(words, numbers) if number < 0]
-        if fresh:
-            ids, lengths = self.cold(fresh)
-            offsets = len(self._ids) + np.cumsum(lengths) - lengths
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
-            self._ids = np.concatenate([self._ids, ids.astype(self.dtype)])
-            self._offsets = np.concatenate([self._offsets, offsets])
+        at = np.searchsorted(self._known, hashes)
+        held = np.zeros(len(hashes), bool)
+        inside = at < len(self._known)
+        held[inside] = self._known[at[inside]] == hashes[inside]
+        numbers = np.empty(len(hashes), np.int64)
+        numbers[held] = self._places[at[held]]
+        fresh = np.flatnonzero(~held)
+        if len(fresh):
+            ids, lengths = self.cold([word(i) for i in fresh.tolist()])
+            numbers[fresh] = len(self._offsets) + np.arange(len(fresh))
+            self._offsets = np.concatenate([self._offsets, len(self._ids) + np.cumsum(lengths) - lengths])
             self._lengths = np.concatenate([self._lengths, lengths])
-            numbers = [known[word] for word in words]
-        return np.asarray(numbers, np.int64)
+            self._ids = np.concatenate([self._ids, ids.astype(self.dtype)])
+            fresh = fresh[np.argsort(hashes[fresh])]
+            self._known = np.insert(self._known, at[fresh], hashes[fresh])
+            self._places = np.insert(self._places, at[fresh], numbers[fresh])
+        return numbers
 
     def _block(self, column: pa.Array, count_only: bool) -> tuple[np.ndarray | None, np.ndarray]:
         points, at, joined = flat(column)
         starts = word_starts(points, at)
         ends = np.append(starts[1:], len(points)).astype(np.int64)
         # A word also ends where its text does; the next text starts a word there.
-        codes, first = distinct(word_hashes(points, starts, ends))
-        numbers = self._numbers([joined[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
+        hashes = word_hashes(points, starts, ends)
+        codes, first = distinct(hashes)
+        numbers = self._numbers(hashes[first], lambda i: joined[starts[first[i]] : ends[first[i]]])
         lengths = self._lengths[numbers][codes]
         upto = np.zeros(len(lengths) + 1, np.int64)
         np.cumsum(lengths, out=upto[1:])

@@ -12,7 +12,7 @@ import pyarrow as pa
 #: Classes of characters.
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Bytes of text taken at a time; with it go the working arrays of a task.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 
