@@ -15,6 +15,7 @@ SQL_TYPES = {
 }
 LANGUAGE = "2-high"
 LOGIN = "Customer#000000011"
+PAGE_ROWS = 1_000
 FETCHED = "TIMESTAMP '2002-01-01 00:00:00'"
 LISTED = "TIMESTAMP '1998-07-01 00:00:00'"
 
@@ -87,6 +88,19 @@ TOTALS = (
 )
 
 
+def _places(source: str, held: str) -> str:
+    """Repositories of LOGIN, which owns those that ``held`` says, by place in their language."""
+    place = """ROW_NUMBER() OVER (PARTITION BY COALESCE(r.language, '')
+        ORDER BY COALESCE(r.stargazers_count, 0) DESC, r.name) - 1"""
+    return f"""SELECT login, CAST((SELECT SUM(stargazers_count) FROM {source}
+            WHERE {"owner = '" + LOGIN + "'" if held != "TRUE" else held}) AS INTEGER) AS stars,
+        COALESCE(r.language, '') AS language, CAST(floor(({place}) / {PAGE_ROWS}) AS INTEGER) AS page,
+        CAST({place} AS INTEGER) AS place, r.name AS repo,
+        {"r.owner" if held != "TRUE" else "'" + LOGIN + "'"} AS owner,
+        {_shown(REPO, ("owner", "name"), ("owner", "name", "language"), "r.")}
+        FROM users u, (SELECT * FROM {source} WHERE {held}) r WHERE u.login = '{LOGIN}'"""
+
+
 # Stored profiles always say whether they are hidden.
 FILLED = {
     "users": f"SELECT * REPLACE (COALESCE(hide, false) AS hide) FROM ({INPUTS['users']})"
@@ -319,15 +333,8 @@ ORACLE: dict[str, str] = {
         f"""SELECT {REPO_SHOWN} FROM repos WHERE lower(owner) = lower('{LOGIN}')
         AND EXISTS (SELECT 1 FROM users WHERE login = '{LOGIN}')""",
     ),
-    "nested_profile": _with(
-        "users repos",
-        f"""SELECT login, CAST((SELECT SUM(stargazers_count) FROM repos WHERE owner = '{LOGIN}') AS INTEGER) AS stars,
-        COALESCE(language, '') AS language,
-        CAST(ROW_NUMBER() OVER (PARTITION BY COALESCE(language, '')
-          ORDER BY COALESCE(stargazers_count, 0) DESC, repos.name) - 1 AS INTEGER) AS place,
-        repos.name AS repo, COALESCE(stargazers_count, 0) AS stargazers_count
-        FROM users JOIN repos ON lower(owner) = lower(login) WHERE login = '{LOGIN}'""",
-    ),
+    "nested_profile": _with("users repos", _places("repos", f"lower(owner) = lower('{LOGIN}')")),
+    "nested_profile_packages": _with("users packages", _places("packages", "TRUE")),
     "owner_totals": _with("repos", TOTALS.format("repos")),
     "owner_totals_packages": _with("packages", TOTALS.format("packages")),
     "search_users": _search_users("%#0000001%"),

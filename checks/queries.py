@@ -212,16 +212,28 @@ def profile_repos(spark, folder):
     return developers.profile(*model(spark, folder), LOGIN).repos
 
 
+def _places(nested: DataFrame) -> DataFrame:
+    """A row per repository of a nested profile, with its page and place in the language."""
+    rows = nested.select("user.login", "user.stars", "language", "page", F.posexplode("repos").alias("at", "r"))
+    return plain(
+        rows.select(
+            "login", "stars", "language", "page",
+            (F.col("page") * developers.PAGE_ROWS + F.col("at")).alias("place"),
+            F.col("r.name").alias("repo"), *[f"r.{c}" for c in REPO.names if c not in ("name", "language")],
+        )
+    )
+
+
 @query
 def nested_profile(spark, folder):
-    nested = developers.nested_profile(*model(spark, folder), LOGIN)
-    return (
-        nested.select("user.login", "user.stars", F.explode("repos").alias("language", "rows"))
-        .select("login", "stars", "language", F.posexplode("rows").alias("place", "r"))
-        .select(
-            "login", "stars", "language", "place", F.col("r.name").alias("repo"), "r.stargazers_count"
-        )
-    )
+    return _places(developers.nested_profile(*model(spark, folder), LOGIN))
+
+
+@query
+def nested_profile_packages(spark, folder):
+    """All packages under one owner: many pages."""
+    held = mapping.packages(spark, folder).withColumn("owner", F.lit(LOGIN))
+    return _places(developers.nested_profile(mapping.users(spark, folder), held, LOGIN))
 
 
 @query

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forgeboard.functions.defaults import defaulted
 from forgeboard.functions.params import sort_key
 from forgeboard.functions.text import collated, contains_folded, same_folded
 from forgeboard.operators.totals import owner_totals
+from forgeboard.session import shared_dir, stage_in
 from forgeboard.sources.schema import REPO, USER
 
 PROFILE_COLUMNS = [
@@ -21,7 +22,8 @@ PROFILE_COLUMNS = [
 PROFILE_RAW = ["login", "company", "hide", "is_admin"]
 # Totals of an owner that may have no repository.
 KNOWN_TOTALS = ["CAST(coalesce(stars, 0) AS INT) AS stars", "CAST(coalesce(forks, 0) AS INT) AS forks"]
-NESTED_ROWS = 10_000
+# Repositories of a language on one page of a nested profile.
+PAGE_ROWS = 1_000
 
 
 def popular_devs(
@@ -144,47 +146,56 @@ def nested_profile(
     repos: DataFrame,
     login: str,
     totals: DataFrame | None = None,
-    rows_per_part: int = NESTED_ROWS,
+    page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
-    """``(part, user, repos)`` with the repositories as a map from language to list.
-
-    One row for any owner of at most ``rows_per_part`` repositories; no row
-    for an unknown login. A larger owner comes as several rows, each a map
-    over the next stretch of the sorted repositories, so no task ever holds
-    more than a stretch. Joined in ``part`` order they are the whole profile.
+    """``(user, language, page, repos)``: a profile with its repositories by language.
+
+    A page lists up to ``page_rows`` repositories of a language in listing
+    order; the repository at position n of its language is on page
+    n / ``page_rows``, whatever the owner holds. An owner without
+    repositories has one row with an unknown language and an empty list, an
+    unknown login none. The sorted listing is written to the shared folder,
+    as positions need its chunks to stay as they are.
     """
+    stage = stage_in(shared_dir(repos.sparkSession, "profile"))
     listed = _repos_of_known(users, repos, login)
     names = listed.columns
-    parts = -(-listed.count() // rows_per_part)
-    if parts <= 1:
-        placed = listed.withColumn("part", F.lit(0))
-    else:
-        placed = listed.repartitionByRange(parts, *listing_order()).withColumn(
-            "part", F.spark_partition_id()
-        )
-    # Listed rows differ in the case of their owner at most.
-    placed = placed.withColumn("_login", F.lower("owner"))
-    # array_sort orders structs field by field: stars downwards, then name.
-    entry = F.struct((-F.col("stargazers_count").cast("bigint")).alias("_rank"), "name", *[
-        c for c in names if c != "name"
-    ])
-    in_order = F.transform(
-        F.array_sort(F.collect_list(entry)), lambda e: F.struct(*[e[c].alias(c) for c in names])
+    chunks = stage(
+        "chunks",
+        listed.repartitionByRange(*listing_order()).withColumn("_chunk", F.spark_partition_id()),
+    )
+    # One row per chunk and language, so the running sum stays small.
+    earlier = Window.partitionBy("language").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        chunks.groupBy("language", "_chunk")
+        .agg(F.count("*").alias("_rows"))
+        .select("language", "_chunk", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
     )
-    maps = (
-        placed.groupBy("_login", "part", "language")
-        .agg(in_order.alias("rows"))
-        .groupBy("_login", "part")
-        .agg(F.map_from_entries(F.collect_list(F.struct("language", "rows"))).alias("repos"))
+    in_chunk = Window.partitionBy("language", "_chunk").orderBy(*listing_order()[1:])
+    placed = (
+        chunks.withColumn("_n", F.row_number().over(in_chunk) - 1)
+        .join(starts, ["language", "_chunk"])
+        .withColumn("_position", F.col("_start") + F.col("_n"))
+    )
+    entry = F.struct("_position", *names)
+    pages = (
+        # Listed rows differ in the case of their owner at most.
+        placed.groupBy(
+            F.lower("owner").alias("_login"),
+            "language",
+            F.floor(F.col("_position") / page_rows).cast("int").alias("page"),
+        )
+        .agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
+        .withColumn("repos", F.transform("_rows", lambda e: F.struct(*[e[c].alias(c) for c in names])))
     )
-    no_repos = F.create_map().cast(maps.schema["repos"].dataType)
     user = get_user(users, repos, login, totals)
     return (
         user.select(F.struct(*user.columns).alias("user"))
-        .join(maps, F.lower("user.login") == F.col("_login"), "left")
+        .join(pages, F.lower("user.login") == F.col("_login"), "left")
         .select(
-            F.coalesce("part", F.lit(0)).alias("part"),
             "user",
-            F.coalesce("repos", no_repos).alias("repos"),
+            "language",
+            F.coalesce("page", F.lit(0)).alias("page"),
+            F.coalesce("repos", F.array().cast(pages.schema["repos"].dataType)).alias("repos"),
         )
     )

@@ -119,23 +119,28 @@ def test_profile(make):
     repos = make.repos(repo("BOB", "x", 5), repo("bob", "y", None, None), repo("bob", "z", 1, ""))
     assert developers.profile(users, repos, "BOB").repos.count() == 0
     assert developers.nested_profile(users, repos, "BOB").count() == 0
-    row = developers.nested_profile(users, repos, "bob").first()
-    assert {k: [r.name for r in v] for k, v in row.repos.items()} == {"": ["z", "y"], "Go": ["x"]}
-    assert row.user.stars == 1
+    rows = developers.nested_profile(users, repos, "bob").orderBy("language").collect()
+    assert [(r.language, r.page, [e.name for e in r.repos]) for r in rows] == [("", 0, ["z", "y"]), ("Go", 0, ["x"])]
+    assert {r.user.stars for r in rows} == {1}
     idle = developers.nested_profile(users, repos, "idle").collect()
-    assert [(r.part, r.user.login, r.repos) for r in idle] == [(0, "idle", {})]
+    assert [(r.user.login, r.language, r.page, r.repos) for r in idle] == [("idle", None, 0, [])]
 
 
-def test_large_profile_comes_in_stretches(make):
+def test_pages_of_a_profile_follow_one_rule(make):
     users = make.users({"login": "big"})
     repos = make.repos(*[repo("big", f"r{i:03}", i * 7 % 50, f"L{i % 3}") for i in range(200)])
     flat = [(r.language, r.name) for r in developers.profile(users, repos, "big").repos.collect()]
-    parts = developers.nested_profile(users, repos, "big", rows_per_part=20).orderBy("part").collect()
-    assert len(parts) > 3
-    joined = [(k, r.name) for p in parts for k in sorted(p.repos) for r in p.repos[k]]
-    assert joined == flat
-    whole = developers.nested_profile(users, repos, "big").first().repos
-    assert [(k, r.name) for k in sorted(whole) for r in whole[k]] == flat
+    for size in (20, 66, 67, 1000):
+        pages = [
+            developers.nested_profile(users, repos, "big", page_rows=size).orderBy("language", "page").collect()
+            for _ in range(2)
+        ]
+        assert pages[0] == pages[1]
+        assert [(p.language, e.name) for p in pages[0] for e in p.repos] == flat
+        for language in ("L0", "L1", "L2"):
+            held = [len(p.repos) for p in pages[0] if p.language == language]
+            assert held[:-1] == [size] * (len(held) - 1) and 0 < held[-1] <= size
+            assert [p.page for p in pages[0] if p.language == language] == list(range(len(held)))
 
 
 def test_listing_requests(make, three):
