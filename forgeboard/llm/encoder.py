@@ -1,8 +1,9 @@
 """Token ids of whole texts, with each distinct word encoded once.
 
 A byte-level BPE cuts a text into words and encodes each by itself, so the
-ids of a text are those of its words. Words are told apart by 64-bit hashes and found with array
-operations; how a word is encoded is left to the ``cold`` function given.
+ids of a text are those of its words. The words are found with array
+operations and told apart by 64-bit hashes; how a word is encoded is left to
+the ``cold`` function given.
 """
 
 from __future__ import annotations
