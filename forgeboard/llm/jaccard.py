@@ -54,7 +54,7 @@ STARS = 3
 #: Roles of a signature.
 INDEX, PROBE, INDEX_LESS, PROBE_LESS = 1, 2, 4, 8
 
-SETS = "doc_id long, n_shingles long, node long"
+SETS = "doc_id long, row long, n_shingles long, node long"
 SIGNATURES = "sig long, node long, n long, role int"
 
 
@@ -232,7 +232,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
         for batch in batches:
             kept: dict[int, np.ndarray] = {}
             for i, own in sets_of(batch["text"], width):
-                if len(own) and batch["doc_id"][i].is_valid:
+                if len(own) and batch["row"][i].is_valid:
                     kept.setdefault(_key(own), own)
             if not kept:
                 continue
@@ -404,17 +404,24 @@ def components(links: DataFrame, stage: Stage, name: str) -> DataFrame:
         labels = fresh
 
 
-def links(docs: DataFrame, stage: Stage, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Sets of all documents, and links between different sets that suffice for their components."""
-    spark = docs.sparkSession
-    narrow = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def links(narrow: DataFrame, stage: Stage, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sets of all rows ``doc_id, row, text``, and links between different sets that suffice for their components.
+
+    Rows are known by ``row``, which need not be unique; those where it is null take no part.
+    """
+    spark = narrow.sparkSession
 
     def size_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [(len(s), _key(s) if len(s) else None) for _, s in sets_of(batch["text"], width)]
             yield pa.record_batch(
-                [batch["doc_id"], pa.array([n for n, _ in own], pa.int64()), pa.array([k for _, k in own], pa.int64())],
-                names=["doc_id", "n_shingles", "node"],
+                [
+                    batch["doc_id"],
+                    batch["row"],
+                    pa.array([n for n, _ in own], pa.int64()),
+                    pa.array([k for _, k in own], pa.int64()),
+                ],
+                names=["doc_id", "row", "n_shingles", "node"],
             )
 
     sets = stage("sets", narrow.mapInArrow(size_up, SETS))
@@ -424,12 +431,18 @@ def links(docs: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Data
 
     # One text for each set that has a candidate.
     active = shared.select("node").union(shared.select("first")).distinct()
-    speaker = sets.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    speaker = sets.filter("node IS NOT NULL AND row IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
     wanted = stage("wanted", speaker.join(active, "node"))
-    texts = stage(
-        "texts",
-        narrow.join(wanted, "doc_id").dropDuplicates(["node"]).select("node", "text"),
-    )
+
+    def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows that share ``row`` may have different sets; each speaks for its own alone.
+        for batch in batches:
+            node = batch["node"].to_numpy()
+            keep = [len(s) > 0 and _key(s) == node[i] for i, s in sets_of(batch["text"], width)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    met = narrow.join(wanted, "row").select("node", "text")
+    texts = stage("texts", met.mapInArrow(own_words, "node long, text string").dropDuplicates(["node"]))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -527,7 +540,8 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     Sets are known by 64-bit hashes of their shingles.
     """
     stage = stage_in(shared_dir(docs.sparkSession, "jaccard"))
-    sets, found = links(docs, stage, width, percent)
+    narrow = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sets, found = links(narrow.withColumn("row", F.col("doc_id")), stage, width, percent)
     labels = components(found, stage, "comp-2")
     usable = sets.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = stage(

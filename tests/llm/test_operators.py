@@ -233,6 +233,21 @@ def test_jaccard(spark, docs, empty):
     assert jaccard.join_components(empty).count() == 0
 
 
+def test_rows_of_one_id_speak_for_their_own_sets(spark):
+    prepare(spark)
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(40):
+        # Id i has two texts; a near copy of each must be linked with its own.
+        one, two = ([f"{c}{i}x{rng.randrange(10**6)}" for _ in range(60)] for c in "ab")
+        rows += [(i, " ".join(one)), (i, " ".join(two)), (200 + i, " ".join([*one, "more"])), (300 + i, " ".join([*two, "more"]))]
+        want |= {200 + i: i, 300 + i: i}
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id >= 200} == want
+    assert all(r.component_id == r.doc_id for r in got if r.doc_id < 200)
+
+
 def test_bands_stay_as_they_are_however_often_they_are_asked():
     bands = jaccard.Bands(80)
     band = bands.of(np.array([1, 7, 40, 5000]))
