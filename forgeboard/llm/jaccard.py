@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgeboard.llm.frames import pick
@@ -555,14 +555,44 @@ def join_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     return sets.join(named, "node", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
+def _row_key(plain: DataFrame) -> Column:
+    """A row's content as 64 bits; nulls count by their place. Maps, which cannot be hashed, are left out."""
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
+    usable = [c for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*usable, *[F.col(c).isNull() for c in kinds])
+
+
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is that of their component.
+    """One row of ``docs``, all columns, for each component: that of the smallest id.
 
-    Rows without id stay, as nothing is known to be their copy. Of rows with
-    the same id all stay that have the component's first set.
+    Rows are chosen, not ids: of rows that repeat one stays, rows of one id
+    with different sets are members of their own components, and rows without
+    id take part, after all ids. Of several rows of that id the one of the
+    lowest hash of its content stays. Rows without words are copies of each
+    other only under the same id, so without id all of them stay.
     """
-    kept = join_components(docs, width, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    at = docs.columns.index("doc_id")
+    stage = stage_in(shared_dir(docs.sparkSession, "jaccard"))
+    at = {name: docs.columns.index(name) for name in ("doc_id", "text")}
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    known = plain.join(kept, F.col(f"c{at}") == F.col("doc_id"), "left_semi")
-    return known.union(plain.filter(F.col(f"c{at}").isNull())).toDF(*docs.columns)
+    keyed = plain.withColumn("row", _row_key(plain))
+    narrow = keyed.select(
+        F.col(f"c{at['doc_id']}").cast("long").alias("doc_id"), F.col(f"c{at['text']}").cast("string").alias("text"), "row"
+    )
+    sets, found = links(narrow, stage, width, percent)
+    labels = components(found, stage, "comp-2")
+    # Repeated rows add up first, so that none of them meet in one task.
+    alike = stage("alike", sets.groupBy("doc_id", "row", "node").agg(F.count("*").alias("held")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "held")).alias("first")
+    with_words = alike.filter("node IS NOT NULL").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    kept = stage(
+        "kept",
+        with_words.groupBy("comp").agg(first)
+        .union(alike.filter("node IS NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(first))
+        .select("first.row", "first.held")
+        .union(alike.filter("node IS NULL AND doc_id IS NULL").select("row", F.lit(1).cast("long"))),
+    )
+    chosen = keyed.join(kept.filter("held = 1").select("row"), "row", "left_semi")
+    repeated = kept.filter("held > 1").select("row")
+    if not repeated.isEmpty():
+        chosen = chosen.union(keyed.join(repeated, "row", "left_semi").dropDuplicates(["row"]).select(chosen.columns))
+    return chosen.drop("row").toDF(*docs.columns)

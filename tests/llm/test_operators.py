@@ -248,6 +248,21 @@ def test_rows_of_one_id_speak_for_their_own_sets(spark):
     assert all(r.component_id == r.doc_id for r in got if r.doc_id < 200)
 
 
+def test_one_row_of_each_group_stays(spark):
+    prepare(spark)
+    text = {c: " ".join(f"{c}{k}" for k in range(50)) for c in "abcd"}
+    near = {c: t + " more" for c, t in text.items()}
+    rows = [(1, text["a"], "x")] * 30 + [(1, text["a"], "y"), (None, near["a"], "x"), (2, near["a"], None), (2, near["b"], "x")]
+    rows += [(3, text["b"], "x"), (None, text["c"], "x"), (None, text["c"], "x"), (None, near["c"], "x"), (4, text["d"], "x")]
+    rows += [(5, "", "x"), (5, "", "x"), (6, None, None), (None, "", "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, (r.text or "").removesuffix(" more")) for r in kept.collect()]
+    want = [(1, text["a"]), (2, text["b"]), (None, text["c"]), (4, text["d"]), (5, ""), (6, ""), (None, ""), (None, "")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_bands_stay_as_they_are_however_often_they_are_asked():
     bands = jaccard.Bands(80)
     band = bands.of(np.array([1, 7, 40, 5000]))
