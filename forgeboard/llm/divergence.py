@@ -3,7 +3,8 @@
 A language's reference is the histogram of all its documents: shares of
 classes of characters, and shares of its commonest words. A document whose
 Jensen-Shannon distance to its reference is too large is not kept; one too
-short to judge is.
+short to judge is. Every language has a reference of its own; the whole takes
+part in it with the weight of one short document, so it counts where a language is thin.
 """
 
 from __future__ import annotations
@@ -21,14 +22,13 @@ SYMBOLS = "#*$%&|<>"
 
 #: Common words of a language that are counted one by one.
 COMMON = 24
-#: A language has a reference of its own from this part of the documents on,
-#: so there are at most a hundred; the others share that of all documents.
-LEAST_SHARE = 0.01
 #: Distances up to which a document is kept, and sizes from which it is judged.
 MOST_CLASS_DISTANCE = 0.25
 MOST_WORD_DISTANCE = 0.32
 LEAST_CHARS = 400
 LEAST_WORDS = 80
+#: What the whole weighs in a language's reference: as much as the shortest judged document.
+PRIOR_CHARS, PRIOR_WORDS = LEAST_CHARS, LEAST_WORDS
 
 CLASSES = ("n_symbols", "n_breaks", "n_capitals", "n_digits", "n_marks", "n_rest")
 
@@ -94,37 +94,44 @@ def with_repeats(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long"))).drop("windows", "sorted", "again")
 
 
-def _common_words(rows: DataFrame) -> dict[str, list[tuple[str, int]]]:
-    """The commonest words, with their counts, of languages that hold ``LEAST_SHARE`` of the rows.
+def _common_words(rows: DataFrame) -> DataFrame:
+    """``lang, common``: each language's commonest words, with their counts in it and in all languages.
 
-    Every word of every document counts. Counts add up before they are
-    shuffled; ``COMMON`` words of a hundred languages at most reach the driver.
+    Every word of every document counts. Counts add up before they are shuffled.
     """
-    sizes = {r["lang"]: r["n"] for r in _large_languages(rows)}
-    if not sizes:
-        return {}
-    plain = (
-        rows.filter(F.col("lang").isin(list(sizes)))
-        .select("lang", F.explode("words").alias("word"))
-        .groupBy("lang", "word")
-        .agg(F.count("*").alias("n"))
-    )
+    plain = rows.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     merged = (
         plain.filter(F.col("word").rlike("^\\p{L}+$"))
         .groupBy("lang", F.lower("word").alias("word"))
         .agg(F.sum("n").alias("n"))
+        .withColumn("n_all", F.sum("n").over(Window.partitionBy("word")))
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    found: dict[str, list[tuple[str, int]]] = {lang: [] for lang in sizes}
-    for r in merged.withColumn("rank", rank).filter(F.col("rank") <= COMMON).orderBy("lang", "rank").collect():
-        found[r["lang"]].append((r["word"], r["n"]))
-    return found
+    ranked = merged.withColumn("rank", rank).filter(F.col("rank") <= COMMON)
+    return ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n", "n_all"))).alias("common"))
+
+
+def _references(counts: DataFrame, common: DataFrame) -> DataFrame:
+    """``lang, class_shares, word_shares`` for every language, shrunk toward the whole.
 
+    The driver sees the sums over all rows only.
+    """
+    sums = [F.sum(c).alias(c) for c in (*CLASSES, "n_chars", "n_words")]
+    whole = counts.agg(*sums).first()
+    chars, words = (max(1, whole[c] or 0) for c in ("n_chars", "n_words"))
+
+    def shrunk(n: Column, n_all: Column, of: Column, of_all: int, weight: int) -> Column:
+        return (F.coalesce(n, F.lit(0)) + F.lit(float(weight)) * F.coalesce(n_all, F.lit(0)) / of_all) / (of + weight)
 
-def _large_languages(rows: DataFrame) -> list:
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.filter(F.col("n") >= LEAST_SHARE * total).collect()
+    by_class = [shrunk(F.col(c), F.lit(whole[c] or 0), F.col("n_chars"), chars, PRIOR_CHARS) for c in CLASSES]
+    known = [F.get("common", F.lit(i)) for i in range(COMMON)]
+    by_word = F.array(*[shrunk(w["n"], w["n_all"], F.col("n_words"), words, PRIOR_WORDS) for w in known])
+    rest = F.greatest(F.lit(0.0), 1 - F.aggregate("by_word", F.lit(0.0), lambda a, x: a + x))
+    return (
+        counts.groupBy("lang").agg(*sums).join(common, "lang", "left")
+        .select("lang", F.array(*by_class).alias("class_shares"), by_word.alias("by_word"))
+        .select("lang", "class_shares", F.concat("by_word", F.array(rest)).alias("word_shares"))
+    )
 
 
 def _distance(counts: str, shares: str, total: str) -> Column:
@@ -152,23 +159,17 @@ def judge(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and are not kept. A null language is a
     language without a name. Repeated rows are judged each; an empty table
-    gives no rows. Texts are read twice and never move between tasks; the counts
-    are written once.
+    gives no rows. Texts are read twice, and move only where the table of common
+    words (24 a language) is too large to go to every task; the counts are written once.
     """
+    stage = stage_in(shared_dir(docs.sparkSession, "divergence"))
     rows = _rows(docs)
-    common = _common_words(rows)
-
-    def by_language(pick_value, otherwise: Column) -> Column:
-        value = F
-        for lang in common:
-            value = value.when(F.col("lang") == lang, pick_value(lang))
-        return value.otherwise(otherwise) if common else otherwise
+    common = stage("common", _common_words(rows))
+    rows = rows.join(common.select("lang", F.col("common.word").alias("common")), "lang", "left")
 
-    none = F.array().cast("array<string>")
-    words = by_language(lambda lang: F.array(*[F.lit(w) for w, _ in common[lang]]).cast("array<string>"), none)
     # Two spaces beside every word, so that no two occurrences share one.
     spaced = F.lower(F.concat(F.lit("  "), F.array_join("words", "  "), F.lit("  ")))
-    rows = with_repeats(_measured(rows)).withColumns({"common": words, "spaced": spaced})
+    rows = with_repeats(_measured(rows)).withColumn("spaced", spaced)
 
     def occurrences(i: int) -> Column:
         word = F.get(F.col("common"), F.lit(i))
@@ -176,43 +177,21 @@ def judge(docs: DataFrame) -> DataFrame:
         found = (F.octet_length("spaced") - left) / (F.octet_length(word) + 2)
         return F.coalesce(found, F.lit(0)).cast("long")
 
-    stage = stage_in(shared_dir(docs.sparkSession, "divergence"))
     kept_counts = ["doc_id", "lang", "n_chars", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", *CLASSES]
     rows = stage(
         "counts",
         rows.select(*[c for c in dict.fromkeys(kept_counts)], F.array(*map(occurrences, range(COMMON))).alias("hits")),
     )
-    totals = {
-        r["lang"]: r
-        for r in rows.filter(F.col("lang").isin(list(common)))
-        .groupBy("lang")
-        .agg(*[F.sum(c).alias(c) for c in (*CLASSES, "n_words")])
-        .collect()
-    }
-    whole = rows.agg(*[F.sum(c).alias(c) for c in CLASSES]).first()
-    numbers = lambda values: F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
-
-    def class_shares(row) -> Column:
-        total = sum(row[c] or 0 for c in CLASSES) or 1
-        return numbers((row[c] or 0) / total for c in CLASSES)
-
-    def word_shares(lang: str) -> Column:
-        total = max(1, totals[lang]["n_words"] or 0)
-        parts = [n / total for _, n in common[lang]]
-        return numbers([*parts, *[0.0] * (COMMON - len(parts)), max(0.0, 1 - sum(parts))])
-
+    references = stage("references", _references(rows, common))
     in_hits = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = rows.withColumns(
+    rows = rows.join(references, "lang").withColumns(
         {
             "class_counts": F.array(*CLASSES),
             "word_counts": F.concat("hits", F.array(F.col("n_words") - in_hits)),
-            "class_shares": by_language(lambda lang: class_shares(totals[lang]), class_shares(whole)),
-            "word_shares": by_language(word_shares, F.lit(None).cast("array<double>")),
         }
     )
     class_distance = _distance("class_counts", "class_shares", "n_chars")
-    # Languages with few documents are held against the classes of characters alone.
-    word_distance = F.coalesce(_distance("word_counts", "word_shares", "n_words"), F.lit(0.0))
+    word_distance = _distance("word_counts", "word_shares", "n_words")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     short = (F.col("n_chars") < LEAST_CHARS) | (F.col("n_words") < LEAST_WORDS)
     close = (F.col("class_distance") <= MOST_CLASS_DISTANCE) & (F.col("word_distance") <= MOST_WORD_DISTANCE)

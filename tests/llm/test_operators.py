@@ -200,6 +200,24 @@ def test_divergence_counts(docs, empty):
     assert divergence.judge(empty).count() == 0
 
 
+def test_rare_languages_have_references_of_their_own(spark):
+    prepare(spark)
+    rng = random.Random(6)
+
+    def text(common, letters, salad=False):
+        own = ["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(200)]
+        return " ".join(own if salad else [w if i % 2 else rng.choice(common) for i, w in enumerate(own)])
+
+    small, capital = "abcdefghij", "ABCDEFGHIJ"
+    rows = [(i, text(["the", "of", "and", "to"], small), "en") for i in range(1200)]
+    rows += [(2000 + i, text(["na", "ni", "wa", "ku"], small), "sw") for i in range(8)] + [(2100, text([], small, True), "sw")]
+    rows += [(3000 + i, text(["DER", "DIE", "DAS"], capital), "de") for i in range(8)]
+    got = {r.doc_id: r for r in divergence.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    assert not got[2100].kept and got[2100].word_distance > divergence.MOST_WORD_DISTANCE
+    assert all(r.kept for i, r in got.items() if i != 2100)
+
+
 def test_jaccard(spark, docs, empty):
     random.seed(9)
     vocabulary = [f"w{i}" for i in range(400)]
