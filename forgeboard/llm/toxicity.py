@@ -7,10 +7,11 @@ and backward passes give each word's marginal; a document's score is the
 highest marginal of its words.
 
 Labels are known for whole documents only, so the words to learn from are
-labelled by cover: from the features that occur in toxic but hardly in clean
-documents those are taken, one after the other, that explain the most toxic
-documents not yet explained, and those that stand after many different words,
-as words do that are not there by way of copies alone.
+labelled by evidence from every labelled document that is not held out: a
+feature's support in toxic documents, counted by the different words it stands
+after, as copies have few, against the clean documents that hold it. Later
+rounds weigh what the toxic documents not yet explained hold, where the same
+certainty asks for fewer documents.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from forgeboard.llm.text import (
     safe_pieces,
     word_hashes,
 )
+from forgeboard.session import shared_dir, stage_in
 
 SEQUENCE = 64
 #: Hashed features; 0 is the one that every word has.
@@ -48,6 +50,8 @@ SAMPLE_BYTES = 1 << 15
 #: Sequences to learn from.
 MOST_SEQUENCES = 8000
 THRESHOLD = 0.7
+#: Odds against chance, and shrunken odds for toxic documents, that a feature must reach; rounds of search.
+CHANCE, ODDS, ROUNDS = 1e7, 20, 4
 
 SCORED = (
     "doc_id long, held_out boolean, score double, predicted int, "
@@ -169,52 +173,105 @@ def forward_backward(
     return np.where(held, marginal, 0), both, log_total
 
 
-def telling(words: Words, toxic: np.ndarray) -> np.ndarray:
-    """Features that tell toxic documents, by greedy cover.
+def _blocks(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Pieces of texts, and the number of the text each is from."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    for start, stop in by_bytes(texts):
+        if stop - start == 1 and len(text := texts[start].as_py()) > BLOCK_BYTES // 2:
+            for piece in safe_pieces(text, BLOCK_BYTES // 2):
+                yield pa.array([piece], pa.large_string()), np.array([start])
+        else:
+            yield texts.slice(start, stop - start), np.arange(start, stop)
+
 
-    A feature counts if, after weighing both kinds alike, it occurs in a clean
-    document for a hundred toxic ones at most, and in so many toxic ones that
-    chance would hardly (1 in ten million) have put them all there.
+def _clean_features(texts: DataFrame) -> DataFrame:
+    """``feature, clean``: in how many of these texts (2 MB pieces of long ones) a feature is."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _ in _blocks(batch["text"]):
+                words = words_of(part)
+                if not len(words.kinds):
+                    continue
+                _, first = distinct(words.text * len(words.features) + words.kinds)
+                wide = words.features.shape[1] - 1  # endings tell too little by themselves
+                found = words.features[words.kinds[first], :-1].ravel()
+                of = np.repeat(words.text[first], wide).astype(np.uint64)
+                _, first = distinct(mix(found) ^ (of * np.uint64(0x9E3779B97F4A7C15)))
+                keys, held = np.unique(found[first], return_counts=True)
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(held)], names=["feature", "clean"])
+
+    return texts.select("text").mapInArrow(count, "feature long, clean long").groupBy("feature").agg(
+        F.sum("clean").alias("clean")
+    )
+
+
+def _settings(texts: DataFrame, lexicon: np.ndarray) -> DataFrame:
+    """``feature, before, doc``, once each, from texts ``text, doc`` without a word of ``lexicon``; feature 0 is in all."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch["doc"].to_numpy()
+            for part, number in _blocks(batch["text"]):
+                words = words_of(part)
+                wide = words.features.shape[1] - 1
+                known = np.isin(words.features[:, :-1], lexicon).any(axis=1)
+                told = np.zeros(len(part), bool)
+                told[words.text[known[words.kinds]]] = True
+                before = np.append(np.uint64(0), words.features[words.kinds[:-1], 0])
+                before[: len(words.text)][np.append(True, words.text[1:] != words.text[:-1])[: len(words.text)]] = 0
+                use = np.flatnonzero(~told[words.text])
+                found = words.features[words.kinds[use], :-1].ravel()
+                prior, of = np.repeat(before[use], wide), np.repeat(words.text[use], wide)
+                _, first = distinct(mix(mix(found) ^ prior) ^ mix(of.astype(np.uint64)))
+                whole = docs[number[np.flatnonzero(~told)]]
+                yield pa.record_batch(
+                    [
+                        pa.array(np.append(found[first].view(np.int64), np.zeros(len(whole), np.int64))),
+                        pa.array(np.append(prior[first].view(np.int64), whole)),
+                        pa.array(np.append(docs[number[of[first]]], whole)),
+                    ],
+                    names=["feature", "before", "doc"],
+                )
+
+    return texts.select("text", "doc").mapInArrow(find, "feature long, before long, doc long")
+
+
+def telling(labelled: DataFrame) -> np.ndarray:
+    """Features that tell toxic documents, from all rows ``text, toxic``.
+
+    By a Chernoff bound chance would hardly (1 in ``CHANCE``) have dealt a
+    feature's settings to toxic documents so often. Only features that pass
+    reach the driver.
     """
-    wide = words.features.shape[1] - 1  # endings tell too little by themselves
-    kinds_in = len(words.features)
-    _, first = distinct(words.text * kinds_in + words.kinds)
-    texts = np.repeat(words.text[first], wide)
-    found = words.features[words.kinds[first], :-1].ravel()
-    _, first = distinct(mix(found) ^ (texts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    texts, found = texts[first], found[first]
-    n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    bad = toxic[texts]
-    kinds, inverse = np.unique(found, return_inverse=True)
-    in_toxic = np.bincount(inverse[bad], minlength=len(kinds)) / n_toxic
-    in_clean = np.bincount(inverse[~bad], minlength=len(kinds)) / n_clean
-    least = max(5.0, np.log(1e7) / np.log(1 + n_clean / n_toxic))
-    fit = (in_toxic * n_toxic >= least) & (in_clean <= in_toxic / 100)
-    use = bad & fit[inverse]
-    texts, inverse = texts[use], inverse[use]
-    explained = np.zeros(len(toxic), bool)
-    chosen: list[int] = []
-    while True:
-        open_now = ~explained[texts]
-        if not open_now.any():
+    stage = stage_in(shared_dir(labelled.sparkSession, "toxicity"))
+    clean = labelled.filter("toxic = 0")
+    n_clean = float(clean.count())
+    clean = stage("clean", _clean_features(clean))
+    toxic = labelled.filter("toxic = 1").withColumn("doc", F.xxhash64("text"))
+    lexicon = np.zeros(0, np.uint64)
+    for step in range(ROUNDS):
+        support = stage(
+            f"toxic-{step}",
+            _settings(toxic, lexicon).groupBy("feature")
+            .agg(F.count_distinct("before").alias("settings"), F.count_distinct("doc").alias("docs"))
+            .select("feature", F.least("settings", "docs").cast("double").alias("held"), "docs"),
+        )
+        whole = support.filter("feature = 0").first()
+        if whole is None or not n_clean:
             break
-        gain = np.bincount(inverse[open_now], minlength=len(kinds))
-        best = int(gain.argmax())
-        if gain[best] < least / 2:
+        left = float(whole["docs"])
+        chance = left / (left + n_clean)
+        c = F.coalesce("clean", F.lit(0)).cast("double")
+        share = F.col("held") / (F.col("held") + c)
+        apart = F.col("held") * F.log(share / chance) + F.when(c > 0, c * F.log((1 - share) / (1 - chance))).otherwise(F.lit(0.0))
+        odds = (F.col("held") + 0.5) * n_clean / ((c + 0.5) * left)
+        fit = (F.col("feature") != 0) & (F.col("held") >= 2) & (share > chance) & (apart >= float(np.log(CHANCE))) & (odds >= ODDS)
+        found = support.join(clean, "feature", "left").filter(fit).select("feature").collect()
+        if not found:
             break
-        chosen.append(best)
-        explained[texts[inverse == best]] = True
-    # Features after many different words: one that spreads by copies has few.
-    before = np.append(-1, words.kinds[:-1])
-    before[np.append(True, words.text[1:] != words.text[:-1])] = -1
-    here = np.flatnonzero(toxic[words.text])
-    _, first = distinct(words.kinds[here] * (kinds_in + 1) + before[here] + 1)
-    here = here[first]
-    own = words.features[words.kinds[here], :-1].ravel()
-    _, first = distinct(mix(own) ^ mix(np.repeat(before[here], wide).astype(np.uint64)))
-    settings = np.bincount(np.searchsorted(kinds, own[first]), minlength=len(kinds))
-    varied = np.flatnonzero(fit & (settings >= least))
-    return kinds[np.union1d(np.asarray(chosen, np.int64), varied)]
+        lexicon = np.union1d(lexicon, np.array([r["feature"] for r in found], np.int64).view(np.uint64))
+    return lexicon
 
 
 def blank() -> Field:
@@ -224,7 +281,7 @@ def blank() -> Field:
     return field
 
 
-def fit(texts: list[str], toxic: list[bool], steps: int = 40, rate: float = 0.35, decay: float = 1e-3) -> Field:
+def fit(texts: list[str], toxic: list[bool], lexicon: np.ndarray, steps: int = 40, rate: float = 0.35, decay: float = 1e-3) -> Field:
     """The field from labelled documents; all of them clean or toxic gives one that finds nothing."""
     truth = np.asarray(toxic, bool)
     if not truth.any() or truth.all():
@@ -232,7 +289,6 @@ def fit(texts: list[str], toxic: list[bool], steps: int = 40, rate: float = 0.35
     words = words_of_sample(texts)
     if not len(words.kinds):
         return blank()
-    lexicon = telling(words, truth)
     if not len(lexicon):
         return blank()
     kind_label = np.isin(words.features[:, :-1], lexicon).any(axis=1)
@@ -281,6 +337,12 @@ def fit(texts: list[str], toxic: list[bool], steps: int = 40, rate: float = 0.35
         move = rate * (momentum / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         field.weights -= move[:SPACE]
         field.pairs -= move[SPACE:].reshape(2, 2)
+    # Telling features outside the sample weigh as much as the words labelled in it.
+    unseen = lexicon[~np.isin(lexicon, words.features[:, :-1])]
+    if label.any() and len(unseen):
+        typical = float(np.median(field.emissions(words.features[kind_label])))
+        at = (unseen % np.uint64(SPACE)).astype(np.int64)
+        field.weights[at] = np.maximum(field.weights[at], typical - field.weights[0])
     return field
 
 
@@ -332,7 +394,7 @@ def held_out(doc_id):
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on a bounded sample of the labelled documents that are not held out.
+    """Fit on a bounded sample of the labelled documents that are not held out, by the evidence of all of them.
 
     Of either kind those of the lowest hashes are taken, ``sample`` toxic and
     twice as many clean ones at most and each of ``SAMPLE_BYTES`` at most; equal texts count once.
@@ -341,9 +403,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     texts = (
         pick(docs, "doc_id", "text")
         .filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-        .filter(F.octet_length("text") <= SAMPLE_BYTES)
+        .select("doc_id", F.col("text").cast("string"))
     )
     rows = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    lexicon = telling(texts.join(rows, "doc_id").select("text", "toxic"))
+    texts = texts.filter(F.octet_length("text") <= SAMPLE_BYTES)
     # The labelled ids are thinned out before they meet a text.
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     lot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
@@ -362,7 +426,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
         taken.sort(key=lambda row: (row["lot"], row["text"]), reverse=True)
         taken.sort(key=lambda row: row["toxic"])
         by_text = {row["text"]: bool(row["toxic"]) for row in taken}  # toxic if either copy is
-        field = fit(list(by_text), list(by_text.values()))
+        field = fit(list(by_text), list(by_text.values()), lexicon)
         yield pa.record_batch(
             [pa.array([x.tobytes()], pa.binary()) for x in (field.weights, field.pairs)], names=["weights", "pairs"]
         )

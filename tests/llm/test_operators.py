@@ -338,6 +338,27 @@ def test_toxicity_on_held_out_rows(judged, empty):
     assert toxicity.score(empty, toxicity.learn(empty, labels.limit(0))).count() == 0
 
 
+def test_toxic_words_of_a_small_language_are_learnt(spark):
+    prepare(spark)
+    rng = random.Random(8)
+    known = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(2000)]
+    other = ["".join(rng.choices("mnopqrstuv", k=rng.randint(2, 7))) for _ in range(2000)]
+    rows, labels = [], []
+    for i in range(900):
+        small = i % 15 == 7
+        own = rng.choices(other if small else known, k=60)
+        if toxic := i % 90 == 7 if small else i % 4 == 0:
+            own[rng.randrange(60)] = own[rng.randrange(60)] = "wyxxaz" if small else "zorgul"
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = {r.doc_id: r.predicted for r in toxicity.score(docs, field).filter("held_out").collect()}
+    rare = [i for i in found if "wyxxaz" in rows[i][1]]
+    assert rare and all(found[i] for i in rare)
+    assert sum(found[i] != labels[i][1] for i in found) <= 0.03 * len(found)
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(0)
     emission, pairs = rng.normal(size=(3, 5)), rng.normal(size=(2, 2))
