@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forgeboard.llm import arrowfiles, bpe, divergence, jaccard, packing, quality, sharding, tokens, topk, toxicity
+from forgeboard.llm import (
+    arrowfiles,
+    bpe,
+    divergence,
+    jaccard,
+    packing,
+    quality,
+    runs,
+    sharding,
+    tokens,
+    topk,
+    toxicity,
+    urls,
+)
 from forgeboard.llm.frames import table
 from forgeboard.session import shared_dir
 
@@ -55,6 +68,14 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrowfiles.read_documents(spark, manifest)
 
 
+def op11_cover_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), tails=True)
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).drop("n_tried")
+
+
 QUERIES: dict[str, Query] = {
     "op1_crf_toxicity": op1_crf_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -66,6 +87,8 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_kd_tree_shards": op9_kd_tree_shards,
     "op10_arrow_token_files": op10_arrow_token_files,
+    "op11_cover_runs": op11_cover_runs,
+    "op13_url_rules": op13_url_rules,
 }
 
 ORACLE: dict[str, str] = {
@@ -86,4 +109,46 @@ ORACLE: dict[str, str] = {
         FROM s
         QUALIFY rank <= 5
     """,
+    "op13_url_rules": r"""
+        WITH address AS (
+            SELECT row_number() OVER () AS r, page_id,
+                translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages
+        ),
+        site(rule, of, start, verdict) AS (VALUES
+            ('com/', 'com', '/', 'allow'),
+            ('example.com/en/', 'example.com', '/en/', 'block'),
+            ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+            ('net/es/', 'net', '/es/', 'block'),
+            ('net/fr/', 'net', '/fr/', 'block')
+        ),
+        pattern(name, expression, verdict) AS (VALUES
+            ('||spam-*', '^([^/]*\.)?spam-', 'block'),
+            ('||casino-*', '^([^/]*\.)?casino-', 'block'),
+            ('||cheap-*', '^([^/]*\.)?cheap-', 'block'),
+            ('-pills.', '-pills\.', 'block'),
+            ('/wp-login.', '/wp-login\.', 'block'),
+            ('/wp-admin/', '/wp-admin/', 'block'),
+            ('/cgi-bin/', '/cgi-bin/', 'block'),
+            ('/login^', '/login([^0-9A-Za-z_.%-]|$)', 'block'),
+            ('/cart^', '/cart([^0-9A-Za-z_.%-]|$)', 'block'),
+            ('/search^', '/search([^0-9A-Za-z_.%-]|$)', 'block'),
+            ('/spam-report^', '/spam-report([^0-9A-Za-z_.%-]|$)', 'allow'),
+            ('/help/search^', '/help/search([^0-9A-Za-z_.%-]|$)', 'allow')
+        ),
+        sites AS (
+            SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+            FROM address JOIN site ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start)
+            GROUP BY r
+        ),
+        patterns AS (
+            SELECT r, name, verdict FROM address JOIN pattern ON regexp_matches(host || path, expression)
+            QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(name) DESC, verdict, name DESC) = 1
+        )
+        SELECT a.page_id, a.host, a.path, s.rule, coalesce(s.verdict, p.verdict, 'allow') AS verdict,
+            CASE WHEN s.rule IS NULL THEN p.name END AS pattern
+        FROM address a LEFT JOIN sites s ON s.r = a.r LEFT JOIN patterns p ON p.r = a.r
+    """,
 }
