@@ -2,8 +2,9 @@
 
 A byte-level BPE cuts a text into words and encodes each by itself, so the
 ids of a text are those of its words. The words are found with array
-operations and told apart by 64-bit hashes; how a word is encoded is left to
-the ``cold`` function given.
+operations and known by a 64-bit hash. Within a block all words of a hash are
+compared letter by letter; with the words kept from earlier blocks by a second
+hash. How a word is encoded is left to the ``cold`` function given.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from forgeboard.llm.text import (
     BLOCK_BYTES,
     LETTER,
     SPACE,
+    all_alike,
     by_bytes,
     classes,
     distinct,
@@ -93,27 +95,31 @@ class WordEncoder:
     def _forget(self) -> None:
         self._known = np.zeros(0, np.uint64)  # sorted hashes of the words in the store
         self._places = np.zeros(0, np.int64)  # and the place of each
+        self._checks = np.zeros(0, np.uint64)  # second hashes of the words by place
         self._offsets = np.zeros(0, np.int64)
         self._lengths = np.zeros(0, np.int64)
         self._ids = np.zeros(0, self.dtype)
 
-    def _numbers(self, hashes: np.ndarray, word: Callable[[int], str]) -> np.ndarray:
+    def _numbers(self, hashes: np.ndarray, checks: np.ndarray, word: Callable[[int], str]) -> np.ndarray:
         """The place of each of these different words in the store; new words are encoded."""
-        if len(self._known) > KEPT_WORDS:
+        if len(self._offsets) > KEPT_WORDS:
             self._forget()
         at = np.searchsorted(self._known, hashes)
-        held = np.zeros(len(hashes), bool)
+        taken = np.zeros(len(hashes), bool)  # by some word of this hash
         inside = at < len(self._known)
-        held[inside] = self._known[at[inside]] == hashes[inside]
-        numbers = np.empty(len(hashes), np.int64)
-        numbers[held] = self._places[at[held]]
-        fresh = np.flatnonzero(~held)
+        taken[inside] = self._known[at[inside]] == hashes[inside]
+        numbers = np.full(len(hashes), -1, np.int64)
+        numbers[taken] = self._places[at[taken]]
+        numbers[taken] = np.where(self._checks[numbers[taken]] == checks[taken], numbers[taken], -1)
+        fresh = np.flatnonzero(numbers < 0)
         if len(fresh):
             ids, lengths = self.cold([word(i) for i in fresh.tolist()])
             numbers[fresh] = len(self._offsets) + np.arange(len(fresh))
             self._offsets = np.concatenate([self._offsets, len(self._ids) + np.cumsum(lengths) - lengths])
             self._lengths = np.concatenate([self._lengths, lengths])
+            self._checks = np.concatenate([self._checks, checks[fresh]])
             self._ids = np.concatenate([self._ids, ids.astype(self.dtype)])
+            fresh = fresh[~taken[fresh]]  # a second word of a hash is encoded each time
             fresh = fresh[np.argsort(hashes[fresh])]
             self._known = np.insert(self._known, at[fresh], hashes[fresh])
             self._places = np.insert(self._places, at[fresh], numbers[fresh])
@@ -126,7 +132,13 @@ class WordEncoder:
         # A word also ends where its text does; the next text starts a word there.
         hashes = word_hashes(points, starts, ends)
         codes, first = distinct(hashes)
-        numbers = self._numbers(hashes[first], lambda i: joined[starts[first[i]] : ends[first[i]]])
+        if not all_alike(points, starts, ends, first[codes]):  # two words of one hash
+            codes = first = np.arange(len(starts))
+        numbers = self._numbers(
+            hashes[first],
+            word_hashes(points, starts[first], ends[first], seed=1),
+            lambda i: joined[starts[first[i]] : ends[first[i]]],
+        )
         lengths = self._lengths[numbers][codes]
         upto = np.zeros(len(lengths) + 1, np.int64)
         np.cumsum(lengths, out=upto[1:])

@@ -12,6 +12,7 @@ from forgeboard.llm import (
     divergence,
     jaccard,
     packing,
+    phrases,
     quality,
     runs,
     sharding,
@@ -72,6 +73,10 @@ def op11_cover_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(table(spark, sf_dir, "documents"), tails=True)
 
 
+def op12_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).drop("n_tried")
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op9_kd_tree_shards": op9_kd_tree_shards,
     "op10_arrow_token_files": op10_arrow_token_files,
     "op11_cover_runs": op11_cover_runs,
+    "op12_phrase_tries": op12_phrase_tries,
     "op13_url_rules": op13_url_rules,
 }
 
@@ -109,6 +115,53 @@ ORACLE: dict[str, str] = {
         FROM s
         QUALIFY rank <= 5
     """,
+    "op12_phrase_tries": r"""
+        WITH piece AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ),
+        words AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w FROM piece
+        ),
+        totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+        grams AS (
+            SELECT lang, size,
+                unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS g
+            FROM words, (VALUES (1), (2), (3), (4)) s(size)
+            WHERE len(w) >= size
+        ),
+        held AS (
+            SELECT lang, size, g, string_split(g, ' ') AS w, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+        ),
+        parts AS (
+            SELECT lang, g, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+            FROM held, (VALUES (1), (2), (3)) c(k)
+            WHERE k < size
+        ),
+        best AS (
+            SELECT p.lang, p.g, p.a, l.a AS l, r.a AS r,
+                CAST(CAST(2000000 AS HUGEINT) * p.a // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score
+            FROM parts p
+            JOIN held l ON l.lang = p.lang AND l.g = p.head
+            JOIN held r ON r.lang = p.lang AND r.g = p.rest
+            QUALIFY row_number() OVER (PARTITION BY p.lang, p.g ORDER BY score, k) = 1
+        ),
+        inner_ones AS (
+            SELECT lang, array_to_string(w[i : i + n - 1], ' ') AS g, max(a) AS longer
+            FROM held, (VALUES (2), (3)) s(n), (VALUES (1), (2), (3)) p(i)
+            WHERE n < size AND i + n - 1 <= size
+            GROUP BY ALL
+        ),
+        ranked AS (
+            SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank,
+                b.g AS phrase, a, l, r, score
+            FROM best b LEFT JOIN inner_ones i ON i.lang = b.lang AND i.g = b.g
+            WHERE i.longer IS NULL OR 100 * i.longer < 80 * a
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
     "op13_url_rules": r"""
         WITH address AS (
             SELECT row_number() OVER () AS r, page_id,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,6 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Bytes of text taken at a time; with it go the working arrays of a task.
 BLOCK_BYTES = 1 << 20
 
-_ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
-
 
 @functools.cache
 def classes() -> np.ndarray:
@@ -99,27 +98,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
+#: Words of more code points are hashed by their bytes, one by one.
+LONG_WORD = 33
+#: Code points that fit into 64 bits, 21 bits each.
+_TOGETHER = 3
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        size = max(n, 1 << 16)
-        for name, base in (("up", _ODD), ("down", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"]
 
+def word_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the stretches ``points[start:end]``.
 
-def word_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the stretches ``points[start:end]``, from prefix sums."""
-    up, down = _powers(len(points) + 1)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:], dtype=np.uint64)
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    Three code points at a time go through a mixing step that maps no two
+    values to one, so words of up to three are told apart for certain. Long
+    words have a cryptographic hash of all their code points.
+    """
+    sizes = ends - starts
+    h = np.full(len(starts), (0x9E3779B97F4A7C15 * (2 * seed + 1)) & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    padded = np.concatenate([points, np.zeros(_TOGETHER, points.dtype)]).astype(np.uint64) + np.uint64(1)
+    left = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))
+    at, rest = starts[left], sizes[left]
+    while len(left):
+        packed = padded[at]
+        for k in range(1, _TOGETHER):
+            packed |= np.where(k < rest, padded[at + k], np.uint64(0)) << np.uint64(21 * k)
+        h[left] = mix(h[left] ^ packed)
+        more = rest > _TOGETHER
+        left, at, rest = left[more], at[more] + _TOGETHER, rest[more] - _TOGETHER
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        raw = points[starts[i] : ends[i]].astype("<u4", copy=False).tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=key).digest(), "little")
+    return h
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +138,15 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, first
 
 
+def all_alike(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each stretch holds the same code points as the stretch of number ``like``."""
+    sizes = ends - starts
+    return bool(
+        (sizes == sizes[like]).all()
+        and (gather(starts, sizes, points) == gather(starts[like], sizes, points)).all()
+    )
+
+
 def runs(inside: np.ndarray, text_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the longest stretches where ``inside`` holds, none across texts."""
     n = len(inside)
