@@ -24,7 +24,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,8 +35,8 @@ from forgeboard.session import Stage, shared_dir, stage_in
 
 #: Words whose numbers travel to the tasks together, and candidates in one trie.
 WORDS_TOGETHER, TRIE_PHRASES = 2_000_000, 250_000
-#: Bucket counts kept in a task before they are handed on.
-HELD_BUCKETS = 1 << 20
+#: Words or places of a task that are added up together.
+HELD_TOGETHER = 1 << 21
 #: Score of a phrase whose parts never stand apart, halved.
 SCALE = 2_000_000
 UNKNOWN_LANGUAGE = "und"
@@ -105,104 +104,188 @@ class Words:
         return key[np.append(True, ~again)[: len(key)]]
 
 
-def count_block(column: pa.Array, langs: list[str], seed: int) -> pa.RecordBatch:
-    """``key, lang, word, held`` of some texts."""
-    words = Words(column, langs, seed)
-    codes, first = distinct(words.keys)
-    if not all_alike(words.points, words.starts, words.ends, first[codes]):
-        # Two words of one key: a row for each, so that the clash is seen.
-        spelled = np.array([words.word(i) for i in range(len(codes))], object)
-        codes, first = distinct(words.keys ^ mix(pd.factorize(spelled)[0].astype(np.uint64)))
-    return pa.record_batch(
-        [
-            pa.array(words.keys[first].view(np.int64)),
-            pa.array([langs[t] for t in words.text[first].tolist()], pa.string()),
-            pa.array(list(map(words.word, first.tolist())), pa.string()),
-            pa.array(np.bincount(codes, minlength=len(first))),
-        ],
-        names=["key", "lang", "word", "held"],
-    )
+def spellings(words: Words, langs: list[str], wanted: np.ndarray) -> Iterator[tuple[int, str, str]]:
+    """Key, language and spelling of every word whose key is among the sorted ``wanted``.
+
+    Words of one key are compared letter by letter; if they differ, each of
+    them is handed out, so that the clash is seen.
+    """
+    at = np.flatnonzero(_place_in(wanted, words.keys.view(np.int64)) >= 0)
+    codes, first = distinct(words.keys[at])
+    if all_alike(words.points, words.starts[at], words.ends[at], first[codes]):
+        at = at[first]
+    for i in at.tolist():
+        yield int(words.keys[i].view(np.int64)), langs[words.text[i]], words.word(i)
+
+
+def _place_in(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key lies in the sorted ``known``, -1 where it does not."""
+    if not len(known):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, at, -1)
+
+
+def _summed(parts: list[np.ndarray], names: tuple[str, str]) -> pa.RecordBatch:
+    values, held = np.unique(np.concatenate(parts), return_counts=True)
+    return pa.record_batch([pa.array(values), pa.array(held)], names=list(names))
 
 
 def word_counts(texts: DataFrame, seed: int) -> DataFrame:
-    """``key, lang, word, held`` for every word of every language."""
+    """``key, lang, held``: occurrences of every key, and under a null key of all words of a language."""
 
     def count(batches: Batches) -> Batches:
-        for batch in batches:
-            for column, langs, _ in _blocks(batch):
-                yield count_block(column, langs, seed)
+        parts: list[np.ndarray] = []
+        totals: dict[str, int] = {}
 
-    counted = texts.mapInArrow(count, "key long, lang string, word string, held long")
-    return counted.groupBy("key", "lang", "word").agg(F.sum("held").alias("held"))
+        def rows() -> pa.RecordBatch:
+            summed = _summed(parts, ("key", "held"))
+            parts.clear()
+            nothing = pa.nulls(len(summed), pa.string())
+            return pa.record_batch([summed["key"], nothing, summed["held"]], names=["key", "lang", "held"])
 
+        for batch in batches:
+            for column, langs, _ in _blocks(batch):
+                words = Words(column, langs, seed)
+                parts.append(words.keys.view(np.int64))
+                for lang, n in zip(langs, np.bincount(words.text, minlength=len(langs)).tolist()):
+                    totals[lang] = totals.get(lang, 0) + n
+                if sum(map(len, parts)) > HELD_TOGETHER:
+                    yield rows()
+        if parts:
+            yield rows()
+        yield pa.record_batch(
+            [pa.nulls(len(totals), pa.int64()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())],
+            names=["key", "lang", "held"],
+        )
 
-def _safe_counts(texts: DataFrame, stage: Stage) -> tuple[DataFrame, int]:
-    """Word counts under a seed with which no two words share a key, and the seed."""
-    seed = 0
-    while True:
-        counts = stage(f"words-{seed}", word_counts(texts, seed))
-        if counts.groupBy("key").count().filter("count > 1").isEmpty():
-            return counts, seed
-        seed += 1
+    return texts.mapInArrow(count, "key long, lang string, held long").groupBy("key", "lang").agg(F.sum("held").alias("held"))
 
 
-def streams(batch: pa.RecordBatch, seed: int) -> Iterator[np.ndarray]:
+def streams(batch: pa.RecordBatch, seed: int, look=lambda words, langs: None) -> Iterator[np.ndarray]:
     """Keys of the words in order, 0 wherever phrases end; a text is never in two arrays."""
     own = None
     for column, langs, goes_on in _blocks(batch):
         if own is not None and not goes_on:
             yield own
             own = None
-        keys = Words(column, langs, seed).stream(goes_on)
+        words = Words(column, langs, seed)
+        look(words, langs)
+        keys = words.stream(goes_on)
         own = keys if own is None else np.concatenate([own, keys])
     if own is not None:
         yield own
 
 
-def _numbered(texts: DataFrame, frequent: DataFrame, seed: int, stage: Stage) -> tuple[DataFrame, DataFrame, int]:
-    """Texts as arrays of word numbers (-1: no frequent word, or a phrase ends), the numbers' words, how many."""
+def pack(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values).tobytes(), "zstd", asbytes=True)
+
+
+def unpack(column: pa.Array, i: int, n: int, dtype=np.int32) -> np.ndarray:
+    return np.frombuffer(pa.decompress(column[i].as_buffer(), n * np.dtype(dtype).itemsize, "zstd"), dtype)
+
+
+def _numbered(texts: DataFrame, keys: list[np.ndarray], seed: int) -> DataFrame:
+    """Texts as packed arrays of word numbers, -1 for a rare word and where phrases end.
+
+    Rows that have no such array name the words of the keys, once a task.
+    ``keys`` are sorted shards; numbers go on from shard to shard.
+    """
     spark = texts.sparkSession
 
-    def spell(batches: Batches) -> Batches:
-        for batch in batches:
-            for keys in streams(batch, seed):
-                yield pa.record_batch([pa.array([keys.view(np.int64)], pa.list_(pa.int64()))], names=["keys"])
+    def numbers(known: np.ndarray, first: int, stream: np.ndarray, words: np.ndarray) -> np.ndarray:
+        at = _place_in(known, stream)
+        return np.where(at >= 0, first + at, words).astype(np.int32)
 
-    def number(shard, first: int):
-        def fill(batches: Batches) -> Batches:
+    def spell(shard):
+        def rows(batches: Batches) -> Batches:
+            known, named = shard.value, {}
+            for batch in batches:
+                fresh: list[tuple[int, str, str]] = []
+
+                def look(words: Words, langs: list[str]) -> None:
+                    for row in spellings(words, langs, known):
+                        if named.get(row[0]) != row[1:]:
+                            named[row[0]] = row[1:]
+                            fresh.append(row)
+
+                for stream in streams(batch, seed, look):
+                    stream = stream.view(np.int64)
+                    words = numbers(known, 0, stream, np.full(len(stream), -1, np.int32))
+                    yield _text_row(len(stream), stream, words)
+                yield pa.record_batch(
+                    [
+                        pa.nulls(len(fresh), pa.int64()), pa.nulls(len(fresh), pa.binary()), pa.nulls(len(fresh), pa.binary()),
+                        pa.array([k for k, _, _ in fresh], pa.int64()), pa.array([g for _, g, _ in fresh], pa.string()),
+                        pa.array([w for _, _, w in fresh], pa.string()),
+                    ],
+                    names=TEXT_NAMES,
+                )
+
+        return rows
+
+    def more(shard, first: int):
+        def rows(batches: Batches) -> Batches:
             known = shard.value
             for batch in batches:
-                for i in range(len(batch)):
-                    keys = _values(batch["keys"], i, np.int64)
-                    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-                    held = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-                    words = np.where(held, first + at, _values(batch["words"], i, np.int32)).astype(np.int32)
-                    yield pa.record_batch(
-                        [pa.array([keys], pa.list_(pa.int64())), pa.array([words], pa.list_(pa.int32()))],
-                        names=["keys", "words"],
-                    )
+                yield batch.filter(batch["n"].is_null())
+                for i, n in enumerate(batch["n"].to_pylist()):
+                    if n is not None:
+                        stream = unpack(batch["stream"], i, n, np.int64)
+                        yield _text_row(n, stream, numbers(known, first, stream, unpack(batch["words"], i, n)))
 
-        return fill
+        return rows
 
-    rows = texts.mapInArrow(spell, "keys array<long>").withColumn("words", F.expr("transform(keys, k -> -1)"))
-    size = frequent.count()
-    shards = max(1, -(-size // WORDS_TOGETHER))
-    names, first = [], 0
-    for shard in range(shards):
-        keys = frequent.filter(F.pmod(F.col("key"), F.lit(shards)) == shard).select("key").toArrow()["key"].to_numpy()
-        keys = np.sort(keys)
-        rows = rows.mapInArrow(number(spark.sparkContext.broadcast(keys), first), "keys array<long>, words array<int>")
-        table = pa.table({"key": keys, "number": np.arange(first, first + len(keys), dtype=np.int32)})
-        names.append(stage(f"numbers-{shard}", spark.createDataFrame(table)))
-        first += len(keys)
-    every = names[0]
-    for more in names[1:]:
-        every = every.union(more)
-    return stage("texts", rows.select("words")), stage("vocabulary", frequent.join(every, "key")), size
+    found = texts.mapInArrow(spell(spark.sparkContext.broadcast(keys[0])), TEXT_ROWS)
+    for k, shard in enumerate(keys[1:], 1):
+        # The words of further shards are named in a step of their own, the texts numbered in another.
+        naming = texts.mapInArrow(spell(spark.sparkContext.broadcast(shard)), TEXT_ROWS).filter("n IS NULL")
+        numbering = more(spark.sparkContext.broadcast(shard), sum(map(len, keys[:k])))
+        found = found.mapInArrow(numbering, TEXT_ROWS).union(naming)
+    return found
 
 
-def _values(column: pa.Array, i: int, dtype) -> np.ndarray:
-    return column[i].values.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+TEXT_ROWS = "n long, stream binary, words binary, key long, lang string, word string"
+TEXT_NAMES = [field.split()[0] for field in TEXT_ROWS.split(", ")]
+
+
+def _text_row(n: int, stream: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+    none = (pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()))
+    return pa.record_batch(
+        [pa.array([n], pa.int64()), pa.array([pack(stream)], pa.binary()), pa.array([pack(words)], pa.binary()), *none],
+        names=TEXT_NAMES,
+    )
+
+
+def _words(texts: DataFrame, least: int, stage: Stage) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Numbered texts, ``number, lang, word, a`` of frequent words, ``lang, n`` of all, how many are frequent.
+
+    Should two words share a key, all starts anew with another seed.
+    """
+    spark, seed = texts.sparkSession, 0
+    while True:
+        counts = stage(f"words-{seed}", word_counts(texts, seed))
+        frequent = counts.filter((F.col("held") >= least) & F.col("key").isNotNull()).select("key", "held")
+        size = frequent.count()
+        shards = max(1, -(-size // WORDS_TOGETHER))
+        keys, numbers, first = [], [], 0
+        for shard in range(shards):
+            part = frequent.filter(F.pmod(F.col("key"), F.lit(shards)) == shard).select("key").toArrow()["key"].to_numpy()
+            keys.append(np.sort(part))
+            table = pa.table({"key": keys[-1], "number": np.arange(first, first + len(part), dtype=np.int32)})
+            numbers.append(stage(f"numbers-{seed}-{shard}", spark.createDataFrame(table)))
+            first += len(part)
+        rows = stage(f"texts-{seed}", _numbered(texts, keys, seed).drop("stream"))
+        named = stage(f"named-{seed}", rows.filter("n IS NULL").select("key", "lang", "word").distinct())
+        if named.groupBy("key").count().filter("count > 1").isEmpty():
+            break
+        seed += 1
+    every = numbers[0]
+    for part in numbers[1:]:
+        every = every.union(part)
+    vocabulary = stage("vocabulary", named.join(every, "key").join(frequent.withColumnRenamed("held", "a"), "key"))
+    totals = counts.filter(F.col("key").isNull()).select("lang", F.col("held").alias("n"))
+    return rows.filter("n IS NOT NULL").select("n", "words"), vocabulary, totals, size
 
 
 # -- levels ----------------------------------------------------------------
@@ -217,8 +300,8 @@ def _safe_places(words: np.ndarray, state: np.ndarray, width: int) -> np.ndarray
 
 def _pairs(batch: pa.RecordBatch, width: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Bucket, shorter phrase and next word at all safe places, an array at a time."""
-    for i in range(len(batch)):
-        words, state = (_values(batch[c], i, np.int64) for c in ("words", "state"))
+    for i, n in enumerate(batch["n"].to_pylist()):
+        words, state = (unpack(batch[c], i, n).astype(np.int64) for c in ("words", "state"))
         at = _safe_places(words, state, width)
         after = words[at + width - 1]
         bucket = mix((state[at] << np.int64(32) | after).view(np.uint64)) >> np.uint64(64 - bits)
@@ -227,20 +310,15 @@ def _pairs(batch: pa.RecordBatch, width: int, bits: int) -> Iterator[tuple[np.nd
 
 def _heavy_buckets(level: DataFrame, width: int, bits: int, least: int) -> DataFrame:
     def count(batches: Batches) -> Batches:
-        buckets, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def rows():
-            return pa.record_batch([pa.array(buckets), pa.array(held)], names=["bucket", "held"])
-
+        parts: list[np.ndarray] = []
         for batch in batches:
             for bucket, _, _ in _pairs(batch, width, bits):
-                fresh, n = np.unique(bucket, return_counts=True)
-                buckets, at = np.unique(np.concatenate([buckets, fresh]), return_inverse=True)
-                held = np.bincount(at, np.concatenate([held, n]), len(buckets)).astype(np.int64)
-                if len(buckets) > HELD_BUCKETS:
-                    yield rows()
-                    buckets, held = buckets[:0], held[:0]
-        yield rows()
+                parts.append(bucket)
+                if sum(map(len, parts)) > HELD_TOGETHER:
+                    yield _summed(parts, ("bucket", "held"))
+                    parts = []
+        if parts:
+            yield _summed(parts, ("bucket", "held"))
 
     counted = level.mapInArrow(count, "bucket long, held long")
     return counted.groupBy("bucket").agg(F.sum("held").alias("held")).filter(F.col("held") >= least).select("bucket")
@@ -250,55 +328,69 @@ def _candidates(level: DataFrame, heavy: DataFrame, width: int, bits: int) -> Da
     """``state, after`` of the pairs seen in heavy buckets."""
 
     def emit(batches: Batches) -> Batches:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            pair, first = np.unique(np.concatenate([p for _, p in parts]), return_index=True)
+            bucket = np.concatenate([b for b, _ in parts])[first]
+            return pa.record_batch([pa.array(bucket), pa.array(pair)], names=["bucket", "pair"])
+
         for batch in batches:
             for bucket, state, after in _pairs(batch, width, bits):
-                _, first = np.unique(state << np.int64(32) | after, return_index=True)
-                yield pa.record_batch(
-                    [pa.array(x[first]) for x in (bucket, state, after)], names=["bucket", "state", "after"]
-                )
+                parts.append((bucket, state << np.int64(32) | after))
+                if sum(len(p) for _, p in parts) > HELD_TOGETHER:
+                    yield rows()
+                    parts = []
+        if parts:
+            yield rows()
+
+    seen = level.mapInArrow(emit, "bucket long, pair long").join(heavy, "bucket").select("pair").distinct()
+    return seen.select(F.shiftright("pair", 32).alias("state"), F.col("pair").bitwiseAND(F.lit(0x7FFFFFFF)).alias("after"))
+
 
-    seen = level.mapInArrow(emit, "bucket long, state long, after long")
-    return seen.join(heavy, "bucket").select("state", "after").distinct()
+LEVEL = "n long, words binary, state binary"
 
 
 def _accepted(level: DataFrame, tries: list, width: int) -> DataFrame:
-    """``words, state``: the number of the candidate that starts at each place, or -1."""
+    """The level with the number of the candidate that starts at each place, or -1, as state."""
 
-    def walk(trie, first: int):
+    def walk(trie, first: int, last: bool):
         def step(batches: Batches) -> Batches:
             automaton = trie.value
             for batch in batches:
-                for i in range(len(batch)):
-                    words, state, found = (_values(batch[c], i, np.int32) for c in ("words", "state", "found"))
+                for i, n in enumerate(batch["n"].to_pylist()):
+                    words, state = (unpack(batch[c], i, n) for c in ("words", "state"))
+                    found = unpack(batch["found"], i, n).copy() if first else np.full(n, -1, np.int32)
                     at = _safe_places(words, state, width)
                     at = at[found[at] < 0]
                     number = automaton.walk(words, at)
-                    found = found.copy()
                     found[at[number >= 0]] = first + number[number >= 0]
+                    columns = [batch["words"].slice(i, 1)]
+                    columns += [] if last else [batch["state"].slice(i, 1)]
                     yield pa.record_batch(
-                        [pa.array([x], pa.list_(pa.int32())) for x in (words, state, found)],
-                        names=["words", "state", "found"],
+                        [pa.array([n], pa.int64()), *columns, pa.array([pack(found)], pa.binary())],
+                        names=["n", "words", "state"] if last else ["n", "words", "state", "found"],
                     )
 
         return step
 
-    rows = level.withColumn("found", F.expr("transform(words, w -> -1)"))
-    first = 0
-    for trie, size in tries:
-        rows = rows.mapInArrow(walk(trie, first), "words array<int>, state array<int>, found array<int>")
+    rows, first = level, 0
+    for k, (trie, size) in enumerate(tries):
+        last = k == len(tries) - 1
+        rows = rows.mapInArrow(walk(trie, first, last), LEVEL if last else f"{LEVEL}, found binary")
         first += size
-    return rows.select("words", F.col("found").alias("state"))
+    return rows
 
 
 def _counts(level: DataFrame, sizes: list[int]) -> DataFrame:
-    """``number, held``: how often each number of ``state`` occurs."""
+    """``number, a``: how often each number of ``state`` occurs."""
 
     def count(first: int, size: int):
         def bins(batches: Batches) -> Batches:
             held = np.zeros(size, np.int64)
             for batch in batches:
-                for i in range(len(batch)):
-                    state = _values(batch["state"], i, np.int64) - first
+                for i, n in enumerate(batch["n"].to_pylist()):
+                    state = unpack(batch["state"], i, n) - first
                     held += np.bincount(state[(state >= 0) & (state < size)], minlength=size)
             some = np.flatnonzero(held)
             yield pa.record_batch([pa.array(some + first), pa.array(held[some])], names=["number", "held"])
@@ -307,7 +399,7 @@ def _counts(level: DataFrame, sizes: list[int]) -> DataFrame:
 
     parts, first = [], 0
     for size in sizes:
-        parts.append(level.select("state").mapInArrow(count(first, size), "number long, held long"))
+        parts.append(level.select("n", "state").mapInArrow(count(first, size), "number long, held long"))
         first += size
     every = parts[0]
     for more in parts[1:]:
@@ -315,36 +407,6 @@ def _counts(level: DataFrame, sizes: list[int]) -> DataFrame:
     return every.groupBy("number").agg(F.sum("held").alias("a"))
 
 
-def _kept_only(level: DataFrame, counted: DataFrame, sizes: list[int], least: int) -> DataFrame:
-    """The level without the numbers of candidates that turned out rare, one mark a candidate travelling."""
-
-    def drop(marks, first: int, size: int):
-        def step(batches: Batches) -> Batches:
-            rare = np.unpackbits(marks.value, count=size, bitorder="little").astype(bool)
-            for batch in batches:
-                for i in range(len(batch)):
-                    state = _values(batch["state"], i, np.int32).copy()
-                    at = np.flatnonzero((state >= first) & (state < first + size))
-                    state[at[rare[state[at] - first]]] = -1
-                    yield pa.record_batch(
-                        [batch["words"].slice(i, 1), pa.array([state], pa.list_(pa.int32()))], names=["words", "state"]
-                    )
-
-        return step
-
-    first = 0
-    for size in sizes:
-        inside = F.col("number").between(first, first + size - 1)
-        found = counted.filter((F.col("a") < least) & inside).select("number").toArrow()["number"].to_numpy()
-        if len(found):
-            rare = np.zeros(size, bool)
-            rare[found - first] = True
-            marks = level.sparkSession.sparkContext.broadcast(np.packbits(rare, bitorder="little"))
-            level = level.mapInArrow(drop(marks, first, size), "words array<int>, state array<int>")
-        first += size
-    return level
-
-
 def _tries(phrases: DataFrame, digits: int, stage: Stage, width: int) -> tuple[list, DataFrame]:
     """Broadcast tries of all candidates, a bounded number in each, and ``number, words`` of them."""
     spark = phrases.sparkSession
@@ -374,11 +436,8 @@ def frequent_phrases(texts: DataFrame, least: int, longest: int, stage: Stage) -
 
     ``texts`` has the columns ``lang`` and ``text``.
     """
-    counts, seed = _safe_counts(texts, stage)
-    totals = stage("totals", counts.groupBy("lang").agg(F.sum("held").alias("n")))
-    frequent = stage("frequent", counts.filter(F.col("held") >= least))
-    rows, vocabulary, size = _numbered(texts, frequent, seed, stage)
-    every = vocabulary.select(F.array("number").alias("words"), F.col("held").alias("a"))
+    rows, vocabulary, totals, size = _words(texts, least, stage)
+    every = vocabulary.select(F.array("number").alias("words"), "a")
     shorter = vocabulary.select(F.col("number").cast("long").alias("state"), F.array("number").alias("head"))
     level = rows.withColumn("state", F.col("words"))
     digits = digits_for(size)
@@ -398,7 +457,6 @@ def frequent_phrases(texts: DataFrame, least: int, longest: int, stage: Stage) -
         kept = stage(f"frequent-{width}", numbered.join(counted.filter(F.col("a") >= least), "number"))
         every = every.union(kept.select("words", "a"))
         shorter = kept.select(F.col("number").alias("state"), F.col("words").alias("head"))
-        level = _kept_only(level, counted, sizes, least)
         if kept.isEmpty():
             break
     return vocabulary, totals, stage("phrases", every)

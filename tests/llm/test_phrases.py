@@ -92,13 +92,18 @@ def test_full_buckets_lose_nothing(table, monkeypatch):
     assert result(phrases.collocations(docs, least=25, longest=3)) == plain(rows, 25, longest=3)
 
 
-def test_words_of_one_key_get_rows_of_their_own(monkeypatch):
+def test_words_of_one_key_are_all_handed_out(monkeypatch):
     real = phrases.word_hashes
-    monkeypatch.setattr(phrases, "word_hashes", lambda p, s, e, seed: real(p, s, e, seed) % np.uint64(2))
-    texts = ["One two three. two", "three four"]
-    rows = phrases.count_block(pa.array(texts, pa.large_string()), ["en", "en"], 0).to_pylist()
-    assert len({r["key"] for r in rows}) <= 2
-    assert {r["word"]: r["held"] for r in rows} == {"one": 1, "two": 2, "three": 2, "four": 1}
+    monkeypatch.setattr(phrases, "word_hashes", lambda p, s, e, seed: real(p, s, e, seed) % np.uint64(1))
+    texts = pa.array(["One two three. two", "three four"], pa.large_string())
+    words = phrases.Words(texts, ["en", "en"], 0)
+    wanted = np.unique(words.keys.view(np.int64))
+    found = set(phrases.spellings(words, ["en", "en"], wanted))
+    assert len(wanted) == 1 and {w for _, _, w in found} == {"one", "two", "three", "four"}
+    monkeypatch.undo()
+    words = phrases.Words(texts, ["en", "de"], 0)
+    rows = list(phrases.spellings(words, ["en", "de"], np.unique(words.keys.view(np.int64))))
+    assert sorted((g, w) for _, g, w in rows) == [("de", "four"), ("de", "three"), ("en", "one"), ("en", "three"), ("en", "two")]
 
 
 def test_pieces_of_long_texts_give_the_same_words(monkeypatch):
