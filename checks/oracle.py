@@ -407,6 +407,16 @@ ORACLE: dict[str, str] = {
     "published_refresh_totals": _with(
         "users repos", TOTALS.format("after_repos"), REFRESHED
     ),
+    "refresh_rejects": _with("users repos", """
+        SELECT 'account' AS kind, login AS owner, CAST(NULL AS VARCHAR) AS name, 'profile not fetched' AS reason
+        FROM new_users WHERE NOT COALESCE(company <> '', false)
+        UNION ALL SELECT DISTINCT 'account', owner, CAST(NULL AS VARCHAR), 'no profile'
+        FROM new_repos WHERE owner NOT IN (SELECT login FROM new_users)""", BEFORE),
+    "stream_pending_accounts": _with("users repos", """
+        SELECT owner AS login, 'repo' AS kind, COUNT(*) AS lines
+        FROM new_repos WHERE owner NOT IN (SELECT login FROM new_users) GROUP BY owner""", BEFORE),
+    "stream_refresh_straddling_users": STORED_USERS,
+    "stream_refresh_straddling_repos": REFRESH_REPOS,
     "stream_refresh_users": STORED_USERS,
     "stream_refresh_repos": REFRESH_REPOS,
     "hide_users": _with(
@@ -455,6 +465,16 @@ ORACLE: dict[str, str] = {
         WHERE owner NOT IN (SELECT target FROM allowed WHERE action = 'delete')""",
         FILLED | MODERATED,
     ),
+    "moderate_rejects": _with(
+        "repos",
+        f"""SELECT actor, action, target, hide, arrival, CASE action WHEN 'hide'
+        THEN 'Users can only modify themselves' ELSE 'Only admins can delete users' END AS reason
+        FROM judged WHERE NOT {ALLOWED}
+        UNION ALL SELECT actor, action, target, hide, arrival, 'affected no users' FROM judged j
+        WHERE {ALLOWED} AND action = 'hide' AND (target NOT IN (SELECT login FROM users) OR arrival >=
+          (SELECT MIN(d.arrival) FROM allowed d WHERE d.action = 'delete' AND d.target = j.target))""",
+        FILLED | MODERATED,
+    ),
     "evolve_users": _with(
         "users",
         f"""SELECT {_columns(USER)} FROM (SELECT * REPLACE (false AS hide, false AS is_admin,

@@ -531,6 +531,39 @@ def stream_refresh_repos(spark, folder):
     return _streamed(spark, folder).read().repos
 
 
+def _streamed_in_pieces(spark, folder) -> SnapshotStore:
+    """Items dealt over files by what they say, so that an account's lines lie in several micro-batches."""
+    store = _stored_before(spark, folder)
+    path = shared_dir(spark, "landing")
+    _items(spark, folder).repartition(3, F.xxhash64("kind", "body")).write.json(path)
+    stream_refresh(store, path, shared_dir(spark, "stream"), files_per_batch=1).awaitTermination()
+    return store
+
+
+@query
+def stream_refresh_straddling_users(spark, folder):
+    return _streamed_in_pieces(spark, folder).read().users
+
+
+@query
+def stream_refresh_straddling_repos(spark, folder):
+    return _streamed_in_pieces(spark, folder).read().repos
+
+
+@query
+def refresh_rejects(spark, folder):
+    store = _stored_before(spark, folder)
+    run(store, read_items(spark, _landing(spark, folder)), FETCHED)
+    return store.rejects()
+
+
+@query
+def stream_pending_accounts(spark, folder):
+    """Accounts whose lines still wait after the stream, with the number of lines."""
+    store = _streamed_in_pieces(spark, folder)
+    return store.pending(ENVELOPE).groupBy("login", "kind").agg(F.count("*").alias("lines"))
+
+
 # -- moderation ----------------------------------------------------------
 
 
@@ -624,6 +657,12 @@ def moderated_repos(spark, folder):
     return store.read(outcome.version).repos.select("owner", "name", "stargazers_count")
 
 
+@query
+def moderate_rejects(spark, folder):
+    _, outcome = _moderated(spark, folder)
+    return outcome.rejects
+
+
 # -- schema --------------------------------------------------------------
 
 

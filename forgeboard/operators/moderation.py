@@ -11,6 +11,12 @@ from forgeboard.operators.maintenance import last_arrival
 from forgeboard.sources.schema import USER_KEY
 
 
+#: What callers look for in the reasons of requests turned away.
+NO_USER = "affected no users"
+NOT_ONESELF = "Users can only modify themselves"
+NO_ADMIN = "Only admins can delete users"
+
+
 class Hidden(NamedTuple):
     """The users after the requests, and the requests that met no user."""
 
@@ -40,7 +46,7 @@ def hide_users(users: DataFrame, requests: DataFrame) -> Hidden:
     unclear = requests.filter("hide IS NULL")
     return Hidden(
         shown,
-        unmet.withColumn("reason", F.lit("affected no users")).unionByName(
+        unmet.withColumn("reason", F.lit(NO_USER)).unionByName(
             unclear.withColumn("reason", F.lit("hide is required"))
         ),
     )
@@ -87,8 +93,8 @@ def authorize(requests: DataFrame, users: DataFrame) -> Decided:
     judged = requests.join(actors, "actor", "left").withColumn(
         "_may", F.coalesce(may, F.lit(False))
     )
-    reason = F.when(F.col("action") == "hide", "Users can only modify themselves").when(
-        F.col("action") == "delete", "Only admins can delete users"
+    reason = F.when(F.col("action") == "hide", NOT_ONESELF).when(
+        F.col("action") == "delete", NO_ADMIN
     ).otherwise("unknown action")
     return Decided(
         judged.filter("_may").select(*requests.columns),

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Stage = Callable[[str, DataFrame], DataFrame]
+Stage = Callable[..., DataFrame]
 
 # Settings the plans rely on. Joins on an owner can meet a hot owner, which
 # adaptive execution splits; the forced form splits it even when the join
@@ -70,14 +70,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def stage_in(folder: str) -> Stage:
-    """Write tables below ``folder`` and hand back what can be read there.
+    """Write tables below ``folder``, parted by the columns named, and hand back what can be read there.
 
     What was written survives the loss of any executor, is computed once, and
     has a size the optimizer knows.
     """
 
-    def stage(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+    def stage(name: str, df: DataFrame, *by: str) -> DataFrame:
+        df.write.partitionBy(*by).parquet(f"{folder}/{name}")
         return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     return stage

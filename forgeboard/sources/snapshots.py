@@ -48,7 +48,15 @@ COMMIT = T.StructType(
 
 REJECTS = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "owner", "name", "reason")])
 FILES = T.StructType([T.StructField("file", T.StringType()), T.StructField("modified", T.TimestampType())])
-#: Names, in a commit, the write that holds a run's rejects and files.
+VISITS = T.StructType(
+    [
+        T.StructField("login", T.StringType()),
+        T.StructField("profile_at", T.TimestampType()),
+        T.StructField("came", T.BooleanType()),
+        T.StructField("started", T.TimestampType()),
+    ]
+)
+#: Names, in a commit, the write that holds what a run kept beside the tables.
 RUN_ROWS = "run"
 
 
@@ -177,16 +185,12 @@ class SnapshotStore:
         """A name for what is about to be written; it counts once a version names it."""
         return f"{(self.latest() or 0) + 1:010d}-{uuid.uuid4().hex[:8]}"
 
-    def keep_rejects(self, write: str, rejects: DataFrame) -> None:
-        """Payload rows a version could not take, with the reason."""
-        rejects.write.parquet(f"{self.root}/rejects/write={write}")
+    def keep(self, write: str, table: str, rows: DataFrame) -> None:
+        """Rows that go with a version: ``rejects``, ``files``, ``visits`` or ``pending``."""
+        rows.write.parquet(f"{self.root}/{table}/write={write}")
 
-    def keep_files(self, write: str, files: DataFrame) -> None:
-        """The landed files that a version took in."""
-        files.select(*FILES.names).write.parquet(f"{self.root}/files/write={write}")
-
-    def _of_versions(self, table: str, schema: T.StructType) -> DataFrame:
-        """Rows written along with versions, without those of writes that came to nothing."""
+    def _of_versions(self, table: str, schema: T.StructType, newest: bool = False) -> DataFrame:
+        """Rows written along with versions, or with the newest, without those of writes that came to nothing."""
         with_write = T.StructType([*schema.fields, T.StructField("write", T.StringType())])
         try:
             rows = self.spark.read.schema(with_write).parquet(f"{self.root}/{table}")
@@ -194,15 +198,26 @@ class SnapshotStore:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
-        named = self._commits().filter(F.col("table") == RUN_ROWS).select("write")
+        named = self._commits().filter(F.col("table") == RUN_ROWS)
+        named = named.agg(F.max_by("write", "version").alias("write")) if newest else named.select("write")
         return rows.join(named, "write", "left_semi").select(*schema.names)
 
     def rejects(self) -> DataFrame:
+        """Payload rows and accounts that no version could take, with the reason."""
         return self._of_versions("rejects", REJECTS)
 
     def files(self) -> DataFrame:
+        """The landed files that versions took in."""
         return self._of_versions("files", FILES)
 
+    def visits(self) -> DataFrame:
+        """Accounts visited: when the profile came, whether it was good, when the listing began."""
+        return self._of_versions("visits", VISITS)
+
+    def pending(self, schema: T.StructType) -> DataFrame:
+        """Lines that wait for the profile of their account."""
+        return self._of_versions("pending", schema, newest=True)
+
     # -- publishing ------------------------------------------------------
 
     def _write(self, table: str, df: DataFrame, parts: int, write: str) -> set[int]:

@@ -23,8 +23,11 @@ def stream_refresh(
 ) -> StreamingQuery:
     """Refresh ``store`` from files of envelope lines as they land.
 
-    A file holds everything about the accounts in it, since a micro-batch
-    takes whole files. Files are known by path and modification time: those
+    An account's lines may lie in several files. Those that come before its
+    profile wait in the store, whatever the number of micro-batches, and count
+    once the profile is there; those that come after it follow what became of
+    it. A late line that cannot be read no longer keeps its listing, once
+    applied, from pruning. Files are known by path and modification time: those
     that a version has taken in are passed over, whether the checkpoint replays
     a batch or a new one starts from the first file.
     """
@@ -47,7 +50,7 @@ def stream_refresh(
         if fresh.isEmpty():
             return
         kept = numbered.join(fresh, ["file", "modified"], "left_semi").drop("file", "modified")
-        run(store, kept, datetime.now(UTC), files=fresh)
+        run(store, kept, datetime.now(UTC), files=fresh, hold=True)
 
     writer = lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

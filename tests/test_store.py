@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
@@ -88,7 +89,7 @@ def test_refresh_rules(spark, store, tmp_path):
     assert users["full"].followers == 5
     assert users["hidden"].hide and not users["fresh"].hide
     assert rows(after.totals, "owner", "stars")[0] == ("absent", 20)
-    assert set(column(spark.read.parquet(f"{store.root}/rejects"), "reason")) == {"unknown item"}
+    assert set(column(spark.read.parquet(f"{store.root}/rejects"), "reason")) == {"unknown item", "profile not fetched"}
     assert store.runs().count() == 1
     # The first version is still there.
     assert store.read(1).repos.count() == 12
@@ -199,6 +200,58 @@ def test_stream_equals_one_run(spark, store, tmp_path):
     assert store.read().users.filter("login = 'full'").first().followers == 77
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_over_split_accounts_equals_one_run(spark, store, make, tmp_path, seed):
+    rng = random.Random(seed)
+    whole, split = tmp_path / "whole", tmp_path / "split"
+    whole.mkdir(), split.mkdir()
+    alone = type(store)(spark, shared_dir(spark, "alone"), parts=3)
+    alone.publish(Snapshot(store.read().users, store.read().repos))
+    run(alone, read_items(spark, landing(whole)), T1, hold=True)
+    dealt = {n: [] for n in range(4)}
+    for text in LINES:
+        dealt[rng.randrange(4)].append(text)
+    for n, lines in dealt.items():
+        landing(split, lines, f"{n}.json")
+    stream_refresh(store, str(split), shared_dir(spark, "stream"), files_per_batch=1).awaitTermination()
+    assert rows(store.read().repos, *REPO.names) == rows(alone.read().repos, *REPO.names) != []
+    assert rows(store.read().users, *USER.names) == rows(alone.read().users, *USER.names)
+    assert set(rows(store.rejects(), "kind", "owner", "reason")) == set(rows(alone.rejects(), "kind", "owner", "reason"))
+    assert store.pending(ENVELOPE).isEmpty()
+
+
+def test_lines_wait_for_their_profile(spark, store, tmp_path):
+    def batch(n, *lines):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        run(store, read_items(spark, landing(folder, lines)), T1, hold=True)
+
+    batch(1, *listed("fresh", "one"), *listed("full", "x"), *listed("late", "a"))
+    assert {r.login for r in store.pending(ENVELOPE).collect()} == {"fresh", "full", "late"}
+    assert store.rejects().isEmpty() and ("full", "y") in rows(store.read().repos, "owner", "name")
+    batch(2, profile("fresh"), profile("full", ok=False))
+    assert rows(store.read().repos.filter("owner = 'fresh'"), "name", "stargazers_count") == [("one", 1)]
+    assert {r.login for r in store.pending(ENVELOPE).collect()} == {"late"}
+    assert rows(store.rejects(), "kind", "owner", "reason") == [("account", "full", "profile not fetched")]
+    # More of the same visits: what came of the profile holds for them too.
+    batch(3, line("repo", "fresh", body={"owner": {"login": "fresh"}, "name": "two"}), *listed("full", "z"))
+    assert rows(store.read().repos.filter("owner = 'fresh'"), "name") == [("one",), ("two",)]
+    assert ("full", "z") not in rows(store.read().repos, "owner", "name")
+    # A run that does not hold leaves a reject, and what waited goes on waiting.
+    folder = tmp_path / "4"
+    folder.mkdir()
+    run(store, read_items(spark, landing(folder, listed("nobody", "x"))), T2)
+    assert ("account", "nobody", "no profile") in rows(store.rejects(), "kind", "owner", "reason")
+    assert {r.login for r in store.pending(ENVELOPE).collect()} == {"late"}
+
+
+def test_lines_are_parsed_once(spark, store, tmp_path):
+    landed = land(read_items(spark, landing(tmp_path)))
+    for df in (landed.users, landed.repos, landed.listed, landed.rejects):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan json" not in plan and "FileScan parquet" in plan
+
+
 def test_a_row_that_cannot_be_read_prunes_nothing(spark, store, tmp_path):
     lines = [profile("full"), *listed("full", "x")]
     cut_off = json.loads(line("repo", "full", body={})) | {"body": '{"name": "y", "owner": {"log'}
@@ -211,7 +264,7 @@ def test_a_row_that_cannot_be_read_prunes_nothing(spark, store, tmp_path):
 
 def test_rejects_of_a_run_that_failed_do_not_count(spark, store):
     found = spark.createDataFrame([("repo", "o", "n", "why")], "kind string, owner string, name string, reason string")
-    store.keep_rejects(store.new_write(), found)
+    store.keep(store.new_write(), "rejects", found)
     assert store.rejects().isEmpty()
 
 
@@ -234,6 +287,35 @@ def test_envelope_schema():
     assert ENVELOPE.names == ["kind", "login", "fetched_at", "ok", "body"]
 
 
+def test_moderation_in_order_of_arrival(store, make):
+    asked = make.frame(
+        "actor string, action string, target string, hide boolean, arrival int",
+        ("chief", "hide", "full", True, 1),
+        ("chief", "delete", "full", None, 2),
+        ("chief", "hide", "full", False, 3),
+        ("chief", "delete", "full", None, 4),
+        ("chief", "delete", "empty", None, None),
+        ("chief", "hide", "empty", True, 1),
+        ("chief", "hide", "hidden", False, None),
+        ("chief", "hide", "hidden", True, 9),
+        ("chief", "delete", "broken", None, 5),
+        ("chief", "hide", "broken", True, 5),
+        ("broken", "hide", "broken", None, 6),
+    )
+    before = store.read()
+    store.publish(Snapshot(before.users.union(make.users({"login": "chief", "is_admin": True})), before.repos))
+    version, rejects = moderate(store, asked)
+    after = store.read(version)
+    assert not {"full", "empty", "broken"} & set(column(after.users, "login"))
+    assert ("hidden", True) in rows(after.users, "login", "hide")
+    assert rows(rejects, "actor", "target", "hide", "arrival", "reason") == sorted([
+        ("broken", "broken", None, 6, "affected no users"),
+        ("chief", "broken", True, 5, "affected no users"),
+        ("chief", "empty", True, 1, "affected no users"),
+        ("chief", "full", False, 3, "affected no users"),
+    ], key=str)
+
+
 def test_moderation_of_stored_tables(store, make):
     asked = make.frame(
         "actor string, action string, target string, hide boolean, arrival int",
