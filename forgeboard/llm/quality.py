@@ -41,11 +41,15 @@ STRENGTH = (1.0, 1e6)
 #: What a text says about its site is held between these log-odds.
 EVIDENCE = 12.0
 
-COUNTS = 9  # sums from which the shape follows; they add up over pieces of a text
+COUNTS = 9  # sums from which the shape follows
+KINDS, REPEATS = 6, 7  # the two that do not simply add up over pieces of a text
 
 
-def _counts(column: pa.Array) -> np.ndarray:
-    """Per text: characters, letters, capitals, digits, symbols, words, distinct words, repeats, word characters."""
+def _counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: characters, letters, capitals, digits, symbols, words, distinct words, repeats, word characters.
+
+    The second array holds the hashes of all words in order.
+    """
     points, at, _ = flat(column)
     n = len(column)
     kind = classes()[points]
@@ -71,7 +75,20 @@ def _counts(column: pa.Array) -> np.ndarray:
             total(text, ends - starts),
         ],
         axis=1,
-    )
+    ), hashes
+
+
+def _long_counts(text: str) -> np.ndarray:
+    """The counts of one long text, taken in pieces; they are those of the whole."""
+    sums, kinds, before = np.zeros(COUNTS), np.zeros(0, np.uint64), None
+    for piece in safe_pieces(text, BLOCK_BYTES // 2):
+        counts, hashes = _counts(pa.array([piece], pa.large_string()))
+        sums += counts[0]
+        if len(hashes):
+            sums[REPEATS] += before is not None and before == hashes[0]
+            kinds, before = np.union1d(kinds, hashes), hashes[-1]
+    sums[KINDS] = len(kinds)
+    return sums
 
 
 _TABLES: dict[str, np.ndarray] = {}
@@ -99,10 +116,9 @@ def shape(column: pa.Array) -> np.ndarray:
     sums = np.zeros((len(column), COUNTS))
     for start, stop in by_bytes(column):
         if stop - start == 1 and len(text := column[start].as_py()) > BLOCK_BYTES // 2:
-            for piece in safe_pieces(text, BLOCK_BYTES // 2):
-                sums[start] += _counts(pa.array([piece], pa.large_string()))[0]
+            sums[start] = _long_counts(text)
         else:
-            sums[start:stop] = _counts(column.slice(start, stop - start))
+            sums[start:stop] = _counts(column.slice(start, stop - start))[0]
     chars, letters, capitals, digits, symbols, words, kinds, repeats, inside = sums.T
     per = lambda a, b: a / np.maximum(b, 1)
     return np.stack(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 from collections.abc import Iterator
@@ -10,6 +11,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+#: Blocks of memory from this size on go back to the system as soon as they are free.
+RETURNED_BYTES = 1 << 20
+
+
+def return_memory() -> None:
+    """Let a reused worker keep no more memory than it uses.
+
+    The working arrays of a task are large and short-lived; left to itself the
+    C library keeps them, and Arrow its buffers, for the life of the worker.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        allocator = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):  # a C library without this knob
+        return
+    for parameter in (-1, -3):  # M_TRIM_THRESHOLD and M_MMAP_THRESHOLD
+        allocator(parameter, RETURNED_BYTES)
+
+
+return_memory()
+
 #: Classes of characters.
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Bytes of text taken at a time; with it go the working arrays of a task.
