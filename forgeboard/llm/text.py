@@ -11,8 +11,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-#: Blocks of memory from this size on go back to the system as soon as they are free.
-RETURNED_BYTES = 1 << 20
+#: Single allocations from this size on, and unused memory beyond it, go back to the system at once.
+RETURNED_BYTES = 1 << 25
 
 
 def return_memory() -> None:
