@@ -167,15 +167,13 @@ def judge(docs: DataFrame) -> DataFrame:
     common = stage("common", _common_words(rows))
     rows = rows.join(common.select("lang", F.col("common.word").alias("common")), "lang", "left")
 
-    # Two spaces beside every word, so that no two occurrences share one.
-    spaced = F.lower(F.concat(F.lit("  "), F.array_join("words", "  "), F.lit("  ")))
-    rows = with_repeats(_measured(rows)).withColumn("spaced", spaced)
+    # Each word's place among its language's common ones, those without one left out.
+    place = F.transform("words", lambda word: F.array_position(F.col("common"), F.lower(word)))
+    rows = with_repeats(_measured(rows)).withColumn("places", F.array_remove(place, F.lit(0).cast("long")))
 
     def occurrences(i: int) -> Column:
-        word = F.get(F.col("common"), F.lit(i))
-        left = F.octet_length(F.replace(F.col("spaced"), F.concat(F.lit(" "), word, F.lit(" ")), F.lit("")))
-        found = (F.octet_length("spaced") - left) / (F.octet_length(word) + 2)
-        return F.coalesce(found, F.lit(0)).cast("long")
+        others = F.array_remove("places", F.lit(i + 1).cast("long"))
+        return (F.size("places") - F.size(others)).cast("long")
 
     kept_counts = ["doc_id", "lang", "n_chars", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", *CLASSES]
     rows = stage(
