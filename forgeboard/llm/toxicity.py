@@ -47,6 +47,8 @@ PREFIXES = (4, 5, 6)
 #: The most toxic documents to learn from (of clean ones twice as many), and the bytes of one.
 SAMPLE = 1000
 SAMPLE_BYTES = 1 << 15
+#: Labels (an id and a flag each) that are sent to every executor at most.
+SENT_LABELS = 4_000_000
 #: Sequences to learn from.
 MOST_SEQUENCES = 8000
 THRESHOLD = 0.7
@@ -184,22 +186,34 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
             yield texts.slice(start, stop - start), np.arange(start, stop)
 
 
+#: Features of a task that are added up together.
+HELD_TOGETHER = 1 << 20
+
+
 def _clean_features(texts: DataFrame) -> DataFrame:
-    """``feature, clean``: in how many of these texts (2 MB pieces of long ones) a feature is."""
+    """``feature, clean``: in how many of these texts (pieces of long ones) a feature is."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+
+        def rows() -> pa.RecordBatch:
+            keys, held = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(held)], names=["feature", "clean"])
+
         for batch in batches:
             for part, _ in _blocks(batch["text"]):
                 words = words_of(part)
-                if not len(words.kinds):
-                    continue
                 _, first = distinct(words.text * len(words.features) + words.kinds)
                 wide = words.features.shape[1] - 1  # endings tell too little by themselves
                 found = words.features[words.kinds[first], :-1].ravel()
                 of = np.repeat(words.text[first], wide).astype(np.uint64)
                 _, first = distinct(mix(found) ^ (of * np.uint64(0x9E3779B97F4A7C15)))
-                keys, held = np.unique(found[first], return_counts=True)
-                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(held)], names=["feature", "clean"])
+                parts.append(found[first])
+                if sum(map(len, parts)) > HELD_TOGETHER:
+                    yield rows()
+                    parts.clear()
+        if parts:
+            yield rows()
 
     return texts.select("text").mapInArrow(count, "feature long, clean long").groupBy("feature").agg(
         F.sum("clean").alias("clean")
@@ -207,12 +221,16 @@ def _clean_features(texts: DataFrame) -> DataFrame:
 
 
 def _settings(texts: DataFrame, lexicon: np.ndarray) -> DataFrame:
-    """``feature, before, doc``, once each, from texts ``text, doc`` without a word of ``lexicon``; feature 0 is in all."""
+    """``feature, before, docs`` from texts without a word of ``lexicon``, all of them different.
+
+    A row is a setting, a feature after a certain word, once for every block
+    of texts. ``docs`` sums up to the number of texts that hold the feature:
+    the first setting of a feature in a block carries it. Feature 0 is in all texts.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch["doc"].to_numpy()
-            for part, number in _blocks(batch["text"]):
+            for part, _ in _blocks(batch["text"]):
                 words = words_of(part)
                 wide = words.features.shape[1] - 1
                 known = np.isin(words.features[:, :-1], lexicon).any(axis=1)
@@ -223,18 +241,26 @@ def _settings(texts: DataFrame, lexicon: np.ndarray) -> DataFrame:
                 use = np.flatnonzero(~told[words.text])
                 found = words.features[words.kinds[use], :-1].ravel()
                 prior, of = np.repeat(before[use], wide), np.repeat(words.text[use], wide)
-                _, first = distinct(mix(mix(found) ^ prior) ^ mix(of.astype(np.uint64)))
-                whole = docs[number[np.flatnonzero(~told)]]
+                # In how many texts of the block each feature is.
+                _, once = distinct(mix(found) ^ mix(of.astype(np.uint64)))
+                keys, held = np.unique(found[once], return_counts=True)
+                _, first = distinct(mix(mix(found) ^ prior))
+                found, prior = found[first], prior[first]
+                order = np.argsort(found, kind="stable")
+                found, prior = found[order], prior[order]
+                docs = np.zeros(len(found), np.int64)
+                docs[np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])] = held
+                whole = int((~told).sum())
                 yield pa.record_batch(
                     [
-                        pa.array(np.append(found[first].view(np.int64), np.zeros(len(whole), np.int64))),
-                        pa.array(np.append(prior[first].view(np.int64), whole)),
-                        pa.array(np.append(docs[number[of[first]]], whole)),
+                        pa.array(np.append(found.view(np.int64), 0)),
+                        pa.array(np.append(prior.view(np.int64), 0)),
+                        pa.array(np.append(docs, whole)),
                     ],
-                    names=["feature", "before", "doc"],
+                    names=["feature", "before", "docs"],
                 )
 
-    return texts.select("text", "doc").mapInArrow(find, "feature long, before long, doc long")
+    return texts.select("text").mapInArrow(find, "feature long, before long, docs long")
 
 
 def telling(labelled: DataFrame) -> np.ndarray:
@@ -248,13 +274,13 @@ def telling(labelled: DataFrame) -> np.ndarray:
     clean = labelled.filter("toxic = 0")
     n_clean = float(clean.count())
     clean = stage("clean", _clean_features(clean))
-    toxic = labelled.filter("toxic = 1").withColumn("doc", F.xxhash64("text"))
+    toxic = stage("toxic", labelled.filter("toxic = 1").select("text").distinct())
     lexicon = np.zeros(0, np.uint64)
     for step in range(ROUNDS):
         support = stage(
             f"toxic-{step}",
-            _settings(toxic, lexicon).groupBy("feature")
-            .agg(F.count_distinct("before").alias("settings"), F.count_distinct("doc").alias("docs"))
+            _settings(toxic, lexicon).groupBy("feature", "before").agg(F.sum("docs").alias("docs"))
+            .groupBy("feature").agg(F.count("*").alias("settings"), F.sum("docs").alias("docs"))
             .select("feature", F.least("settings", "docs").cast("double").alias("held"), "docs"),
         )
         whole = support.filter("feature = 0").first()
@@ -406,8 +432,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
         .select("doc_id", F.col("text").cast("string"))
     )
     rows = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lexicon = telling(texts.join(rows, "doc_id").select("text", "toxic"))
-    texts = texts.filter(F.octet_length("text") <= SAMPLE_BYTES)
+    # The labels are written and counted, and meet the texts once: few enough
+    # of them go to the texts, more of them are joined by shuffling both.
+    stage = stage_in(shared_dir(docs.sparkSession, "toxicity"))
+    rows = stage("rows", rows)
+    labelled = stage("labelled", texts.join(F.broadcast(rows) if rows.count() <= SENT_LABELS else rows, "doc_id"))
+    lexicon = telling(labelled.select("text", "toxic"))
+    texts = labelled.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES)
     # The labelled ids are thinned out before they meet a text.
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     lot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
@@ -442,7 +473,7 @@ def score(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFr
     """``doc_id, held_out, score, predicted, spans`` for every row.
 
     ``spans`` are the toxic stretches with code point offsets. Texts are read
-    whole; one of more than about 2 MB in pieces cut between words. Null and
+    whole; one of more than 1 MB in pieces of half of that, cut between words. Null and
     empty texts, and texts without a letter, score 0. A null id is not held
     out; repeated rows are scored each; an empty table gives no rows. Only id
     and text are read, and nothing is shuffled.
