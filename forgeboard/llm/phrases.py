@@ -37,6 +37,8 @@ from forgeboard.session import Stage, shared_dir, stage_in
 WORDS_TOGETHER, TRIE_PHRASES = 2_000_000, 250_000
 #: Words or places of a task that are added up together.
 HELD_TOGETHER = 1 << 21
+#: Leading bits of a bucket that the bitmap of heavy buckets tells apart (8 MB), and counts in a block.
+MARK_BITS, COUNT_BLOCK = 26, 4096
 #: Score of a phrase whose parts never stand apart, halved.
 SCALE = 2_000_000
 UNKNOWN_LANGUAGE = "und"
@@ -104,18 +106,27 @@ class Words:
         return key[np.append(True, ~again)[: len(key)]]
 
 
-def spellings(words: Words, langs: list[str], wanted: np.ndarray) -> Iterator[tuple[int, str, str]]:
-    """Key, language and spelling of every word whose key is among the sorted ``wanted``.
+class Names:
+    """The spellings of wanted keys, each handed out once, or again for another word of its key."""
 
-    Words of one key are compared letter by letter; if they differ, each of
-    them is handed out, so that the clash is seen.
-    """
-    at = np.flatnonzero(_place_in(wanted, words.keys.view(np.int64)) >= 0)
-    codes, first = distinct(words.keys[at])
-    if all_alike(words.points, words.starts[at], words.ends[at], first[codes]):
-        at = at[first]
-    for i in at.tolist():
-        yield int(words.keys[i].view(np.int64)), langs[words.text[i]], words.word(i)
+    def __init__(self, wanted: np.ndarray, seed: int):
+        self.wanted, self.seed = wanted, seed
+        self.checks = np.zeros(len(wanted), np.uint64)  # a second hash of the word named
+        self.known = np.zeros(len(wanted), bool)
+
+    def fresh(self, words: Words, langs: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Key, language and spelling of words not named so far."""
+        place = _place_in(self.wanted, words.keys.view(np.int64))
+        at = np.flatnonzero(place >= 0)
+        codes, first = distinct(words.keys[at])
+        if all_alike(words.points, words.starts[at], words.ends[at], first[codes]):
+            at = at[first]
+        place = place[at]
+        checks = word_hashes(words.points, words.starts[at], words.ends[at], self.seed + 1)
+        new = ~self.known[place] | (self.checks[place] != checks)
+        self.known[place[new]], self.checks[place[new]] = True, checks[new]
+        for i in at[new].tolist():
+            yield int(words.keys[i].view(np.int64)), langs[words.text[i]], words.word(i)
 
 
 def _place_in(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -199,15 +210,13 @@ def _numbered(texts: DataFrame, keys: list[np.ndarray], seed: int) -> DataFrame:
 
     def spell(shard):
         def rows(batches: Batches) -> Batches:
-            known, named = shard.value, {}
+            known = shard.value
+            names = Names(known, seed)
             for batch in batches:
                 fresh: list[tuple[int, str, str]] = []
 
                 def look(words: Words, langs: list[str]) -> None:
-                    for row in spellings(words, langs, known):
-                        if named.get(row[0]) != row[1:]:
-                            named[row[0]] = row[1:]
-                            fresh.append(row)
+                    fresh.extend(names.fresh(words, langs))
 
                 for stream in streams(batch, seed, look):
                     stream = stream.view(np.int64)
@@ -324,11 +333,29 @@ def _heavy_buckets(level: DataFrame, width: int, bits: int, least: int) -> DataF
     return counted.groupBy("bucket").agg(F.sum("held").alias("held")).filter(F.col("held") >= least).select("bucket")
 
 
+def _marks(heavy: DataFrame, bits: int) -> np.ndarray:
+    """A bit for every ``MARK_BITS`` leading bits of a bucket, set where a heavy one lies; its size is fixed."""
+    lead = F.shiftright("bucket", max(0, bits - MARK_BITS))
+    bit = F.expr("shiftleft(1L, cast(lead & 63 as int))")
+    cells = heavy.select(lead.alias("lead")).groupBy(F.shiftright("lead", 6).alias("cell")).agg(F.bit_or(bit).alias("held"))
+    found = cells.toArrow()  # at most 2 ** (MARK_BITS - 6) rows
+    marks = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+    marks[found["cell"].to_numpy()] = found["held"].to_numpy().view(np.uint64)
+    return marks
+
+
 def _candidates(level: DataFrame, heavy: DataFrame, width: int, bits: int) -> DataFrame:
-    """``state, after`` of the pairs seen in heavy buckets."""
+    """``state, after`` of the pairs seen in heavy buckets.
+
+    Most pairs of light buckets stay in their task, by a bitmap of fixed size;
+    the join with the buckets themselves leaves out the others.
+    """
+    sent = level.sparkSession.sparkContext.broadcast(_marks(heavy, bits))
+    drop = np.int64(max(0, bits - MARK_BITS))
 
     def emit(batches: Batches) -> Batches:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
+        marks = sent.value
 
         def rows() -> pa.RecordBatch:
             pair, first = np.unique(np.concatenate([p for _, p in parts]), return_index=True)
@@ -337,15 +364,18 @@ def _candidates(level: DataFrame, heavy: DataFrame, width: int, bits: int) -> Da
 
         for batch in batches:
             for bucket, state, after in _pairs(batch, width, bits):
-                parts.append((bucket, state << np.int64(32) | after))
+                lead = bucket >> drop
+                held = (marks[lead >> 6] >> (lead & 63).astype(np.uint64)) & np.uint64(1) == 1
+                parts.append((bucket[held], (state << np.int64(32) | after)[held]))
                 if sum(len(p) for _, p in parts) > HELD_TOGETHER:
                     yield rows()
                     parts = []
         if parts:
             yield rows()
 
-    seen = level.mapInArrow(emit, "bucket long, pair long").join(heavy, "bucket").select("pair").distinct()
-    return seen.select(F.shiftright("pair", 32).alias("state"), F.col("pair").bitwiseAND(F.lit(0x7FFFFFFF)).alias("after"))
+    # One row a pair first, so that the join sees no pair once a task.
+    seen = level.mapInArrow(emit, "bucket long, pair long").distinct()
+    return seen.join(heavy, "bucket").select(F.shiftright("pair", 32).alias("state"), F.col("pair").bitwiseAND(F.lit(0x7FFFFFFF)).alias("after"))
 
 
 LEVEL = "n long, words binary, state binary"
@@ -383,28 +413,45 @@ def _accepted(level: DataFrame, tries: list, width: int) -> DataFrame:
 
 
 def _counts(level: DataFrame, sizes: list[int]) -> DataFrame:
-    """``number, a``: how often each number of ``state`` occurs."""
+    """``number, a``: how often each number of ``state`` occurs.
+
+    A task counts in one array for a trie; what it hands on are blocks of that
+    array, which are added up block by block.
+    """
 
     def count(first: int, size: int):
         def bins(batches: Batches) -> Batches:
-            held = np.zeros(size, np.int64)
+            held = np.zeros(-(-size // COUNT_BLOCK) * COUNT_BLOCK, np.int64)
             for batch in batches:
                 for i, n in enumerate(batch["n"].to_pylist()):
                     state = unpack(batch["state"], i, n) - first
-                    held += np.bincount(state[(state >= 0) & (state < size)], minlength=size)
-            some = np.flatnonzero(held)
-            yield pa.record_batch([pa.array(some + first), pa.array(held[some])], names=["number", "held"])
+                    held += np.bincount(state[(state >= 0) & (state < size)], minlength=len(held))
+            blocks = held.reshape(-1, COUNT_BLOCK)
+            some = np.flatnonzero(blocks.any(axis=1))
+            start = first + some * COUNT_BLOCK
+            yield pa.record_batch(
+                [pa.array(start), pa.array([pack(b) for b in blocks[some]], pa.binary())], names=["start", "held"]
+            )
 
         return bins
 
+    def add(batches: Batches) -> Batches:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, start in enumerate(batch["start"].to_pylist()):
+                sums[start] = sums.get(start, 0) + unpack(batch["held"], i, COUNT_BLOCK, np.int64)
+        for start, held in sums.items():
+            some = np.flatnonzero(held)
+            yield pa.record_batch([pa.array(start + some), pa.array(held[some])], names=["number", "a"])
+
     parts, first = [], 0
     for size in sizes:
-        parts.append(level.select("n", "state").mapInArrow(count(first, size), "number long, held long"))
+        parts.append(level.select("n", "state").mapInArrow(count(first, size), "start long, held binary"))
         first += size
     every = parts[0]
     for more in parts[1:]:
         every = every.union(more)
-    return every.groupBy("number").agg(F.sum("held").alias("a"))
+    return every.repartition("start").mapInArrow(add, "number long, a long")
 
 
 def _tries(phrases: DataFrame, digits: int, stage: Stage, width: int) -> tuple[list, DataFrame]:

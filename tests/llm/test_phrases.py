@@ -98,11 +98,13 @@ def test_words_of_one_key_are_all_handed_out(monkeypatch):
     texts = pa.array(["One two three. two", "three four"], pa.large_string())
     words = phrases.Words(texts, ["en", "en"], 0)
     wanted = np.unique(words.keys.view(np.int64))
-    found = set(phrases.spellings(words, ["en", "en"], wanted))
+    found = set(phrases.Names(wanted, 0).fresh(words, ["en", "en"]))
     assert len(wanted) == 1 and {w for _, _, w in found} == {"one", "two", "three", "four"}
     monkeypatch.undo()
     words = phrases.Words(texts, ["en", "de"], 0)
-    rows = list(phrases.spellings(words, ["en", "de"], np.unique(words.keys.view(np.int64))))
+    names = phrases.Names(np.unique(words.keys.view(np.int64)), 0)
+    rows = list(names.fresh(words, ["en", "de"]))
+    assert not list(names.fresh(words, ["en", "de"]))
     assert sorted((g, w) for _, g, w in rows) == [("de", "four"), ("de", "three"), ("en", "one"), ("en", "three"), ("en", "two")]
 
 
