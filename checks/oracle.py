@@ -353,6 +353,26 @@ ORACLE: dict[str, str] = {
         f"""SELECT login FROM users WHERE {NEAR} AND created_at IS NOT NULL
         UNION SELECT login FROM users WHERE type = 'Organization'""",
     ),
+    "candidate_split_windows": _with(
+        "users",
+        f"""SELECT "window", CAST(a AS VARCHAR) AS first, CAST(b AS VARCHAR) AS last, n AS candidates, n > 5 AS near_ceiling
+        FROM (WITH RECURSIVE days AS (
+            SELECT created, COUNT(*) AS n FROM (
+              SELECT login, MIN(CAST(created_at AS DATE)) AS created FROM users WHERE {NEAR} GROUP BY login)
+            WHERE created IS NOT NULL GROUP BY created),
+          halves AS (
+            SELECT "window", a, b, (SELECT SUM(n) FROM days WHERE created BETWEEN a AND b) AS n
+            FROM (SELECT 'early' AS "window", (SELECT MIN(created) FROM days) AS a, DATE '2011-12-31' AS b
+              UNION ALL SELECT 'wide', DATE '2011-06-01', DATE '2019-06-30'
+              UNION ALL SELECT 'inner', DATE '2014-01-01', DATE '2014-12-31'
+              UNION ALL SELECT 'late', DATE '2021-01-02', (SELECT MAX(created) FROM days))
+            UNION ALL
+            SELECT "window", a2, b2, (SELECT SUM(n) FROM days WHERE created BETWEEN a2 AND b2)
+            FROM (SELECT "window", CASE side WHEN 0 THEN a ELSE a + CAST((b - a) // 2 + 1 AS INTEGER) END AS a2,
+                CASE side WHEN 0 THEN a + CAST((b - a) // 2 AS INTEGER) ELSE b END AS b2
+              FROM halves, (VALUES (0), (1)) s(side) WHERE n > 5 AND a < b))
+          SELECT "window", a, b, CAST(n AS BIGINT) AS n FROM halves WHERE n > 0 AND (n <= 5 OR a = b))""",
+    ),
     "candidate_window_counts": _with(
         "users",
         f"""SELECT "window", COUNT(DISTINCT login) AS candidates, COUNT(DISTINCT login) > 10 AS near_ceiling

@@ -7,7 +7,7 @@ with any other engine.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -323,6 +323,18 @@ def candidate_window_counts(spark, folder):
     return candidates.candidate_window_counts(mapping.users(spark, folder), cap=10)
 
 
+@query
+def candidate_split_windows(spark, folder):
+    """Windows that overlap and leave gaps, cut until no part holds more than five candidates."""
+    windows = [
+        candidates.CreationWindow("early", None, date(2012, 1, 1)),
+        candidates.CreationWindow("wide", date(2011, 6, 1), date(2019, 6, 30)),
+        candidates.CreationWindow("inner", date(2014, 1, 1), date(2014, 12, 31)),
+        candidates.CreationWindow("late", date(2021, 1, 1), None),
+    ]
+    return candidates.candidate_split_windows(mapping.users(spark, folder), windows=windows, cap=5)
+
+
 # -- payloads ------------------------------------------------------------
 
 

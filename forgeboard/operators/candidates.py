@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 from typing import NamedTuple
 
@@ -89,3 +90,65 @@ def candidate_window_counts(
         .agg(F.count_distinct("login").alias("candidates"))
         .withColumn("near_ceiling", F.col("candidates") > cap)
     )
+
+
+def _halved(
+    first: date, last: date, days: list[date], upto: list[int], cap: int
+) -> list[tuple[date, date, int]]:
+    """A window cut in halves until no part holds more than ``cap`` or spans more than a day."""
+    open_parts, done = [(first, last)], []
+    while open_parts:
+        a, b = open_parts.pop()
+        held = upto[bisect_right(days, b)] - upto[bisect_left(days, a)]
+        if held > cap and a < b:
+            middle = a + timedelta(days=(b - a).days // 2)
+            open_parts += [(middle + timedelta(days=1), b), (a, middle)]
+        elif held:
+            done.append((a, b, held))
+    return done
+
+
+def candidate_split_windows(
+    profiles: DataFrame,
+    locations: Sequence[str] = LOCATIONS,
+    windows: Sequence[CreationWindow] | None = None,
+    cap: int = WINDOW_CEILING,
+) -> DataFrame:
+    """``(window, first, last, candidates, near_ceiling)``: windows cut until each shows all its candidates.
+
+    A window with more than ``cap`` candidates is halved by days until no
+    part has more; a single day that still has is marked. Windows may overlap
+    and leave gaps, and there may be any number of them. Parts without
+    candidates are left out; open ends reach to the first or last day of any
+    candidate. A login counts on the earliest day given for it.
+
+    Candidates are counted by day first. One row a calendar day reaches the
+    driver at most, where every window, and every half, is two lookups in sorted days.
+    """
+    windows = yearly_windows() if windows is None else windows
+    by_day = (
+        _matching(profiles, locations)
+        .groupBy("login")
+        .agg(F.min("created").alias("created"))
+        .filter("created IS NOT NULL")
+        .groupBy("created")
+        .agg(F.count("*").alias("candidates"))
+        .orderBy("created")
+        .collect()
+    )
+    days = [row["created"] for row in by_day]
+    upto = [0]
+    for row in by_day:
+        upto.append(upto[-1] + row["candidates"])
+    parts = []
+    for window in windows if days else ():
+        first = days[0] if window.first is None else window.first + timedelta(days=window.last is None)
+        last = days[-1] if window.last is None else window.last - timedelta(days=window.first is None)
+        if first <= last:
+            parts += [
+                (window.label, a.isoformat(), b.isoformat(), n, n > cap)
+                for a, b, n in _halved(first, last, days, upto, cap)
+            ]
+    return profiles.sparkSession.createDataFrame(
+        parts, "window string, first string, last string, candidates long, near_ceiling boolean"
+    )

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +215,29 @@ def test_key_checks(make):
         ("null_required", "company"): 1, ("too_long", "login"): 1, ("too_long", "name"): 1,
     }
     assert schema.repo_violations(make.repos(repo("a", "x"), repo("b", "x"))).isEmpty()
+
+
+def test_windows_are_cut_until_they_show_all(make):
+    day = lambda n: at(f"2020-01-{n:02d}")
+    people = [(f"u{i}", day(1 + i % 5)) for i in range(20)] + [(f"v{i}", day(20)) for i in range(9)]
+    profiles = make.users(
+        *[
+            {"login": name, "created_at": when, "type": "User", "public_repos": 2, "location": "STL"}
+            for name, when in [*people, people[0], ("w", None)]
+        ]
+    )
+    windows = [
+        candidates.CreationWindow("month", date(2020, 1, 1), date(2020, 1, 31)),
+        candidates.CreationWindow("gap", date(2020, 1, 6), date(2020, 1, 19)),
+        candidates.CreationWindow("before", None, date(2020, 1, 3)),
+        candidates.CreationWindow("after", date(2020, 1, 4), None),
+    ]
+    rows = candidates.candidate_split_windows(profiles, windows=windows, cap=8).collect()
+    assert {r.window for r in rows} == {"month", "before", "after"}
+    assert [r.candidates for r in rows if r.window == "month"] == [8, 8, 4, 9]
+    assert [(r.first, r.last, r.near_ceiling) for r in rows if r.candidates == 9 and r.window == "month"] == [
+        ("2020-01-20", "2020-01-20", True)
+    ]
+    assert [(r.first, r.last, r.candidates) for r in rows if r.window == "before"] == [("2020-01-01", "2020-01-02", 8)]
+    assert sum(r.candidates for r in rows if r.window == "after") == 13
+    assert candidates.candidate_split_windows(profiles.limit(0), windows=windows).isEmpty()
