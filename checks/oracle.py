@@ -107,12 +107,13 @@ FILLED = {
 }
 
 
-def _popular(table: str) -> str:
+def _popular(table: str, inputs: str = "", made: dict[str, str] | None = None) -> str:
     return _with(
-        table,
+        inputs or table,
         f"""SELECT language, COUNT(*) AS count, COUNT(DISTINCT owner) AS users FROM {table}
         WHERE language IS NOT NULL AND fork = FALSE
         GROUP BY language ORDER BY count DESC, language LIMIT 50""",
+        made,
     )
 
 
@@ -149,7 +150,7 @@ def _leaders(repos: str, users: str, lang: str) -> str:
     )
 
 
-def _page(limit: int, offset: int) -> str:
+def _page(limit: int, offset: int, repos: str = "repos", users: str = "users", made: dict[str, str] | None = None) -> str:
     owners = {
         "owners": f"""SELECT owner, MAX(total_stars) AS total FROM board GROUP BY owner
         ORDER BY total DESC NULLS FIRST, owner LIMIT {limit} OFFSET {offset}"""
@@ -159,7 +160,7 @@ def _page(limit: int, offset: int) -> str:
         """SELECT owner, total_stars AS count, display_name, type, rownum, name, description,
         forks_count, stargazers_count, watchers_count, fork
         FROM board JOIN owners USING (owner) WHERE rownum < 4""",
-        _ranked("repos", "users", f"lower(r.language) = '{LANGUAGE}'") | owners,
+        (made or {}) | _ranked(repos, users, f"lower(r.language) = '{LANGUAGE}'") | owners,
     )
 
 
@@ -310,7 +311,10 @@ ORACLE: dict[str, str] = {
         f"""SELECT COUNT(DISTINCT owner) AS count FROM repos JOIN users ON login = owner
         WHERE lower(language) = '{LANGUAGE}'""",
     ),
+    "language_page_deep": _page(25, 33),
     "stored_leaderboard_page": _page(20, 30),
+    "refreshed_leaderboard_page": _page(25, 33, "after_repos", "after_users", REFRESHED),
+    "refreshed_popular_languages": _popular("after_repos", "users repos", REFRESHED),
     "popular_devs_stars": _devs("User", "totals.stars"),
     "popular_devs_forks": _devs("User", "totals.forks"),
     "popular_devs_followers": _devs("User", "u.followers"),
@@ -334,6 +338,12 @@ ORACLE: dict[str, str] = {
         AND EXISTS (SELECT 1 FROM users WHERE login = '{LOGIN}')""",
     ),
     "nested_profile": _with("users repos", _places("repos", f"lower(owner) = lower('{LOGIN}')")),
+    "stored_profile": _with(
+        "repos", f"{PROFILE} WHERE login = '{LOGIN}'", FILLED | {"totals": TOTALS.format("repos")}
+    ),
+    "stored_nested_profile": _with(
+        "users repos", _places("repos", f"lower(owner) = lower('{LOGIN}')")
+    ),
     "nested_profile_packages": _with("users packages", _places("packages", "TRUE")),
     "owner_totals": _with("repos", TOTALS.format("repos")),
     "owner_totals_packages": _with("packages", TOTALS.format("packages")),

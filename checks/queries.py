@@ -24,7 +24,7 @@ from forgeboard.operators import (
     totals,
 )
 from forgeboard.plans.leaderboards import Leaderboards
-from forgeboard.plans.listings import list_devs, list_repos
+from forgeboard.plans.listings import get_nested_profile, get_profile, list_devs, list_repos
 from forgeboard.plans.moderate import moderate
 from forgeboard.plans.refresh import land, refresh, run
 from forgeboard.session import shared_dir, tune
@@ -134,6 +134,13 @@ def language_page_second(spark, folder):
     return _flat(languages.language_page(repos, users, LANGUAGE, 25, 25).languages)
 
 
+@query
+def language_page_deep(spark, folder):
+    """The page's start is counted out, down to ten rows."""
+    users, repos = model(spark, folder)
+    return _flat(languages.language_page(repos, users, LANGUAGE, 25, 33, few=10).languages)
+
+
 @query
 def language_page_count(spark, folder):
     users, repos = model(spark, folder)
@@ -154,6 +161,27 @@ def stored_leaderboard_page(spark, folder):
     return _flat(boards.page(version, LANGUAGE, 20, 30).languages)
 
 
+def _boards_after_refresh(spark, folder) -> tuple[Leaderboards, int]:
+    """Boards of the version before a refresh, then those of the version it made."""
+    store = _stored_before(spark, folder)
+    boards = Leaderboards(store, shared_dir(spark, "boards"), few=10)
+    boards.build(store.latest())
+    run(store, read_items(spark, _landing(spark, folder)), FETCHED)
+    return boards, store.latest()
+
+
+@query
+def refreshed_leaderboard_page(spark, folder):
+    boards, version = _boards_after_refresh(spark, folder)
+    return _flat(boards.page(version, LANGUAGE, 25, 33).languages)
+
+
+@query
+def refreshed_popular_languages(spark, folder):
+    boards, version = _boards_after_refresh(spark, folder)
+    return boards.popular_languages(version)
+
+
 # -- developers ----------------------------------------------------------
 
 
@@ -236,6 +264,16 @@ def nested_profile_packages(spark, folder):
     return _places(developers.nested_profile(mapping.users(spark, folder), held, LOGIN))
 
 
+@query
+def stored_profile(spark, folder):
+    return get_profile(_published(spark, folder)[0], LOGIN).user
+
+
+@query
+def stored_nested_profile(spark, folder):
+    return _places(get_nested_profile(_published(spark, folder)[0], LOGIN))
+
+
 @query
 def owner_totals(spark, folder):
     return totals.owner_totals(mapping.repos(spark, folder))

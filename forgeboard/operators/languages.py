@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from forgeboard.functions.defaults import defaulted
 from forgeboard.functions.params import page_bounds
 from forgeboard.functions.text import collated, same_folded
+from forgeboard.operators.paging import FEW, board_key, slice_of
+from forgeboard.session import shared_dir, stage_in
 from forgeboard.sources.schema import REPO
 
 BOARD_REPO_COLUMNS = [
@@ -25,17 +27,30 @@ def popular_languages(repos: DataFrame, limit: int = 50) -> DataFrame:
     neither a dominant language nor a dominant owner ends up as one group of
     raw rows.
     """
+    return most_popular(language_counts(repos), limit)
+
+
+def language_counts(repos: DataFrame, *by: str) -> DataFrame:
+    """``language, count, users`` of non-fork repositories, apart for each value of ``by``.
+
+    Where an owner meets one value of ``by`` only, as with the parts of a
+    snapshot, the counts of all values add up to those of the whole, owners
+    included.
+    """
     return (
         repos.filter(F.col("language").isNotNull() & (F.col("fork") == F.lit(False)))
-        .groupBy("language", "owner")
+        .groupBy(*by, "language", "owner")
         .agg(F.count("*").alias("owned"))
-        .groupBy("language")
+        .groupBy(*by, "language")
         .agg(F.sum("owned").alias("count"), F.count("owner").alias("users"))
-        .orderBy(F.desc("count"), F.asc("language"))
-        .limit(limit)
     )
 
 
+def most_popular(counts: DataFrame, limit: int = 50) -> DataFrame:
+    """The languages of most repositories."""
+    return counts.orderBy(F.desc("count"), F.asc("language")).limit(limit)
+
+
 def leaders(repos: DataFrame, users: DataFrame, k: int = 3) -> DataFrame:
     """Every owner's ``k`` most starred repositories per language, unordered.
 
@@ -129,23 +144,40 @@ def language_page(
     lang: str,
     limit: int | None = None,
     offset: int | None = None,
+    few: int = FEW,
 ) -> LanguagePage:
     """A page of the leaderboard computed on the spot.
 
-    Suits first pages. Deep pages are served from a stored leaderboard, which
-    reads only the pieces that hold the page (``plans.leaderboards``).
+    Owners and totals alone are written, once, and serve the count and the
+    search for where the page begins; nothing sorts all owners. Repositories
+    are ranked only for the owners shown, at most a page of them, whose names
+    reach the scans as a filter. Many pages of one table are better served
+    from a stored leaderboard (``plans.leaderboards``).
     """
     limit, offset = page_bounds(limit, offset)
-    owners = by_owner(leaders_of(repos, users, lang))
-    page = (
-        owners.orderBy(F.desc_nulls_first("count"), F.asc("owner")).offset(offset).limit(limit)
+    stage = stage_in(shared_dir(repos.sparkSession, "page"))
+    owners = stage(
+        "owners",
+        _owners_of(repos, users, lang).withColumn("key", board_key(F.col("total_stars"), F.col("owner"))),
     )
-    return LanguagePage(page, owner_count(repos, users, lang), lang)
+    shown = [row["owner"] for row in slice_of(owners, "key", limit, offset, few).collect()]
+    board = leaders_of(
+        repos.filter(F.col("owner").isin(shown)), users.filter(F.col("login").isin(shown)), lang
+    )
+    page = by_owner(board).orderBy(F.desc_nulls_first("count"), F.asc("owner")).limit(limit)
+    return LanguagePage(page, owners.agg(F.count("*").alias("count")), lang)
+
+
+def _owners_of(repos: DataFrame, users: DataFrame, lang: str) -> DataFrame:
+    """Owners with a profile that have a repository in ``lang``, with their total."""
+    totals = (
+        repos.filter(same_folded(F.col("language"), lang))
+        .groupBy("owner")
+        .agg(F.sum("stargazers_count").alias("total_stars"))
+    )
+    return totals.join(users.select(F.col("login").alias("owner")), "owner", "left_semi")
 
 
 def owner_count(repos: DataFrame, users: DataFrame, lang: str) -> DataFrame:
     """One row: how many owners with a profile have a repository in ``lang``."""
-    owners = repos.filter(same_folded(F.col("language"), lang)).select("owner").distinct()
-    return owners.join(users.select(F.col("login").alias("owner")), "owner", "left_semi").agg(
-        F.count("*").alias("count")
-    )
+    return _owners_of(repos, users, lang).agg(F.count("*").alias("count"))

@@ -47,22 +47,20 @@ def upsert_users(target: DataFrame, incoming: DataFrame) -> DataFrame:
     """Update by login, insert where absent.
 
     An incoming row replaces every payload column, with NULL where it holds
-    NULL. The moderation flags stay as they are, and start out false.
+    NULL. The moderation flags stay as they are, and start out false. One
+    full outer join by login, which no hot login can skew, reads each side
+    once.
     """
-    flags = target.selectExpr("login AS _login", *[f"{c} AS _{c}" for c in MODERATION_FLAGS])
+    arrived = last_arrival(incoming, USER_KEY).select(F.lit(True).alias("_new"), *USER.names).alias("a")
+    known = target.select(F.lit(True).alias("_known"), *USER.names).alias("k")
 
     def next_value(name: str) -> str:
         if name in MODERATION_FLAGS:
-            return f"IF(_login IS NOT NULL, _{name}, false) AS {name}"
-        return name
+            return f"IF(_known, k.{name}, false) AS {name}"
+        return f"IF(_new, a.{name}, k.{name}) AS {name}"
 
-    arrived = (
-        last_arrival(incoming, USER_KEY)
-        .join(flags, F.col("login") == F.col("_login"), "left")
-        .selectExpr(*[next_value(name) for name in USER.names])
-    )
-    kept = _without(target.select(*USER.names), incoming, USER_KEY)
-    return kept.unionByName(arrived)
+    both = known.join(arrived, F.col("k.login") == F.col("a.login"), "full_outer")
+    return both.selectExpr(*[next_value(name) for name in USER.names])
 
 
 def upsert_repos(target: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -1,112 +1,164 @@
-"""Leaderboards kept per version and language, with pages at any depth."""
+"""Leaderboards of all languages, kept by part, with pages at any depth."""
 
 from __future__ import annotations
 
-import hashlib
+import itertools
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from forgeboard.functions.params import page_bounds
-from forgeboard.operators.languages import LanguagePage, by_owner, leaders_of
-from forgeboard.sources.schema import REPO, USER
-from forgeboard.sources.snapshots import SnapshotStore
-
-STARTS = T.StructType(
-    [
-        T.StructField("chunk", T.IntegerType(), False),
-        T.StructField("start", T.LongType(), False),
-        T.StructField("owners", T.LongType(), False),
-    ]
+from forgeboard.operators.languages import (
+    LanguagePage,
+    by_owner,
+    language_counts,
+    leaders,
+    most_popular,
 )
+from forgeboard.operators.paging import FEW, board_key, slice_of, total_step
+from forgeboard.sources.schema import REPO, USER
+from forgeboard.sources.snapshots import SnapshotStore, part_of
+
+
+def _schema(**types: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in types.items()])
+
+
+INT, LONG, TEXT = T.IntegerType(), T.LongType(), T.StringType()
+INDEX = _schema(part=INT, state=TEXT, holds=T.BooleanType(), build=TEXT)
+PLACE = _schema(key=TEXT, step=INT, part=INT)
+STEPS = _schema(part=INT, lang_key=TEXT, step=INT, owners=LONG, build=TEXT)
+COUNTS = _schema(part=INT, language=TEXT, count=LONG, users=LONG, build=TEXT)
 
 
 class Leaderboards:
     """Stored leaderboards of a snapshot store.
 
-    A leaderboard is computed once per version and case-folded language. It is
-    range-sorted into chunks, and a small table says at which position each
-    chunk starts, so a page reads the one or two chunks it lies in.
+    An owner lies in one part of the store, so what a part adds to the
+    leaderboards and to the counts of languages depends on that part alone.
+    It is kept by part, for all languages at once, and serves every version
+    in which the part is the same: a new version costs the parts it touched.
+    Beside the rows lies a small histogram of them; summed over the parts it
+    tells which rows a page has to read.
     """
 
-    def __init__(self, store: SnapshotStore, root: str):
+    def __init__(self, store: SnapshotStore, root: str, few: int = FEW):
         self.store = store
         self.root = root.rstrip("/")
+        self.few = few
 
-    def _path(self, version: int, lang: str) -> str:
-        key = hashlib.sha256(lang.lower().encode()).hexdigest()[:24]
-        return f"{self.root}/version={version}/lang={key}"
-
-    def _starts(self, path: str) -> DataFrame | None:
-        """The chunk table, written last: there is no leaderboard without it."""
+    def _index(self) -> DataFrame:
         try:
-            starts = self.store.spark.read.schema(STARTS).parquet(f"{path}/starts")
+            return self.store.spark.read.schema(INDEX).parquet(f"{self.root}/index")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None
-        return starts if starts.inputFiles() else None
-
-    def build(self, version: int, lang: str) -> str:
-        """Compute and store one leaderboard unless it is there already."""
-        path = self._path(version, lang)
-        if self._starts(path) is not None:
-            return path
-        snapshot = self.store.read(version)
-        order = [F.desc_nulls_first("count"), F.asc("owner")]
+            return self.store.spark.createDataFrame([], INDEX)
+
+    def _kept(self, states: dict[int, str]) -> dict[int, tuple[str, bool]]:
+        """The build that holds each part as it is, and whether it holds any row."""
+        spark = self.store.spark
+        wanted = spark.createDataFrame(list(states.items()), "part int, state string")
+        rows = self._index().join(wanted, ["part", "state"], "left_semi")
+        # Two builders may have done the same part; either will do, and all take the same.
+        first = rows.groupBy("part").agg(F.min_by(F.struct("build", "holds"), "build").alias("b"))
+        return {r["part"]: (r["b"]["build"], r["b"]["holds"]) for r in first.collect()}
+
+    def build(self, version: int) -> dict[int, tuple[str, bool]]:
+        """Compute what is not kept yet of a version's parts; returns where each part lies."""
+        parts, states = self.store.states(version)
+        kept = self._kept(states)
+        missing = sorted(set(states) - set(kept))
+        if not missing:
+            return kept
+        build = uuid.uuid4().hex
+        now = self.store.read(version, missing)
+        order = ["part", "lang_key", "step", "key"]
         (
-            by_owner(leaders_of(snapshot.repos, snapshot.users, lang))
-            .repartitionByRange(*order)
+            by_owner(leaders(now.repos, now.users), "lang_key")
+            .withColumn("key", board_key(F.col("count"), F.col("owner")))
+            .withColumn("step", total_step(F.col("count")))
+            .withColumn("part", part_of(F.col("owner"), parts))
+            .hint("rebalance", "part")
             .sortWithinPartitions(*order)
-            .withColumn("chunk", F.spark_partition_id())
-            .write.mode("overwrite")
-            .partitionBy("chunk")
-            .parquet(f"{path}/owners")
+            .write.partitionBy("part")
+            .parquet(f"{self.root}/owners/build={build}")
+        )
+        rows = self._owners([f"{self.root}/owners/build={build}"])
+        steps = rows.groupBy("part", "lang_key", "step").agg(F.count("*").alias("owners"))
+        steps.write.parquet(f"{self.root}/steps/build={build}")
+        (
+            language_counts(now.repos.withColumn("part", part_of(F.col("owner"), parts)), "part")
+            .write.parquet(f"{self.root}/languages/build={build}")
         )
-        # One row per chunk, so the running sum over all of them stays small.
-        earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        held = {r["part"] for r in rows.select("part").distinct().collect()}
+        done = [(p, states[p], p in held, build) for p in missing]
+        # Written last: without it there is no build.
         (
-            self._owners(path)
-            .groupBy("chunk")
-            .agg(F.count("*").alias("owners"))
-            .withColumn("start", F.coalesce(F.sum("owners").over(earlier), F.lit(0)))
-            .select(*STARTS.names)
+            self.store.spark.createDataFrame(done, INDEX)
+            .drop("build")
             .coalesce(1)
-            .write.mode("overwrite")
-            .parquet(f"{path}/starts")
+            .write.parquet(f"{self.root}/index/build={build}")
         )
-        return path
+        return kept | {p: (build, holds) for p, _, holds, _ in done}
+
+    def _owners(self, paths: list[str]) -> DataFrame:
+        """Leaderboard rows of some folders."""
+        spark = self.store.spark
+        board = by_owner(leaders(*[spark.createDataFrame([], s) for s in (REPO, USER)]), "lang_key")
+        schema = T.StructType([*board.schema.fields, *PLACE.fields])
+        if not paths:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("basePath", f"{self.root}/owners").parquet(*paths)
 
-    def _owners(self, path: str) -> DataFrame:
+    def _partials(self, table: str, schema: T.StructType, kept: dict[int, tuple[str, bool]]) -> DataFrame:
+        """The small rows kept beside the parts of a version."""
         spark = self.store.spark
-        nothing = [spark.createDataFrame([], s) for s in (REPO, USER)]
-        schema = by_owner(leaders_of(*nothing, "")).schema
-        return spark.read.schema(schema.add("chunk", T.IntegerType())).parquet(f"{path}/owners")
+        if not kept:
+            return spark.createDataFrame([], schema)
+        builds = sorted({build for build, _ in kept.values()})
+        rows = spark.read.schema(schema).option("basePath", f"{self.root}/{table}")
+        rows = rows.parquet(*[f"{self.root}/{table}/build={b}" for b in builds])
+        wanted = spark.createDataFrame([(p, b) for p, (b, _) in kept.items()], "part int, build string")
+        return rows.join(wanted, ["part", "build"], "left_semi")
+
+    def popular_languages(self, version: int, limit: int = 50) -> DataFrame:
+        """Languages by number of repositories, added up from the counts kept by part."""
+        counts = self._partials("languages", COUNTS, self.build(version))
+        totals = counts.groupBy("language").agg(
+            F.sum("count").alias("count"), F.sum("users").alias("users")
+        )
+        return most_popular(totals, limit)
 
     def page(
         self, version: int, lang: str, limit: int | None = None, offset: int | None = None
     ) -> LanguagePage:
-        """A page of the stored leaderboard, building it on first use."""
+        """A page of the stored leaderboard; what is not kept yet is computed first.
+
+        The histogram, at most 4,097 counts, tells the steps the page lies in;
+        rows lie sorted by language and step, so no others are read.
+        """
         limit, offset = page_bounds(limit, offset)
-        path = self.build(version, lang)
-        starts = self._starts(path)
-        # A chunk holds an owner or more, so at most limit + 1 of them overlap the page.
-        overlapping = starts.filter(
-            (F.col("start") < offset + limit) & (F.col("start") + F.col("owners") > offset)
-        ).select("chunk", "start")
-        chunks = [r["chunk"] for r in overlapping.collect()]
-        in_chunk = Window.partitionBy("chunk").orderBy(F.desc_nulls_first("count"), F.asc("owner"))
-        page = (
-            self._owners(path)
-            .filter(F.col("chunk").isin(chunks))
-            .withColumn("_n", F.row_number().over(in_chunk) - 1)
-            .join(overlapping, "chunk")
-            .withColumn("_position", F.col("start") + F.col("_n"))
-            .filter(F.col("_position").between(offset, offset + limit - 1))
-            .orderBy("_position")
-            .select("owner", "repos", "count", "name", "type")
-        )
-        return LanguagePage(page, starts.agg(F.coalesce(F.sum("owners"), F.lit(0)).alias("count")), lang)
+        kept = self.build(version)
+        of_lang = F.col("lang_key") == F.lower(F.lit(lang))
+        steps = self._partials("steps", STEPS, kept).filter(of_lang)
+        counts = steps.groupBy("step").agg(F.sum("owners").alias("n")).orderBy("step").collect()
+        ends = list(itertools.accumulate(row["n"] for row in counts))
+        starts = [0, *ends[:-1]]
+        within = [
+            (row["step"], start)
+            for row, start, end in zip(counts, starts, ends)
+            if start < offset + limit and end > offset
+        ]
+        paths = [f"{self.root}/owners/build={b}/part={p}" for p, (b, holds) in sorted(kept.items()) if holds]
+        rows = self._owners(paths if within else []).filter(of_lang)
+        if within:
+            first, start = within[0]
+            rows = rows.filter(F.col("step").between(first, within[-1][0]))
+            rows = slice_of(rows, "key", limit, offset - start, self.few)
+        page = rows.select("owner", "repos", "count", "name", "type")
+        total = steps.agg(F.coalesce(F.sum("owners"), F.lit(0)).alias("count"))
+        return LanguagePage(page, total, lang)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from forgeboard.functions.params import ParameterError
-from forgeboard.operators.developers import popular_devs
+from forgeboard.operators.developers import Profile, nested_profile, popular_devs, profile
 from forgeboard.operators.search import search_repos, search_users
-from forgeboard.sources.snapshots import Snapshot
+from forgeboard.sources.snapshots import Snapshot, SnapshotStore
 
 
 def list_devs(
@@ -32,3 +32,15 @@ def list_repos(snapshot: Snapshot, q: str) -> DataFrame:
     if not q:
         raise ParameterError("q is required")
     return search_repos(snapshot.repos, q)
+
+
+def get_profile(store: SnapshotStore, login: str, version: int | None = None) -> Profile:
+    """A stored profile and its repositories, read from the one part that can hold them."""
+    held = store.read(version, owner=login)
+    return profile(held.users, held.repos, login, held.totals)
+
+
+def get_nested_profile(store: SnapshotStore, login: str, version: int | None = None) -> DataFrame:
+    """The same with the repositories listed by language, in pages."""
+    held = store.read(version, owner=login)
+    return nested_profile(held.users, held.repos, login, held.totals)

@@ -116,6 +116,14 @@ class SnapshotStore:
                     layout[row["table"]][row["part"]] = row["write"]
         return parts, layout
 
+    def states(self, version: int) -> tuple[int, dict[int, str]]:
+        """Parts in all, and what each part with repositories is made of.
+
+        A part whose state is the same in two versions holds the same rows in both.
+        """
+        parts, layout = self._layout(version)
+        return parts, {p: f"{layout['users'].get(p)} {w}" for p, w in layout["repos"].items()}
+
     # -- reading ---------------------------------------------------------
 
     def _load(self, table: str, where: dict[int, str]) -> DataFrame:

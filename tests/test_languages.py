@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from forgeboard.functions.params import ParameterError, page_bounds, sort_key
-from forgeboard.operators import languages
+from forgeboard.operators import languages, paging
 from forgeboard.plans.leaderboards import Leaderboards
 from forgeboard.session import shared_dir
 from forgeboard.sources.snapshots import Snapshot, SnapshotStore
@@ -76,22 +77,85 @@ def test_pages_are_slices(spark, board):
         assert direct.language == "GO"
 
 
-def test_pages_over_many_chunks(spark, board):
+def test_pages_begin_where_counting_says(spark, board):
     store, users, repos = board
-    # Without coalescing every sort partition stays a chunk of its own.
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        boards = Leaderboards(store, shared_dir(spark, "boards"))
-        got = [x for offset in range(0, 60, 11) for x in shape(boards.page(1, "go", 11, offset).languages)]
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert boards._starts(boards._path(1, "go")).count() > 1
-    assert [x[0] for x in got] == [
+    want = [
         r.owner
         for r in languages.by_owner(languages.leaders_of(repos, users, "go"))
         .orderBy("count", "owner", ascending=[False, True])
         .collect()
     ]
+    # Nothing may be passed over by sorting: every start is counted out.
+    boards = Leaderboards(store, shared_dir(spark, "boards"), few=0)
+    assert len(boards.build(1)) > 1
+    stored = [x[0] for at in range(0, 66, 11) for x in shape(boards.page(1, "go", 11, at).languages)]
+    direct = [
+        x[0]
+        for at in range(0, 75, 25)
+        for x in shape(languages.language_page(repos, users, "go", 25, at, few=0).languages)
+    ]
+    assert stored == direct == want
+
+
+def test_key_and_step_follow_the_order(spark, make):
+    totals = [None, 2**63 - 1, 2**40 + 1, 2**40, 129, 128, 127, 65, 64, 63, 3, 2, 1, 0, -1, -(2**63)]
+    rows = [(t, o) for t in totals for o in ("", "B", "a", "a b", "é", "\uffee", "😀")]
+    df = make.frame("total bigint, owner string", *rows).select(
+        "*",
+        paging.board_key(F.col("total"), F.col("owner")).alias("key"),
+        paging.total_step(F.col("total")).alias("step"),
+    )
+    got = df.orderBy("key").collect()
+    assert [(r.total, r.owner) for r in got] == rows
+    steps = [r.step for r in got]
+    assert steps == sorted(steps) and steps[0] == 0 and max(steps) <= 4096
+    assert len({r.step for r in got if r.total in (2, 1, 0)}) == 3
+    stage = df.select("key", "owner", "total").cache()
+    for at in (0, 1, 6, 7, 50, len(rows) - 1):
+        page = paging.slice_of(stage, "key", 3, at, few=0).collect()
+        assert [(r.total, r.owner) for r in page] == rows[at : at + 3]
+    for at in (len(rows), len(rows) + 5):
+        assert paging.slice_of(stage, "key", 3, at, few=0).count() == 0
+    assert paging.slice_of(stage.limit(0), "key", 3, 5, few=0).count() == 0
+    stage.unpersist()
+
+
+def test_a_new_version_costs_its_touched_parts(spark, make):
+    store = SnapshotStore(spark, shared_dir(spark, "versions"), parts=8)
+    logins = [f"o{i:02}" for i in range(40)]
+    users = make.users(*[{"login": l} for l in logins])
+    old = make.repos(*[repo(l, f"r{j}", i + j, "go" if j else "C", fork=False) for i, l in enumerate(logins) for j in range(4)])
+    store.publish(Snapshot(users, old))
+    boards = Leaderboards(store, shared_dir(spark, "boards"))
+    before = boards.build(1)
+    assert boards.build(1) == before
+    touched = store.touched_parts(make.frame("owner string", ("o07",)))
+    part = store.read(parts=touched)
+    raised = part.repos.withColumn("stargazers_count", F.expr("IF(owner = 'o07', 1000, stargazers_count)"))
+    store.publish(Snapshot(part.users, raised), touched)
+    read = []
+    whole, store.read = store.read, lambda version, parts: read.append(parts) or whole(version, parts)
+    after = boards.build(2)
+    assert read == [touched]
+    assert {p for p in after if after[p] != before[p]} == set(touched)
+    now = whole(2)
+    want = languages.language_page(now.repos, now.users, "go", 25, 0)
+    assert shape(boards.page(2, "go", 25, 0).languages) == shape(want.languages)
+    assert column(boards.page(2, "go", 1, 0).languages, "count") == [3000]
+    assert column(boards.page(1, "go", 1, 0).languages, "owner") == ["o39"]
+    assert boards.popular_languages(2).collect() == languages.popular_languages(now.repos).collect()
+    assert read == [touched]
+
+
+def test_parts_without_languages(spark, make):
+    store = SnapshotStore(spark, shared_dir(spark, "versions"), parts=4)
+    store.publish(Snapshot(make.users({"login": "a"}), make.repos(repo("a", "r", 1, None))))
+    boards = Leaderboards(store, shared_dir(spark, "boards"))
+    for _ in range(2):
+        assert boards.page(1, "go").languages.count() == 0
+        assert boards.popular_languages(1).count() == 0
+    store.publish(Snapshot(make.users(), make.repos()))
+    assert boards.page(2, "go").count.first()[0] == 0
 
 
 def test_unknown_language_has_an_empty_page(spark, board):

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from forgeboard.operators import developers
+from forgeboard.plans.listings import get_nested_profile, get_profile
 from forgeboard.plans.moderate import moderate
 from forgeboard.plans.refresh import land, refresh, run
 from forgeboard.session import shared_dir
@@ -342,3 +343,22 @@ def test_moderation_of_stored_tables(store, make):
         ("full", "empty", "Users can only modify themselves"),
         ("full", "full", "Only admins can delete users"),
     ]
+
+
+def test_profiles_come_from_one_part(spark, make):
+    store = SnapshotStore(spark, shared_dir(spark, "profiles"), parts=4)
+    users = make.users(*[{"login": f"o{i}", "hide": False} for i in range(9)])
+    rows = [repo("o3", "b", 2, "Go"), repo("O3", "a", 5, "Go"), repo("o4", "c", 1), repo("lost", "d", 1)]
+    store.publish(Snapshot(users, make.repos(*rows)))
+    parts, read = [], store._load
+    store._load = lambda table, where: parts.append(len(where)) or read(table, where)
+    held = get_profile(store, "o3")
+    assert max(parts) == 1
+    assert [(r.login, r.stars) for r in held.user.collect()] == [("o3", 2)]
+    assert column(held.repos, "name") == ["a", "b"]
+    nested = get_nested_profile(store, "o3").collect()
+    assert [(r.language, [x.name for x in r.repos]) for r in nested] == [("Go", ["a", "b"])]
+    # No profile, no repositories: neither without a row nor in another case.
+    for login in ("lost", "O3", "nobody"):
+        assert get_profile(store, login).user.count() == get_profile(store, login).repos.count() == 0
+        assert get_nested_profile(store, login).count() == 0
