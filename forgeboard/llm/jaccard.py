@@ -12,11 +12,13 @@ a pool whose one-deletion neighbourhoods are in the index. Every candidate is
 verified on the whole sets.
 
 Sets that agree on a segment are not paired all with all. Each is compared
-with the first of them, then, where several components are left, with one
-more; once links have been gathered into components, only members of
-different components are compared further, and where more than
-``SMALL`` sets share a signature, only those that also share a shingle among
-their rarest (linked sets must, by the overlap they need).
+with one other, of the first sets of its signatures that with which it shares
+most; links are gathered into components, and rounds compare one member of
+each two components that still meet in a signature. What is left in different
+components is compared in blocks by parity bits, which rule out no linked
+pair, so that only pairs that pass leave a task; where more than ``SMALL``
+sets share a signature, only those that also share a shingle among their
+rarest (linked sets must, by the overlap they need).
 """
 
 from __future__ import annotations
@@ -45,11 +47,13 @@ SET_BYTES, SIGN_SHINGLES = 1 << 18, 1 << 17
 POOL = 24
 #: A segment of at most so many shingles is costly, one of at least so many can be bought.
 COSTLY, FULL = 1, 3
+#: Bits of the parities compared in blocks, sets of a key in a block, and rows and pairs looked at together.
+SKETCH, BLOCK, TOGETHER, PAIRS = 512, 2048, 20_000, 1 << 19
 #: Sets that share a signature are paired directly up to this many.
 SMALL = 32
 #: A shingle is common that more than one in so many of the sets concerned hold.
 RARE = 1000
-#: Rounds in which every signature's sets are compared with one of them only.
+#: Rounds in which a signature's components are compared by one member each only.
 STARS = 3
 #: Roles of a signature.
 INDEX, PROBE, INDEX_LESS, PROBE_LESS = 1, 2, 4, 8
@@ -281,9 +285,9 @@ def _shared(rows: DataFrame, parts: int) -> DataFrame:
     )
 
 
-def parities(h: np.ndarray) -> bytes:
-    """Bit k says whether an odd number of shingles falls on k; twice as many bits as shingles, or more."""
-    size = max(64, 1 << int(2 * len(h) - 1).bit_length())
+def parities(h: np.ndarray, size: int | None = None) -> bytes:
+    """Bit k says whether an odd number of shingles falls on k; twice as many bits as shingles, or more, unless said."""
+    size = size or max(64, 1 << int(2 * len(h) - 1).bit_length())
     spread = mix(h ^ np.uint64(0x94D049BB133111EB)) & np.uint64(size - 1)
     odd = np.bincount(spread.astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -342,6 +346,86 @@ def _verified(pairs: DataFrame, texts: DataFrame, bits: DataFrame, width: int, p
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``key``, some groups at a time and never a part of one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < TOGETHER:
+            continue
+        rows = pa.Table.from_batches(held)
+        last = np.zeros(rows.num_rows, bool)
+        for name in key:
+            values = rows[name].to_numpy()
+            last |= values != values[-1]
+        cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+        if cut:
+            yield rows.slice(0, cut)
+        held = rows.slice(cut).to_batches()
+    if held and any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def compared(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of sets that share a key and may be linked; no linked pair with fitting roles is left out.
+
+    ``rows`` holds ``key, node, n, role, comp``, ``sketches`` the parities of
+    every node. A pair counts where the components differ, the sizes fit, the
+    larger set probes what the smaller has in the index, and the parities do
+    not rule it out. Sets of a key meet in blocks: a key held by more than
+    ``BLOCK`` of them is dealt into several, and every two blocks meet in a
+    place of their own, so no key has to fit into one task.
+    """
+    keys = (
+        rows.groupBy("key")
+        .agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        .filter("low < high")
+        .select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
+    )
+    dealt = (
+        rows.join(keys, "key")
+        .join(sketches, "node")
+        .withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"),
+                "side", "node", "n", "role", "comp", "sketch")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for group in _whole_groups(batches, "key", "i", "j"):
+            key, i, j, side, node, n, role, comp = (
+                group[c].to_numpy() for c in ("key", "i", "j", "side", "node", "n", "role", "comp")
+            )
+            bits = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(node), -1)
+            opens = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            ends = np.append(opens[1:], len(node))
+            after = np.repeat(ends, ends - opens) - 1 - np.arange(len(node))  # rows of the group behind each
+            places = np.append(0, np.cumsum(after))
+            low = 0
+            while low < len(node):
+                high = max(low + 1, int(np.searchsorted(places, places[low] + PAIRS, "right")) - 1)
+                x = np.repeat(np.arange(low, high), after[low:high])
+                y = x + 1 + np.arange(len(x)) - (places[x] - places[low])
+                low = high
+                keep = (comp[x] != comp[y]) & ((i[x] == j[x]) | (side[x] != side[y]))
+                x, y = x[keep], y[keep]
+                down = n[x] < n[y]
+                x, y = np.where(down, y, x), np.where(down, x, y)  # the larger first
+                probes, indexed = role & (PROBE | PROBE_LESS) > 0, role & (INDEX | INDEX_LESS) > 0
+                fits = (probes[x] & indexed[y]) | ((n[x] == n[y]) & probes[y] & indexed[x])
+                keep = fits & (100 * n[y] >= percent * n[x])
+                x, y = x[keep], y[keep]
+                least = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                keep = least <= bands.difference(n[x], n[y])
+                a, b = node[x[keep]], node[y[keep]]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    places = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.repartition(places, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return met.mapInArrow(compare, "a long, b long")
+
+
 def _rarest(crowd: DataFrame, width: int, percent: int) -> DataFrame:
     """``key, node, n, comp`` for the rarest shingles of every set of ``crowd``.
 
@@ -446,20 +530,28 @@ def links(narrow: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Da
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(len(s), parities(s)) for _, s in sets_of(batch["text"], width)]
+            own = [(len(s), parities(s), parities(s, SKETCH)) for _, s in sets_of(batch["text"], width)]
+            n, bits, sketch = zip(*own) if own else ((), (), ())
             yield pa.record_batch(
-                [batch["node"], pa.array([n for n, _ in own], pa.int64()), pa.array([b for _, b in own], pa.binary())],
-                names=["node", "n", "bits"],
+                [batch["node"], pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(sketch, pa.binary())],
+                names=["node", "n", "bits", "sketch"],
             )
 
-    bits = stage("bits", texts.mapInArrow(fold, "node long, n long, bits binary"))
+    folded = stage("bits", texts.mapInArrow(fold, "node long, n long, bits binary, sketch binary"))
+    bits, sketches = folded.select("node", "n", "bits"), folded.select("node", "sketch")
 
     # A pair is a candidate only where one of the two probes; most crowded
     # signatures, such as empty segments, are only in the index.
     probing = lambda role: F.col(role).bitwiseAND(PROBE | PROBE_LESS) > 0
-    near = F.lit(100) * F.least("n", "first_n") >= F.lit(percent) * F.greatest("n", "first_n")
-    starred = shared.filter(near & (probing("role") | probing("first_role"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    tried = stage("tried", starred)
+    fits = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+    votes = (
+        shared.filter(fits("n", "first_n") & (probing("role") | probing("first_role")))
+        .groupBy("first", "node")
+        .agg(F.count("*").alias("votes"))
+    )
+    nearest = votes.groupBy("node").agg(F.max_by("first", F.struct("votes", F.bitwise_not("first"))).alias("first"))
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    tried = stage("tried", nearest.select(*ordered("first", "node")))
     found = stage("links-1", _verified(tried, texts, bits, width, percent))
 
     members = stage(
@@ -475,24 +567,27 @@ def links(narrow: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Da
         labels = components(found, stage, f"comp-1-{step}")
         return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = ordered(tried)
     for step in range(2, STARS + 1):
-        # Another member of each signature that still joins several components.
-        labelled = labelled_now(step)
-        other = F.min(
-            F.struct((~probing("role")).alias("silent"), F.xxhash64("node", F.lit(step)).alias("lot"), "node", "n", "comp")
+        # One member speaks for each component of a signature, and one of them meets the others.
+        one = F.struct((~probing("role")).alias("silent"), F.xxhash64("node", F.lit(step)).alias("lot"), "node", "n")
+        speakers = labelled_now(step).groupBy("sig", "comp").agg(F.min(one).alias("own"))
+        hubs = (
+            speakers.groupBy("sig")
+            .agg(F.min(F.struct("own", "comp")).alias("hub"), F.count("*").alias("held"))
+            .filter("held > 1 AND NOT hub.own.silent")
+            .select("sig", "hub")
         )
-        hubs = labelled.groupBy("sig").agg(
-            other.alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
-        ).filter("low < high AND NOT hub.silent").select("sig", "hub")
-        fits = F.lit(100) * F.least("n", "hub.n") >= F.lit(percent) * F.greatest("n", "hub.n")
-        pairs = (
-            labelled.join(hubs, "sig")
-            .filter((F.col("comp") != F.col("hub.comp")) & fits)
-            .select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+        met = (
+            speakers.join(hubs, "sig")
+            .filter((F.col("comp") != F.col("hub.comp")) & fits("own.n", "hub.own.n"))
+            .groupBy(
+                F.least("comp", "hub.comp").alias("low"), F.greatest("comp", "hub.comp").alias("high"),
+                *ordered("own.node", "hub.own.node"),
+            )
+            .agg(F.count("*").alias("votes"))
         )
-        fresh = stage(f"tried-{step}", ordered(pairs).distinct().join(tried, ["a", "b"], "left_anti"))
+        pairs = met.groupBy("low", "high").agg(F.max_by(F.struct("a", "b"), F.struct("votes", "a", "b")).alias("p"))
+        fresh = stage(f"tried-{step}", pairs.select("p.a", "p.b").join(tried, ["a", "b"], "left_anti"))
         found = found.union(stage(f"links-star-{step}", _verified(fresh, texts, bits, width, percent)))
         tried = tried.union(fresh)
 
@@ -507,20 +602,10 @@ def links(narrow: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Da
     large = open_rows.groupBy("sig").agg(F.count("*").alias("size")).filter(F.col("size") > SMALL).select("sig")
     few = open_rows.join(large, "sig", "left_anti").withColumnRenamed("sig", "key")
     crowd = stage("crowd", open_rows.join(large, "sig", "left_semi").select("node", "n", "comp").distinct())
-    rare = _rarest(crowd.join(texts, "node"), width, percent)
-
-    def cross(rows: DataFrame, more) -> DataFrame:
-        x, y = rows.alias("x"), rows.alias("y")
-        fit_sizes = (F.col("y.n") <= F.col("x.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
-        return (
-            x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & fit_sizes & more)
-            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        )
-
-    probe = F.col("x.role").bitwiseAND(PROBE | PROBE_LESS) > 0
-    held = F.col("y.role").bitwiseAND(INDEX | INDEX_LESS) > 0
-    cross = cross(few, probe & held).union(cross(stage("rare", rare), F.lit(True))).distinct()
-    rest = stage("rest", cross.join(tried, ["a", "b"], "left_anti"))
+    rare = _rarest(crowd.join(texts, "node"), width, percent).withColumn("role", F.lit(INDEX | PROBE))
+    columns = ["key", "node", "n", "role", "comp"]
+    shares = stage("rare", few.select(columns).union(rare.select(columns)))
+    rest = stage("rest", compared(shares, sketches, percent).distinct().join(tried, ["a", "b"], "left_anti"))
     more = stage("links-2", _verified(rest, texts, bits, width, percent))
     return sets, found.union(more)
 
