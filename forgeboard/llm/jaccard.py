@@ -16,7 +16,8 @@ with one other, of the first sets of its signatures that with which it shares
 most; links are gathered into components, and rounds compare one member of
 each two components that still meet in a signature. What is left in different
 components is compared in blocks by parity bits, which rule out no linked
-pair, so that only pairs that pass leave a task; where more than ``SMALL``
+pair, so that only pairs that pass leave a task: first the nearest of every
+component, then all that still lie apart. Where more than ``SMALL``
 sets share a signature, only those that also share a shingle among their
 rarest (linked sets must, by the overlap they need).
 """
@@ -54,7 +55,7 @@ SMALL = 32
 #: A shingle is common that more than one in so many of the sets concerned hold.
 RARE = 1000
 #: Rounds in which a signature's components are compared by one member each only.
-STARS = 3
+STARS = 2
 #: Roles of a signature.
 INDEX, PROBE, INDEX_LESS, PROBE_LESS = 1, 2, 4, 8
 
@@ -366,9 +367,22 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def compared(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _nearest(pairs: np.ndarray) -> np.ndarray:
+    """Of rows ``a, b, apart, comp_a, comp_b`` those that are the nearest of a component."""
+    row = np.tile(np.arange(len(pairs)), 2)
+    comp = np.concatenate([pairs[:, 3], pairs[:, 4]])
+    a, b, apart = pairs[row, 0], pairs[row, 1], pairs[row, 2]
+    order = np.lexsort((b, a, apart, comp))
+    comp = comp[order]
+    return pairs[np.unique(row[order][np.append(True, comp[1:] != comp[:-1])])]
+
+
+def compared(rows: DataFrame, sketches: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Pairs ``a, b`` of sets that share a key and may be linked; no linked pair with fitting roles is left out.
 
+    With ``nearest`` only the nearest pair of every component is kept of the
+    groups looked at together, so what leaves a task is at most what entered.
+
     ``rows`` holds ``key, node, n, role, comp``, ``sketches`` the parities of
     every node. A pair counts where the components differ, the sizes fit, the
     larger set probes what the smaller has in the index, and the parities do
@@ -402,7 +416,7 @@ def compared(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             ends = np.append(opens[1:], len(node))
             after = np.repeat(ends, ends - opens) - 1 - np.arange(len(node))  # rows of the group behind each
             places = np.append(0, np.cumsum(after))
-            low = 0
+            low, kept = 0, np.zeros((0, 5), np.int64)
             while low < len(node):
                 high = max(low + 1, int(np.searchsorted(places, places[low] + PAIRS, "right")) - 1)
                 x = np.repeat(np.arange(low, high), after[low:high])
@@ -418,8 +432,14 @@ def compared(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 x, y = x[keep], y[keep]
                 least = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
                 keep = least <= bands.difference(n[x], n[y])
-                a, b = node[x[keep]], node[y[keep]]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                x, y = x[keep], y[keep]
+                a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+                if nearest:
+                    kept = _nearest(np.concatenate([kept, np.column_stack([a, b, least[keep], comp[x], comp[y]])]))
+                else:
+                    yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+            if nearest:
+                yield pa.record_batch([pa.array(kept[:, 0].copy()), pa.array(kept[:, 1].copy())], names=["a", "b"])
 
     places = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = dealt.repartition(places, "key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -605,6 +625,13 @@ def links(narrow: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Da
     rare = _rarest(crowd.join(texts, "node"), width, percent).withColumn("role", F.lit(INDEX | PROBE))
     columns = ["key", "node", "n", "role", "comp"]
     shares = stage("rare", few.select(columns).union(rare.select(columns)))
+    # Every component's nearest first; what they join need not be compared in full.
+    near = compared(shares, sketches, percent, nearest=True).distinct()
+    fresh = stage("tried-near", near.join(tried, ["a", "b"], "left_anti"))
+    found = found.union(stage("links-near", _verified(fresh, texts, bits, width, percent)))
+    tried = tried.union(fresh)
+    joined = components(found, stage, "comp-1-near").toDF("node", "joined")
+    shares = shares.join(joined, "node", "left").withColumn("comp", F.coalesce("joined", "comp")).drop("joined")
     rest = stage("rest", compared(shares, sketches, percent).distinct().join(tried, ["a", "b"], "left_anti"))
     more = stage("links-2", _verified(rest, texts, bits, width, percent))
     return sets, found.union(more)

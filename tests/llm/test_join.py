@@ -91,3 +91,7 @@ def test_blocks_hold_every_pair_that_may_be_linked(spark, monkeypatch):
     got = {tuple(r) for r in jaccard.compared(frame, sketches, 80).distinct().collect()}
     assert got == want and len(want) > 50
     assert jaccard.compared(frame.limit(0), sketches, 80).count() == 0
+    near = {tuple(r) for r in jaccard.compared(frame, sketches, 80, nearest=True).collect()}
+    assert near <= want and len(near) < len(want)
+    # Every component that has a pair at all has one here.
+    assert {v % 7 for p in near for v in p} == {v % 7 for p in want for v in p}
