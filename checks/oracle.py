@@ -204,13 +204,14 @@ def _search_users(pattern: str, stored: bool = False) -> str:
     )
 
 
-def _search_repos(table: str, pattern: str) -> str:
+def _search_repos(table: str, pattern: str, bases: str | None = None, extra: dict[str, str] | None = None) -> str:
     return _with(
-        table,
+        bases or table,
         f"""SELECT {REPO_SHOWN} FROM {table}
         WHERE lower(name) LIKE lower('{pattern}') ESCAPE '\\'
            OR lower(description) LIKE lower('{pattern}') ESCAPE '\\'
         ORDER BY COALESCE({table}.stargazers_count, 0) DESC, owner, name LIMIT 50""",
+        extra,
     )
 
 
@@ -355,6 +356,9 @@ ORACLE: dict[str, str] = {
     "list_devs_by_type": _devs("User", "totals.forks", "%ma%", stored=True),
     "list_devs_by_term": _search_users("%5%", stored=True),
     "list_repos_by_term": _search_repos("repos", "%repo-1%"),
+    "indexed_search_users": _search_users("%#0000001%", stored=True),
+    "indexed_search_repos": _search_repos("repos", r"%der\_1-_RGENT 100\%%"),
+    "refreshed_indexed_search": _search_repos("after_repos", "%Repo-10%", "users repos", REFRESHED),
     "last_run": f"SELECT {_time('MAX(ts)', 'created_at')} FROM events",
     "append_run": f"""SELECT {_time('ts', 'created_at')} FROM events
         UNION ALL SELECT '2024-02-01 00:00:00.000000'""",

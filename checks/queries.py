@@ -27,6 +27,7 @@ from forgeboard.plans.leaderboards import Leaderboards
 from forgeboard.plans.listings import get_nested_profile, get_profile, list_devs, list_repos
 from forgeboard.plans.moderate import moderate
 from forgeboard.plans.refresh import land, refresh, run
+from forgeboard.plans.search_index import SearchIndex
 from forgeboard.session import shared_dir, tune
 from checks import mapping
 from forgeboard.sources.payload import (
@@ -330,6 +331,28 @@ def list_repos_by_term(spark, folder):
     return list_repos(store.read(version), "repo-1")
 
 
+@query
+def indexed_search_users(spark, folder):
+    store, version = _published(spark, folder)
+    return SearchIndex(store, shared_dir(spark, "search")).search_users(version, "#0000001")
+
+
+@query
+def indexed_search_repos(spark, folder):
+    store, version = _published(spark, folder)
+    return SearchIndex(store, shared_dir(spark, "search")).search_repos(version, r"der\_1-_RGENT 100\%")
+
+
+@query
+def refreshed_indexed_search(spark, folder):
+    """A search after a refresh, with the index kept from the version before."""
+    store = _stored_before(spark, folder)
+    index = SearchIndex(store, shared_dir(spark, "search"))
+    index.build("repos", store.latest())
+    run(store, read_items(spark, _landing(spark, folder)), FETCHED)
+    return index.search_repos(store.latest(), "Repo-10")
+
+
 # -- runs ----------------------------------------------------------------
 
 

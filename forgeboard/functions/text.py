@@ -35,6 +35,21 @@ def contains_pattern(term: str) -> str:
     return _ESCAPED.sub(unescape, f"%{term}%")
 
 
+def literal_runs(pattern: str) -> list[str]:
+    """The stretches of a LIKE pattern that a match holds letter by letter."""
+    runs, escaped = [""], False
+    for letter in pattern:
+        if not escaped and letter == "\\":
+            escaped = True
+            continue
+        if not escaped and letter in "%_":
+            runs.append("")
+        else:
+            runs[-1] += letter
+        escaped = False
+    return [run for run in runs if run]
+
+
 def contains(column: Column, term: str) -> Column:
     """Case-sensitive match of ``%term%``."""
     return F.like(column, F.lit(contains_pattern(term)))

@@ -124,6 +124,10 @@ class SnapshotStore:
         parts, layout = self._layout(version)
         return parts, {p: f"{layout['users'].get(p)} {w}" for p, w in layout["repos"].items()}
 
+    def where(self, table: str, version: int) -> dict[int, str]:
+        """The write that holds each part of a table; what one write holds never changes."""
+        return self._layout(version)[1][table]
+
     # -- reading ---------------------------------------------------------
 
     def _load(self, table: str, where: dict[int, str]) -> DataFrame:
