@@ -4,15 +4,18 @@ A node that is to hold several shards is cut along its widest dimension at the
 weighted median (the quantile that its two sides' shard counts ask for).
 Medians come from histograms summed over the cluster: every dimension is laid
 on a grid of ``GRID`` steps, and within the step where the median falls a hash
-of the unit decides. The driver sees sums of at most nodes x dimensions x
-``GRID`` cells.
+of the unit decides. Units that weigh a noticeable part of a shard are placed
+whole, by their own step; the cut through all the others makes up for them.
+The driver sees sums of at most nodes x dimensions x ``GRID`` cells and at
+most ``HEAVY`` units a shard.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from forgeboard.llm.frames import partitions_for, pick
@@ -23,27 +26,24 @@ OVERHEAD = 16
 GRID = 1024
 #: Steps of the hash within a grid step.
 FINE = 4096
-#: Copies of one text stay together up to this part of a shard.
-TOGETHER = 64
+#: Copies of one text stay together up to this part of a shard: a half.
+TOGETHER = 2
+#: A unit over this part of a shard, a 64th, is placed by itself.
+HEAVY = 64
 #: Rows that are numbered in one window.
 CHUNK_ROWS = 20_000
 
+KEY = ["h", "text_crc32", "cut"]
+BOUNDS = "node int, dim int, step int, bound int, half int"
+
 
 @dataclass
 class Node:
-    """A leaf of the tree so far, with the shards from ``first`` on and what leads to it."""
+    """A leaf of the tree so far, with the shards from ``first`` on and the heavy units in it."""
 
     first: int
     shards: int
-    path: Column
-
-
-def _leaf(nodes: list[Node]) -> Column:
-    """The first shard of the node a unit lies in; one flat CASE, whatever the depth."""
-    found = F
-    for node in nodes:
-        found = found.when(node.path, F.lit(node.first))
-    return found
+    heavy: list[Row] = field(default_factory=list)
 
 
 def _scaled(value: Column, low: float | None, high: float | None) -> Column:
@@ -60,18 +60,18 @@ def _named(value: Column) -> Column:
 def _units(rows: DataFrame, target: float) -> tuple[DataFrame, DataFrame]:
     """Rows with the unit they belong to, and units: the copies of one text, cut where they are many.
 
-    At most ``TOGETHER`` x shards texts outweigh ``target / TOGETHER``, so the
-    list of those that are cut is small whatever the number of documents.
+    A text whose rows outweigh ``target / TOGETHER`` is cut by a hash of its
+    rows into units far lighter than ``target / HEAVY``. Few texts weigh as
+    much: at most ``TOGETHER`` a shard, whatever the number of documents.
     """
     text = ["h", "text_crc32"]
     weights = rows.groupBy(*text).agg(F.sum("size").alias("weight"))
-    most = max(1.0, target / TOGETHER)
-    large = weights.filter(F.col("weight") > most).select(
-        *text, F.ceil(F.col("weight") / F.lit(most)).cast("long").alias("cuts")
+    large = weights.filter(F.col("weight") > F.lit(target / TOGETHER)).select(
+        *text, F.ceil(F.col("weight") / F.lit(max(1.0, target / HEAVY / 4))).cast("long").alias("cuts")
     )
     cut = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("row"), F.col("cuts")))
     marked = rows.join(F.broadcast(large), text, "left").withColumn("cut", cut.cast("long")).drop("cuts")
-    units = marked.groupBy(*text, "cut").agg(
+    units = marked.groupBy(*KEY).agg(
         F.sum("size").alias("bytes"),
         F.max("size").alias("largest"),
         F.min("lang").alias("lang"),
@@ -91,52 +91,88 @@ def _cut_point(cells: list[tuple[int, int]], share: float) -> tuple[int, float]:
     return cells[-1][0], before - cells[-1][1]
 
 
-def _tree(units: DataFrame, shards: int) -> Column:
-    """The shard of a unit, as an expression over its grid steps ``d0..d3`` and ``u``."""
+def _sides(heavy: list[Row], dim: str, step: int, room: float) -> tuple[list[Row], list[Row]]:
+    """Heavy units below and above a step; of those on it, the largest that still fit go below."""
+    left = [r for r in heavy if r[dim] < step]
+    right = [r for r in heavy if r[dim] > step]
+    room -= sum(r["bytes"] for r in left)
+    for r in sorted((r for r in heavy if r[dim] == step), key=lambda r: (-r["bytes"], *(r[k] for k in KEY))):
+        fits = r["bytes"] <= room
+        (left if fits else right).append(r)
+        room -= r["bytes"] * fits
+    return left, right
+
+
+def _tree(units: DataFrame, shards: int, least: float) -> DataFrame:
+    """``h, text_crc32, cut, shard`` of all units, from their ``bytes`` and grid steps ``d0..`` and ``u``.
+
+    Light units carry the number of their node from level to level through a
+    table of at most ``shards`` bounds, so a level adds one small step to the
+    plan. Heavy ones, over ``least`` bytes, are placed here.
+    """
+    spark = units.sparkSession
     dims = [c for c in units.columns if c.startswith("d") and c[1:].isdigit()]
-    nodes = [Node(0, shards, F.lit(True))]
+    heavy = units.filter(F.col("bytes") > F.lit(least)).select(*KEY, "bytes", *dims).collect()
+    at = units.filter(F.col("bytes") <= F.lit(least)).withColumn("node", F.lit(0))
+    nodes = [Node(0, shards, heavy)]
     while open_nodes := [n for n in nodes if n.shards > 1]:
-        at = units.withColumn("node", _leaf(open_nodes)).filter(F.col("node").isNotNull())
-        cells: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        known = spark.createDataFrame([(n.first,) for n in open_nodes], "node int")
+        inside = at.join(F.broadcast(known), "node", "left_semi")
+        light: dict[tuple[int, int], Counter[int]] = {}
         for r in (
-            at.select("node", "bytes", F.posexplode(F.array(*dims)).alias("dim", "step"))
+            inside.select("node", "bytes", F.posexplode(F.array(*dims)).alias("dim", "step"))
             .groupBy("node", "dim", "step")
             .agg(F.sum("bytes").alias("weight"))
             .collect()
         ):
-            cells.setdefault((r["node"], r["dim"]), []).append((r["step"], r["weight"]))
-        wanted: dict[int, tuple[int, int, float]] = {}
-        on_step = F.lit(False)
+            light.setdefault((r["node"], r["dim"]), Counter())[r["step"]] = r["weight"]
+        grown: list[Node] = [n for n in nodes if n.shards == 1]
+        cuts: list[tuple[Node, int, int, float]] = []
         for node in open_nodes:
-            if (node.first, 0) not in cells:
-                continue
-            by_dim = [sorted(cells[node.first, d]) for d in range(len(dims))]
-            widest = max(range(len(dims)), key=lambda d: (by_dim[d][-1][0] - by_dim[d][0][0], -d))
-            share = sum(w for _, w in by_dim[widest]) * (node.shards // 2) / node.shards
-            step, before = _cut_point(by_dim[widest], share)
-            wanted[node.first] = (widest, step, share - before)
-            on_step |= (F.col("node") == node.first) & (F.col(dims[widest]) == step)
+            half = node.shards // 2
+            left: list[Row] = []
+            right: list[Row] = []
+            cells = []
+            for d, name in enumerate(dims):
+                both = Counter(light.get((node.first, d), Counter()))
+                for r in node.heavy:
+                    both[r[name]] += r["bytes"]
+                cells.append(sorted(both.items()))
+            if cells[0]:
+                widest = max(range(len(dims)), key=lambda d: (cells[d][-1][0] - cells[d][0][0], -d))
+                share = sum(w for _, w in cells[widest]) * half / node.shards
+                step, _ = _cut_point(cells[widest], share)
+                left, right = _sides(node.heavy, dims[widest], step, share)
+                if (node.first, widest) in light:
+                    # What the heavy units leave of the share is cut off the light ones.
+                    share -= sum(r["bytes"] for r in left)
+                    step, before = _cut_point(sorted(light[node.first, widest].items()), share)
+                    cuts.append((node, widest, step, share - before))
+            grown.append(Node(node.first, half, left))
+            grown.append(Node(node.first + half, node.shards - half, right))
+        nodes = grown
+        if not cuts:
+            continue
+        value = F.get(F.array(*dims), F.col("dim"))
+        steps = spark.createDataFrame([(n.first, dim, step) for n, dim, step, _ in cuts], "node int, dim int, step int")
+        on_step = inside.join(F.broadcast(steps), "node").filter(value == F.col("step"))
         fine: dict[int, list[tuple[int, int]]] = {}
-        for r in at.filter(on_step).groupBy("node", "u").agg(F.sum("bytes").alias("weight")).collect():
+        for r in on_step.groupBy("node", "u").agg(F.sum("bytes").alias("weight")).collect():
             fine.setdefault(r["node"], []).append((r["u"], r["weight"]))
-        grown: list[Node] = []
-        for node in nodes:
-            if node.shards == 1:
-                grown.append(node)
-                continue
-            half, right = node.shards // 2, F.lit(False)
-            if node.first in wanted:
-                dim, step, share = wanted[node.first]
-                own = sorted(fine[node.first])
-                u, before = _cut_point(own, share)
-                # The nearer side of the step of the hash.
-                bound = u + 1 if share - before > dict(own)[u] / 2 else u
-                value = F.col(dims[dim])
-                right = (value > step) | ((value == step) & (F.col("u") >= bound))
-            grown.append(Node(node.first, half, node.path & ~right))
-            grown.append(Node(node.first + half, node.shards - half, node.path & right))
-        nodes = grown
-    return _leaf(nodes)
+        bounds = []
+        for node, dim, step, share in cuts:
+            own = sorted(fine[node.first])
+            u, before = _cut_point(own, share)
+            # The nearer side of the step of the hash.
+            bound = u + 1 if share - before > dict(own)[u] / 2 else u
+            bounds.append((node.first, dim, step, bound, node.shards // 2))
+        right_side = (value > F.col("step")) | ((value == F.col("step")) & (F.col("u") >= F.col("bound")))
+        at = at.join(F.broadcast(spark.createDataFrame(bounds, BOUNDS)), "node", "left").select(
+            *units.columns, F.when(right_side, F.col("node") + F.col("half")).otherwise(F.col("node")).alias("node")
+        )
+    placed = [(*(r[k] for k in KEY), n.first) for n in nodes for r in n.heavy]
+    alone = spark.createDataFrame(placed, "h long, text_crc32 long, cut long, shard int")
+    return at.select(*KEY, F.col("node").cast("int").alias("shard")).unionByName(alone)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -145,9 +181,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     The law is ``bytes``: shards hold nearly equal sums of ``size``, the UTF-8
     bytes of the text and 16 (a null text has none). Dimensions are the size
     on a log scale, the language, the source, and the id. Rows of one text
-    stay in one shard unless they make more than a 64th of a shard; then they
-    are cut by a hash. ``slot`` counts from 0 in each shard without gaps and
-    is drawn from small chunks of rows. ``grown_shard`` is null.
+    stay in one shard unless they make more than half a shard; then they are
+    cut by a hash. ``slot`` counts from 0 in each shard without gaps and is
+    drawn from small chunks of rows. ``grown_shard`` is null.
 
     Null languages and sources count as empty names and null ids as the
     lowest; rows that repeat are rows of their own; an empty table gives no
@@ -175,22 +211,21 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.min("doc_id").cast("double").alias("id_low"),
         F.max("doc_id").cast("double").alias("id_high"),
     ).first()
-    marked, found = _units(rows, (span["bytes"] or 0) / shards)
-    key = ["h", "text_crc32", "cut"]
+    target = (span["bytes"] or 0) / shards
+    marked, found = _units(rows, target)
     units = stage(
         "units",
         found.select(
-            *key,
+            *KEY,
             "bytes",
             _scaled(F.log2("largest"), span["size_low"], span["size_high"]).alias("d0"),
             _named(F.col("lang")).alias("d1"),
             _named(F.col("source")).alias("d2"),
             _scaled(F.col("doc_id").cast("double"), span["id_low"], span["id_high"]).alias("d3"),
-            F.pmod(F.xxhash64(*key, F.lit(7)), F.lit(FINE)).cast("int").alias("u"),
+            F.pmod(F.xxhash64(*KEY, F.lit(7)), F.lit(FINE)).cast("int").alias("u"),
         ),
     )
-    leaf = _tree(units, shards)
-    placed = marked.join(units.select(*key, leaf.cast("int").alias("shard")), key)
+    placed = marked.join(_tree(units, shards, target / HEAVY), KEY)
     chunks = partitions_for(span["n"], CHUNK_ROWS)
     dealt = stage(
         "dealt",
