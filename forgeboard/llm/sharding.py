@@ -106,14 +106,16 @@ def _sides(heavy: list[Row], dim: str, step: int, room: float) -> tuple[list[Row
 def _tree(units: DataFrame, shards: int, least: float) -> DataFrame:
     """``h, text_crc32, cut, shard`` of all units, from their ``bytes`` and grid steps ``d0..`` and ``u``.
 
-    Light units carry the number of their node from level to level through a
-    table of at most ``shards`` bounds, so a level adds one small step to the
-    plan. Heavy ones, over ``least`` bytes, are placed here.
+    All units start in ``node`` 0, a stored column. Light ones carry the number
+    of their node from level to level through a table of at most ``shards``
+    bounds, so a level adds one small step to the plan. Heavy ones, over
+    ``least`` bytes, are placed here.
     """
     spark = units.sparkSession
     dims = [c for c in units.columns if c.startswith("d") and c[1:].isdigit()]
     heavy = units.filter(F.col("bytes") > F.lit(least)).select(*KEY, "bytes", *dims).collect()
-    at = units.filter(F.col("bytes") <= F.lit(least)).withColumn("node", F.lit(0))
+    at = units.filter(F.col("bytes") <= F.lit(least))
+    kept = [c for c in units.columns if c != "node"]
     nodes = [Node(0, shards, heavy)]
     while open_nodes := [n for n in nodes if n.shards > 1]:
         known = spark.createDataFrame([(n.first,) for n in open_nodes], "node int")
@@ -168,7 +170,7 @@ def _tree(units: DataFrame, shards: int, least: float) -> DataFrame:
             bounds.append((node.first, dim, step, bound, node.shards // 2))
         right_side = (value > F.col("step")) | ((value == F.col("step")) & (F.col("u") >= F.col("bound")))
         at = at.join(F.broadcast(spark.createDataFrame(bounds, BOUNDS)), "node", "left").select(
-            *units.columns, F.when(right_side, F.col("node") + F.col("half")).otherwise(F.col("node")).alias("node")
+            *kept, F.when(right_side, F.col("node") + F.col("half")).otherwise(F.col("node")).alias("node")
         )
     placed = [(*(r[k] for k in KEY), n.first) for n in nodes for r in n.heavy]
     alone = spark.createDataFrame(placed, "h long, text_crc32 long, cut long, shard int")
@@ -223,6 +225,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             _named(F.col("source")).alias("d2"),
             _scaled(F.col("doc_id").cast("double"), span["id_low"], span["id_high"]).alias("d3"),
             F.pmod(F.xxhash64(*KEY, F.lit(7)), F.lit(FINE)).cast("int").alias("u"),
+            F.lit(0).alias("node"),
         ),
     )
     placed = marked.join(_tree(units, shards, target / HEAVY), KEY)

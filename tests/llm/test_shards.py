@@ -11,7 +11,7 @@ from forgeboard.llm import sharding
 from forgeboard.llm.frames import prepare
 
 DIMS = ["d0", "d1", "d2", "d3"]
-UNIT = "h long, text_crc32 long, cut long, bytes long, d0 int, d1 int, d2 int, d3 int, u int"
+UNIT = "h long, text_crc32 long, cut long, bytes long, d0 int, d1 int, d2 int, d3 int, u int, node int"
 
 
 def below(cells, share):
@@ -67,7 +67,7 @@ def test_tree_against_plain_python(spark, shards, heavies):
     random.seed(shards)
     units = [
         (i, i * 7 % 101, 0, random.randint(300, 900) if i < heavies else random.randint(1, 60),
-         random.randint(0, 1023), random.choice([5, 900]), random.randint(0, 40), random.randint(0, 1023), random.randint(0, 9))
+         random.randint(0, 1023), random.choice([5, 900]), random.randint(0, 40), random.randint(0, 1023), random.randint(0, 9), 0)
         for i in range(700)
     ]
     got = sharding._tree(spark.createDataFrame(units, UNIT), shards, 299).collect()
