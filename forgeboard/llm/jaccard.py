@@ -374,7 +374,7 @@ def _nearest(pairs: np.ndarray) -> np.ndarray:
     a, b, apart = pairs[row, 0], pairs[row, 1], pairs[row, 2]
     order = np.lexsort((b, a, apart, comp))
     comp = comp[order]
-    return pairs[np.unique(row[order][np.append(True, comp[1:] != comp[:-1])])]
+    return pairs[np.unique(row[order][np.append(True, comp[1:] != comp[:-1])[: len(comp)]])]
 
 
 def compared(rows: DataFrame, sketches: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
