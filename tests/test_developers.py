@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from forgeboard.functions.params import ParameterError
-from forgeboard.operators import developers, moderation
+from forgeboard.operators import developers, moderation, search
 from forgeboard.plans.listings import list_devs, list_repos
 from forgeboard.sources.snapshots import Snapshot
 from tests.conftest import column, repo
@@ -160,3 +160,23 @@ def test_hiding_is_seen_in_the_profile(make):
     for hide in (True, False):
         users = moderation.hide_users(users, make.frame("login string, hide boolean", ("bob", hide))).users
         assert developers.nested_profile(users, repos, "bob").first().user.hide is hide
+
+
+def test_totals_beyond_32_bits(make):
+    users = make.users({"login": "big", "type": "User"}, {"login": "bare", "type": "User"})
+    most = 2**31 - 1
+    repos = make.repos(*[repo("big", name, most, forks_count=most) for name in "abc"])
+    assert tuple(developers.get_user(users, repos, "big").select("stars", "forks").first()) == (3 * most, 3 * most)
+    assert column(developers.popular_devs(users, repos, "User"), "stars") == [3 * most]
+    assert column(search.search_users(users, repos, "big"), "stars") == [3 * most]
+    pages = developers.nested_profile(users, repos, "big", page_rows=2).orderBy("page").collect()
+    assert [(p.user.stars, [r.name for r in p.repos]) for p in pages] == [(3 * most, ["a", "b"]), (3 * most, ["c"])]
+    bare = developers.nested_profile(users, repos, "bare").collect()
+    assert [(p.user.stars, p.language, p.page, p.repos) for p in bare] == [(0, None, 0, [])]
+
+
+def test_pages_of_a_profile_are_not_broadcast(make):
+    """The one profile is what is sent to the pages, never the other way round."""
+    users, repos = make.users({"login": "big"}), make.repos(repo("big", "a"), repo("big", "b"))
+    plan = developers.nested_profile(users, repos, "big")._jdf.queryExecution().sparkPlan().toString()
+    assert "NestedLoopJoin" not in plan and "LeftOuter" not in plan
