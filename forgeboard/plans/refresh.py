@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgeboard.operators.maintenance import replace_repos, upsert_users
-from forgeboard.session import Stage, shared_dir, stage_in
+from forgeboard.session import Stage, shared_dir, stage_in, together
 from forgeboard.sources.payload import (
     ARRIVAL,
     ENDS_LISTING,
@@ -47,12 +48,16 @@ class Landed:
 NOT_FETCHED, NO_PROFILE, NOT_WANTED = "profile not fetched", "no profile", "not a candidate"
 
 
+def kind_of() -> Column:
+    """The kind of a line, ``none`` for one that is not known."""
+    return F.when(F.col("kind").isin("profile", "repo", "listing"), F.col("kind")).otherwise("none").alias("of")
+
+
 def by_kind(items: DataFrame, stage: Stage) -> DataFrame:
     """The lines in a table with a folder for each kind, so that they are parsed once and read by kind."""
     if "of" in items.columns:
         return items
-    of = F.when(F.col("kind").isin("profile", "repo", "listing"), F.col("kind")).otherwise("none")
-    return stage("items", items.withColumn("of", of), "of")
+    return stage("items", items.select("*", kind_of()), "of")
 
 
 def land(
@@ -86,12 +91,11 @@ def land(
             (F.col("of") == kind) & F.col("ok") & F.col("login").isNotNull()
         ).select(F.col("login").alias(VISITED), "fetched_at", "body", *order)
 
-    users = split(
-        stage("users", judge_users(parse_body(bodies("profile"), USER_PAYLOAD), "fetched_at")),
-        USER_KEY,
+    profiles, judged = together(
+        lambda: stage("users", judge_users(parse_body(bodies("profile"), USER_PAYLOAD), "fetched_at")),
+        lambda: stage("repos", judge_repos(parse_body(bodies("repo"), REPO_PAYLOAD), "fetched_at")),
     )
-    judged = stage("repos", judge_repos(parse_body(bodies("repo"), REPO_PAYLOAD), "fetched_at"))
-    repos = split(judged, REPO_KEY)
+    users, repos = split(profiles, USER_KEY), split(judged, REPO_KEY)
     listed = items.filter("of = 'listing' AND ok AND login IS NOT NULL").select(
         F.col("login").alias("owner"), F.col("fetched_at").alias("started_at")
     )
@@ -176,9 +180,9 @@ def settle(items: DataFrame, pending: DataFrame, visits: DataFrame, stage: Stage
     is left waits, or counts as an account without profile if not ``hold``;
     what waited before goes on waiting.
     """
-    lines = by_kind(
-        items.withColumn("waited", F.lit(False)).unionByName(pending.withColumn("waited", F.lit(True)), True), stage
-    )
+    # Both lie in files; what waited is not written again to be read by kind.
+    waited = pending.drop("of").select("*", kind_of()).withColumn("waited", F.lit(True))
+    lines = by_kind(items, stage).withColumn("waited", F.lit(False)).unionByName(waited, True)
     profiles = lines.filter("of = 'profile' AND login IS NOT NULL").select("login").distinct()
     loose = F.col("of").isin("repo", "listing") & F.col("login").isNotNull()
     undecided = stage(
@@ -270,15 +274,22 @@ def run(
         .unionByName(landed.repos.select("owner"))
         .unionByName(landed.listed.select("owner"))
     )
-    touched = store.touched_parts(owners)
-    before = store.read(parts=touched)
-    # Rows kept come from a published version, and rows that arrived were
-    # checked one by one and reduced to one per key.
-    after = refresh(before, landed, stage)
+
+    def refreshed() -> tuple[Snapshot, list[int]]:
+        touched = store.touched_parts(owners)
+        return refresh(store.read(parts=touched), landed, stage), touched
+
     write = store.new_write()
-    store.keep(write, "rejects", landed.rejects)
-    store.keep(write, "pending", settled.held)
-    store.keep(write, "visits", _visits(settled.items, landed, settled.followed))
+    beside = {
+        "rejects": landed.rejects,
+        "pending": settled.held,
+        "visits": _visits(settled.items, landed, settled.followed),
+    }
     if files is not None:
-        store.keep(write, "files", files)
+        beside["files"] = files
+    (after, touched), *_ = together(
+        refreshed, *[functools.partial(store.keep, write, name, rows) for name, rows in beside.items()]
+    )
+    # Rows kept come from a published version, and rows that arrived were
+    # checked one by one and reduced to one per key.
     return store.publish(after, touched, source, batch, check=False, write=write)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from forgeboard.functions.params import ParameterError
 from forgeboard.operators.totals import owner_totals
-from forgeboard.session import Stage, stage_in
+from forgeboard.session import Stage, empty, stage_in, together
 from forgeboard.sources.schema import REPO, RUN, USER, repo_violations, user_violations
 
 TOTALS = T.StructType(
@@ -94,7 +94,7 @@ class SnapshotStore:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], COMMIT)
+            return empty(self.spark, COMMIT)
 
     def latest(self) -> int | None:
         return self._commits().agg(F.max("version")).first()[0]
@@ -133,7 +133,7 @@ class SnapshotStore:
     def _load(self, table: str, where: dict[int, str]) -> DataFrame:
         schema, _ = TABLES[table]
         if not where:
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         base = f"{self.root}/{table}"
         return (
             self.spark.read.schema(schema)
@@ -181,7 +181,7 @@ class SnapshotStore:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], RUN)
+            return empty(self.spark, RUN)
 
     def log_run(self, started_at: datetime) -> None:
         """Logged before any work, so a run that fails still counts."""
@@ -209,7 +209,7 @@ class SnapshotStore:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         named = self._commits().filter(F.col("table") == RUN_ROWS)
         named = named.agg(F.max_by("write", "version").alias("write")) if newest else named.select("write")
         return rows.join(named, "write", "left_semi").select(*schema.names)
@@ -294,12 +294,14 @@ class SnapshotStore:
                 raise ParameterError(f"{name} holds rows of parts not declared touched: {sorted(stray)}")
             next_layout[name].update({p: write for p in held})
 
-        put("users", snapshot.users)
-        put("repos", snapshot.repos)
-        if check:
-            self._check("users", user_violations(self._written("users", write)))
-            self._check("repos", repo_violations(self._written("repos", write)))
-        put("totals", owner_totals(self._written("repos", write)))
+        together(lambda: put("users", snapshot.users), lambda: put("repos", snapshot.repos))
+        checks = [
+            lambda: self._check("users", user_violations(self._written("users", write))),
+            lambda: self._check("repos", repo_violations(self._written("repos", write))),
+        ]
+        together(
+            *(checks if check else []), lambda: put("totals", owner_totals(self._written("repos", write)))
+        )
 
         rows = [
             (version, source, batch, parts, name, p, w)

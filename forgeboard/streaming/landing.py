@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from forgeboard.plans.refresh import run
+from forgeboard.plans.refresh import kind_of, run
 from forgeboard.session import shared_dir, stage_in
 from forgeboard.sources.payload import ENVELOPE, arrival_order, file_position
 from forgeboard.sources.snapshots import SnapshotStore
@@ -44,7 +44,8 @@ def stream_refresh(
     def apply(items: DataFrame, batch: int) -> None:
         # Lines are numbered here, where a batch is an ordinary scan of its files.
         stage = stage_in(shared_dir(spark, "landed"))
-        numbered = stage("lines", items.select(*ENVELOPE.names, arrival_order(F.col("stretch")), "file", "modified"))
+        columns = [*ENVELOPE.names, arrival_order(F.col("stretch")), kind_of(), "file", "modified"]
+        numbered = stage("lines", items.select(*columns), "of")
         files = numbered.select("file", "modified").distinct()
         fresh = stage("files", files.join(store.files(), ["file", "modified"], "left_anti"))
         if fresh.isEmpty():

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import glob
 import json
 import random
 
@@ -9,7 +10,7 @@ from forgeboard.operators import developers
 from forgeboard.plans.listings import get_nested_profile, get_profile
 from forgeboard.plans.moderate import moderate
 from forgeboard.plans.refresh import land, refresh, run
-from forgeboard.session import shared_dir
+from forgeboard.session import shared_dir, together
 from forgeboard.sources.payload import ENVELOPE, read_items
 from forgeboard.sources.schema import REPO, USER, repo_violations, user_violations
 from forgeboard.sources.snapshots import InvalidSnapshot, Snapshot, SnapshotStore
@@ -362,3 +363,20 @@ def test_profiles_come_from_one_part(spark, make):
     for login in ("lost", "O3", "nobody"):
         assert get_profile(store, login).user.count() == get_profile(store, login).repos.count() == 0
         assert get_nested_profile(store, login).count() == 0
+
+
+def test_streamed_lines_are_staged_once(spark, store, tmp_path):
+    """They are numbered and laid out by kind in one write, not copied again for each batch."""
+    (tmp_path / "in").mkdir()
+    landing(tmp_path / "in", [profile("full"), *listed("full", "x")], "1.json")
+    stream_refresh(store, str(tmp_path / "in"), shared_dir(spark, "stream")).awaitTermination()
+    staged = glob.glob(f"{store.root}/staging/*/*")
+    assert staged and not [s for s in staged if s.endswith("/items")]
+    assert store.read().repos.filter("owner = 'full' AND name = 'x'").count() == 1
+
+
+def test_steps_run_together_all_end_before_a_failure_shows():
+    done = []
+    with pytest.raises(ZeroDivisionError):
+        together(lambda: 1 // 0, lambda: done.append(1))
+    assert done == [1] and together(lambda: 1, lambda: 2) == [1, 2]
