@@ -54,6 +54,8 @@ SKETCH, BLOCK, TOGETHER, PAIRS = 512, 2048, 20_000, 1 << 19
 SMALL = 32
 #: A shingle is common that more than one in so many of the sets concerned hold.
 RARE = 1000
+#: Leading bits of a node that the bitmap of wanted nodes tells apart (8 MB).
+MARK_BITS = 26
 #: Rounds in which a signature's components are compared by one member each only.
 STARS = 2
 #: Roles of a signature.
@@ -321,15 +323,45 @@ def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(check, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, bits: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that are linked.
+def _marks(nodes: DataFrame) -> np.ndarray:
+    """A bit for every ``MARK_BITS`` leading bits of a node, set where one of ``nodes`` lies; its size is fixed."""
+    lead = F.shiftrightunsigned("node", 64 - MARK_BITS)
+    bit = F.expr("shiftleft(1L, cast(lead & 63 as int))")
+    cells = nodes.select(lead.alias("lead")).groupBy(F.shiftright("lead", 6).alias("cell")).agg(F.bit_or(bit).alias("held"))
+    found = cells.toArrow()  # at most 2 ** (MARK_BITS - 6) rows
+    marks = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+    marks[found["cell"].to_numpy()] = found["held"].to_numpy().view(np.uint64)
+    return marks
+
+
+def _marked(texts: DataFrame, marks: np.ndarray) -> DataFrame:
+    """The rows of ``texts`` whose node is marked."""
+    sent = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = sent.value
+        for batch in batches:
+            lead = batch["node"].to_numpy().view(np.uint64) >> np.uint64(64 - MARK_BITS)
+            yield batch.filter(pa.array(marks[lead >> np.uint64(6)] >> (lead & np.uint64(63)) & np.uint64(1) == 1))
+
+    return texts.mapInArrow(look, "node long, text string")
+
+
+def _verified(
+    pairs: DataFrame, texts: DataFrame, bits: DataFrame, width: int, percent: int, stage: Stage, name: str
+) -> DataFrame:
+    """The pairs ``a, b`` that are linked, written as ``name``.
 
     ``texts`` holds one text for each set, ``bits`` its size and parities.
-    Texts only move for pairs that their parities do not rule out.
+    Texts only move for pairs that their parities do not rule out: a bitmap
+    keeps the others, but for a few of the same leading bits, where they are.
     """
-    left = texts.toDF("a", "text_a")
-    right = texts.toDF("b", "text_b")
-    both = _possible(pairs, bits, percent).join(right, "b").join(left, "a")
+    possible = stage(f"possible-{name}", _possible(pairs, bits, percent))
+    marks = _marks(possible.select(F.explode(F.array("a", "b")).alias("node")))
+    if not marks.any():
+        return possible
+    met = stage(f"met-{name}", _marked(texts, marks))
+    both = possible.join(met.toDF("b", "text_b"), "b").join(met.toDF("a", "text_a"), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, before = Bands(percent), None
@@ -344,7 +376,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, bits: DataFrame, width: int, p
                     keep[i] = bands.link(before[1], own[i - start])
             yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return stage(name, both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.Table]:
@@ -535,7 +567,8 @@ def links(narrow: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Da
 
     # One text for each set that has a candidate.
     active = shared.select("node").union(shared.select("first")).distinct()
-    speaker = sets.filter("node IS NOT NULL AND row IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
+    held = sets.filter("node IS NOT NULL AND row IS NOT NULL").groupBy("node", "row").agg(F.count("*").alias("held"))
+    speaker = held.groupBy("node").agg(F.min(F.struct("row", "held")).alias("first")).select("node", "first.*")
     wanted = stage("wanted", speaker.join(active, "node"))
 
     def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -545,8 +578,14 @@ def links(narrow: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Da
             keep = [len(s) > 0 and _key(s) == node[i] for i, s in sets_of(batch["text"], width)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    met = narrow.join(wanted, "row").select("node", "text")
-    texts = stage("texts", met.mapInArrow(own_words, "node long, text string").dropDuplicates(["node"]))
+    # Only rows that repeat have to meet for one of them to speak; the others stay where they are read.
+    speaks = lambda which: narrow.join(wanted.filter(which), "row").select("node", "text").mapInArrow(
+        own_words, "node long, text string"
+    )
+    texts = speaks("held = 1")
+    if not wanted.filter("held > 1").isEmpty():
+        texts = texts.union(speaks("held > 1").dropDuplicates(["node"]))
+    texts = stage("texts", texts)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -572,7 +611,7 @@ def links(narrow: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Da
     nearest = votes.groupBy("node").agg(F.max_by("first", F.struct("votes", F.bitwise_not("first"))).alias("first"))
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     tried = stage("tried", nearest.select(*ordered("first", "node")))
-    found = stage("links-1", _verified(tried, texts, bits, width, percent))
+    found = _verified(tried, texts, bits, width, percent, stage, "links-1")
 
     members = stage(
         "members",
@@ -608,7 +647,7 @@ def links(narrow: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Da
         )
         pairs = met.groupBy("low", "high").agg(F.max_by(F.struct("a", "b"), F.struct("votes", "a", "b")).alias("p"))
         fresh = stage(f"tried-{step}", pairs.select("p.a", "p.b").join(tried, ["a", "b"], "left_anti"))
-        found = found.union(stage(f"links-star-{step}", _verified(fresh, texts, bits, width, percent)))
+        found = found.union(_verified(fresh, texts, bits, width, percent, stage, f"links-star-{step}"))
         tried = tried.union(fresh)
 
     # What still lies in different components and was not compared.
@@ -628,12 +667,12 @@ def links(narrow: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Da
     # Every component's nearest first; what they join need not be compared in full.
     near = compared(shares, sketches, percent, nearest=True).distinct()
     fresh = stage("tried-near", near.join(tried, ["a", "b"], "left_anti"))
-    found = found.union(stage("links-near", _verified(fresh, texts, bits, width, percent)))
+    found = found.union(_verified(fresh, texts, bits, width, percent, stage, "links-near"))
     tried = tried.union(fresh)
     joined = components(found, stage, "comp-1-near").toDF("node", "joined")
     shares = shares.join(joined, "node", "left").withColumn("comp", F.coalesce("joined", "comp")).drop("joined")
     rest = stage("rest", compared(shares, sketches, percent).distinct().join(tried, ["a", "b"], "left_anti"))
-    more = stage("links-2", _verified(rest, texts, bits, width, percent))
+    more = _verified(rest, texts, bits, width, percent, stage, "links-2")
     return sets, found.union(more)
 
 

@@ -10,6 +10,7 @@ import pytest
 
 from forgeboard.llm import jaccard
 from forgeboard.llm.frames import prepare
+from forgeboard.session import stage_in
 
 
 def components_of(texts: list[str], width: int, percent: int) -> list[int]:
@@ -95,3 +96,22 @@ def test_blocks_hold_every_pair_that_may_be_linked(spark, monkeypatch):
     assert near <= want and len(near) < len(want)
     # Every component that has a pair at all has one here.
     assert {v % 7 for p in near for v in p} == {v % 7 for p in want for v in p}
+
+
+def test_texts_move_only_for_pairs_that_may_be_linked(spark, tmp_path):
+    prepare(spark)
+    plain, rows = stage_in(str(tmp_path)), {}
+
+    def stage(name, df, *by):
+        rows[name] = plain(name, df, *by)
+        return rows[name]
+
+    texts = hot_texts()
+    # Repeated rows, of which one speaks.
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)] * 2, "doc_id long, text string, row long")
+    jaccard.links(docs, stage, 4, 85)
+    assert rows["texts"].count() == rows["texts"].select("node").distinct().count()
+    for name in ("links-1", "links-star-2"):
+        wanted = {n for r in rows[f"possible-{name}"].collect() for n in r}
+        assert wanted and {r.node for r in rows[f"met-{name}"].collect()} == wanted
+    assert rows["met-links-star-2"].count() < rows["texts"].count()
