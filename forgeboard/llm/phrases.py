@@ -5,16 +5,17 @@ and its last k - 1 words are. Texts become arrays of word numbers once, the
 numbers of frequent words only. Each level then looks at the places where two
 frequent shorter phrases overlap:
 
-1. The pairs (shorter phrase, next word) are counted by hash bucket. Buckets
-   below the support rule out all their pairs.
-2. The pairs seen in the other buckets are the candidates. They go into
-   double-array tries of a bounded size, broadcast one after the other.
+1. The pairs (shorter phrase, next word) are numbered, spread evenly over the
+   numbers of so many bits, and counted. What a task hands on are its numbers
+   in order, as gaps, packed by block of numbers; a block's are added up.
+2. The pairs with the support are the candidates. They go into double-array
+   tries of a bounded size, broadcast one after the other.
 3. All places of an array walk a trie together, level by level; the places
    where a phrase is accepted are counted by number, and the counts of all
    tasks added.
 
-The bounds are on what travels at once (words, candidates and marks in a
-broadcast); more of them mean further tries and further steps, not fewer rows.
+The bounds are on what travels at once (words and candidates in a broadcast);
+more of them mean further tries and further steps, not fewer rows.
 """
 
 from __future__ import annotations
@@ -37,8 +38,11 @@ from forgeboard.session import Stage, shared_dir, stage_in
 WORDS_TOGETHER, TRIE_PHRASES = 2_000_000, 250_000
 #: Words or places of a task that are added up together.
 HELD_TOGETHER = 1 << 21
-#: Leading bits of a bucket that the bitmap of heavy buckets tells apart (8 MB), and counts in a block.
-MARK_BITS, COUNT_BLOCK = 26, 4096
+#: Leading bits of a pair's number that tell its block, and counts in a block of phrases.
+BLOCK_BITS, COUNT_BLOCK = 12, 4096
+#: An odd number that spreads what it multiplies, and what undoes it.
+SPREAD = 0x9E3779B97F4A7C15
+UNSPREAD = pow(SPREAD, -1, 1 << 64)
 #: Score of a phrase whose parts never stand apart, halved.
 SCALE = 2_000_000
 UNKNOWN_LANGUAGE = "und"
@@ -307,75 +311,93 @@ def _safe_places(words: np.ndarray, state: np.ndarray, width: int) -> np.ndarray
     return np.flatnonzero((state[:-1] >= 0) & (state[1:] >= 0))
 
 
-def _pairs(batch: pa.RecordBatch, width: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Bucket, shorter phrase and next word at all safe places, an array at a time."""
-    for i, n in enumerate(batch["n"].to_pylist()):
-        words, state = (unpack(batch[c], i, n).astype(np.int64) for c in ("words", "state"))
-        at = _safe_places(words, state, width)
-        after = words[at + width - 1]
-        bucket = mix((state[at] << np.int64(32) | after).view(np.uint64)) >> np.uint64(64 - bits)
-        yield bucket.view(np.int64), state[at], after
+def _spread(x: np.ndarray, bits: int, by: int = SPREAD) -> np.ndarray:
+    """Numbers below ``2 ** bits`` dealt anew, one to one and evenly; ``UNSPREAD`` gives back what they were."""
+    mask = np.uint64((1 << bits) - 1)
+    x = x * np.uint64(by) & mask
+    x = x ^ x >> np.uint64((bits + 1) // 2)
+    return x * np.uint64(by) & mask
 
 
-def _heavy_buckets(level: DataFrame, width: int, bits: int, least: int) -> DataFrame:
-    def count(batches: Batches) -> Batches:
-        parts: list[np.ndarray] = []
-        for batch in batches:
-            for bucket, _, _ in _pairs(batch, width, bits):
-                parts.append(bucket)
-                if sum(map(len, parts)) > HELD_TOGETHER:
-                    yield _summed(parts, ("bucket", "held"))
-                    parts = []
-        if parts:
-            yield _summed(parts, ("bucket", "held"))
+def _gaps(values: np.ndarray, low: int) -> bytes:
+    """Rising numbers from ``low`` on as their gaps, all lowest bytes first."""
+    gaps = np.diff(values, prepend=np.uint64(low))
+    return pack(gaps.view(np.uint8).reshape(-1, 8).T)
 
-    counted = level.mapInArrow(count, "bucket long, held long")
-    return counted.groupBy("bucket").agg(F.sum("held").alias("held")).filter(F.col("held") >= least).select("bucket")
 
+def _ungapped(column: pa.Array, i: int, n: int, low: int) -> np.ndarray:
+    gaps = np.ascontiguousarray(unpack(column, i, 8 * n, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(gaps, dtype=np.uint64) + np.uint64(low)
 
-def _marks(heavy: DataFrame, bits: int) -> np.ndarray:
-    """A bit for every ``MARK_BITS`` leading bits of a bucket, set where a heavy one lies; its size is fixed."""
-    lead = F.shiftright("bucket", max(0, bits - MARK_BITS))
-    bit = F.expr("shiftleft(1L, cast(lead & 63 as int))")
-    cells = heavy.select(lead.alias("lead")).groupBy(F.shiftright("lead", 6).alias("cell")).agg(F.bit_or(bit).alias("held"))
-    found = cells.toArrow()  # at most 2 ** (MARK_BITS - 6) rows
-    marks = np.zeros(1 << (MARK_BITS - 6), np.uint64)
-    marks[found["cell"].to_numpy()] = found["held"].to_numpy().view(np.uint64)
-    return marks
 
+def _heavy_buckets(level: DataFrame, width: int, bits: int, least: int) -> DataFrame:
+    """``bucket`` of what is found ``least`` times or more; a pair has one of its own.
 
-def _candidates(level: DataFrame, heavy: DataFrame, width: int, bits: int) -> DataFrame:
-    """``state, after`` of the pairs seen in heavy buckets.
-
-    Most pairs of light buckets stay in their task, by a bitmap of fixed size;
-    the join with the buckets themselves leaves out the others.
+    Of its ``bits`` the upper half is the shorter phrase, the lower half the next word.
     """
-    sent = level.sparkSession.sparkContext.broadcast(_marks(heavy, bits))
-    drop = np.int64(max(0, bits - MARK_BITS))
+    half, drop = np.int64(bits // 2), bits - BLOCK_BITS
 
-    def emit(batches: Batches) -> Batches:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        marks = sent.value
+    def count(batches: Batches) -> Batches:
+        parts: list[np.ndarray] = []
 
         def rows() -> pa.RecordBatch:
-            pair, first = np.unique(np.concatenate([p for _, p in parts]), return_index=True)
-            bucket = np.concatenate([b for b, _ in parts])[first]
-            return pa.record_batch([pa.array(bucket), pa.array(pair)], names=["bucket", "pair"])
+            pairs, held = np.unique(np.concatenate(parts), return_counts=True)
+            parts.clear()
+            blocks, first = np.unique(pairs >> np.uint64(drop), return_index=True)
+            ends = np.append(first[1:], len(pairs))
+            cuts = list(zip(blocks.tolist(), first.tolist(), ends.tolist()))
+            return pa.record_batch(
+                [
+                    pa.array(blocks.astype(np.int32)),
+                    pa.array(ends - first),
+                    pa.array([_gaps(pairs[i:j], block << drop) for block, i, j in cuts], pa.binary()),
+                    pa.array([pack(held[i:j].astype(np.int32)) for _, i, j in cuts], pa.binary()),
+                ],
+                names=["block", "n", "gaps", "held"],
+            )
 
         for batch in batches:
-            for bucket, state, after in _pairs(batch, width, bits):
-                lead = bucket >> drop
-                held = (marks[lead >> 6] >> (lead & 63).astype(np.uint64)) & np.uint64(1) == 1
-                parts.append((bucket[held], (state << np.int64(32) | after)[held]))
-                if sum(len(p) for _, p in parts) > HELD_TOGETHER:
+            for i, n in enumerate(batch["n"].to_pylist()):
+                words, state = (unpack(batch[c], i, n).astype(np.int64) for c in ("words", "state"))
+                at = _safe_places(words, state, width)
+                pair = state[at] << half | words[at + width - 1]
+                parts.append(_spread(pair.view(np.uint64), bits))
+                if sum(map(len, parts)) > HELD_TOGETHER:
                     yield rows()
-                    parts = []
         if parts:
             yield rows()
 
-    # One row a pair first, so that the join sees no pair once a task.
-    seen = level.mapInArrow(emit, "bucket long, pair long").distinct()
-    return seen.join(heavy, "bucket").select(F.shiftright("pair", 32).alias("state"), F.col("pair").bitwiseAND(F.lit(0x7FFFFFFF)).alias("after"))
+    def add(batches: Batches) -> Batches:
+        block, pairs, held = -1, [], []
+
+        def rows() -> pa.RecordBatch:
+            values, of = np.unique(np.concatenate(pairs), return_inverse=True)
+            sums = np.zeros(len(values), np.int64)
+            np.add.at(sums, of, np.concatenate(held))
+            heavy = _spread(values[sums >= least], bits, UNSPREAD)
+            return pa.record_batch([pa.array(heavy.view(np.int64))], names=["bucket"])
+
+        for batch in batches:
+            for i, (own, n) in enumerate(zip(batch["block"].to_pylist(), batch["n"].to_pylist())):
+                if own != block and pairs:
+                    yield rows()
+                    pairs, held = [], []
+                block = own
+                pairs.append(_ungapped(batch["gaps"], i, n, own << drop))
+                held.append(unpack(batch["held"], i, n))
+        if pairs:
+            yield rows()
+
+    packed = level.mapInArrow(count, "block int, n long, gaps binary, held binary")
+    return packed.repartition("block").sortWithinPartitions("block").mapInArrow(add, "bucket long")
+
+
+def _candidates(heavy: DataFrame, bits: int) -> DataFrame:
+    """``state, after`` of the pairs."""
+    half = bits // 2
+    return heavy.select(
+        F.shiftright("bucket", half).alias("state"), F.col("bucket").bitwiseAND(F.lit((1 << half) - 1)).alias("after")
+    )
 
 
 LEVEL = "n long, words binary, state binary"
@@ -488,17 +510,17 @@ def frequent_phrases(texts: DataFrame, least: int, longest: int, stage: Stage) -
     shorter = vocabulary.select(F.col("number").cast("long").alias("state"), F.array("number").alias("head"))
     level = rows.withColumn("state", F.col("words"))
     digits = digits_for(size)
-    total = totals.agg(F.sum("n")).first()[0] or 0
-    bits = min(62, max(20, int(total).bit_length() + 2))
+    states = size
     for width in range(2, longest + 1):
+        bits = max(BLOCK_BITS, 2 * max(states, size).bit_length())
         heavy = stage(f"buckets-{width}", _heavy_buckets(level, width, bits, least))
-        pairs = stage(f"pairs-{width}", _candidates(level, heavy, width, bits))
         phrases = stage(
             f"phrases-{width}",
-            pairs.join(shorter, "state").select(F.concat("head", F.array(F.col("after").cast("int"))).alias("words")),
+            _candidates(heavy, bits).join(shorter, "state").select(F.concat("head", F.array(F.col("after").cast("int"))).alias("words")),
         )
         tries, numbered = _tries(phrases, digits, stage, width)
         sizes = [n for _, n in tries]
+        states = sum(sizes)
         level = stage(f"level-{width}", _accepted(level, tries, width))
         counted = stage(f"counts-{width}", _counts(level, sizes))
         kept = stage(f"frequent-{width}", numbered.join(counted.filter(F.col("a") >= least), "number"))

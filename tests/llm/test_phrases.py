@@ -144,3 +144,24 @@ def test_trie(size, width, words):
     got = trie.walk(text, np.arange(len(text)))
     want = [numbers.get(tuple(text[i : i + width].tolist()), -1) for i in range(len(text))]
     assert got.tolist() == want
+
+
+def test_only_pairs_with_the_support_are_heavy(spark):
+    prepare(spark)
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 200, 20_000).astype(np.int32)
+    words[rng.integers(0, len(words), 2_000)] = -1
+    held = collections.Counter((int(a), int(b)) for a, b in zip(words, words[1:]) if a >= 0 and b >= 0)
+    rows = [(len(words), phrases.pack(words), phrases.pack(words))] * 2
+    level = spark.createDataFrame(rows, "n long, words binary, state binary").repartition(2)
+    for bits in (16, 62):
+        heavy = phrases._heavy_buckets(level, 2, bits, 4).collect()
+        want = {a << bits // 2 | b for (a, b), n in held.items() if 2 * n >= 4}
+        assert sorted(r.bucket for r in heavy) == sorted(want) and len(want) < len(held)
+
+
+@pytest.mark.parametrize("bits", [12, 13, 38, 62])
+def test_spread_numbers_come_back(bits):
+    numbers = np.random.default_rng(1).integers(0, 1 << bits, 5_000, dtype=np.uint64)
+    spread = phrases._spread(numbers, bits)
+    assert (spread < 1 << bits).all() and (phrases._spread(spread, bits, phrases.UNSPREAD) == numbers).all()
