@@ -34,8 +34,8 @@ CLASSES = ("n_symbols", "n_breaks", "n_capitals", "n_digits", "n_marks", "n_rest
 
 
 def _count(pattern: str) -> Column:
-    """Characters of ``text`` that match; the pattern takes runs of them."""
-    return (F.col("n_chars") - F.length(F.regexp_replace("text", pattern, ""))).cast("long")
+    """Characters of ``few`` that match; the pattern takes runs of them."""
+    return (F.length("few") - F.length(F.regexp_replace("few", pattern, ""))).cast("long")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -54,6 +54,8 @@ def _measured(rows: DataFrame) -> DataFrame:
     """The base counts that need no other document, but for the repeated words."""
     lines = F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(BREAK_CHARS)) != "")
     rows = rows.select("*", lines.alias("lines"), F.length("text").cast("long").alias("n_chars"))
+    # No counted class has a-z, most of a text; without them five patterns have little left to look at.
+    rows = rows.withColumn("few", F.regexp_replace("text", "[a-z]+", ""))
     rows = rows.withColumns(
         {
             "n_words": F.size("words").cast("long"),
@@ -67,7 +69,7 @@ def _measured(rows: DataFrame) -> DataFrame:
     )
     counted = [F.col(c) for c in CLASSES[:-1]]
     rest = F.col("n_chars") - sum(counted[1:], counted[0])
-    return rows.withColumns({"word_chars": F.col("n_chars") - F.col("n_breaks"), "n_rest": rest}).drop("lines")
+    return rows.withColumns({"word_chars": F.col("n_chars") - F.col("n_breaks"), "n_rest": rest}).drop("lines", "few")
 
 
 def with_repeats(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
+import unicodedata
 import re
 import zlib
 
@@ -200,6 +201,21 @@ def test_divergence_counts(docs, empty):
     assert divergence.judge(empty).count() == 0
 
 
+def test_divergence_classes(spark):
+    prepare(spark)
+    text = "Ab\u00c9\u00e9 \U0001d400\U0001d41a 12\u0663,\t<x>\x0b(y)[z]{-}_/\\\\'\"!?\n\u00a0#*$%&| \u01c5"
+    kinds = {
+        "n_symbols": lambda c: c in divergence.SYMBOLS, "n_breaks": lambda c: c in divergence.BREAK_CHARS,
+        "n_capitals": lambda c: unicodedata.category(c) == "Lu", "n_digits": lambda c: c in "0123456789",
+        "n_marks": lambda c: c in ".,;:!?'\"()[]{}-_/\\",
+    }
+    docs = spark.createDataFrame([(1, text, "en"), (2, None, "en"), (3, "abc", "en")], "doc_id long, text string, lang string")
+    for row in divergence._measured(divergence._rows(docs)).collect():
+        want = {name: sum(map(kind, row.text)) for name, kind in kinds.items()}
+        assert {name: row[name] for name in kinds} == want and row.n_rest == len(row.text) - sum(want.values())
+        assert row.word_chars == len(row.text) - want["n_breaks"]
+
+
 def test_rare_languages_have_references_of_their_own(spark):
     prepare(spark)
     rng = random.Random(6)
