@@ -5,8 +5,8 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
-import unicodedata
 import re
+import unicodedata
 import zlib
 
 import numpy as np
