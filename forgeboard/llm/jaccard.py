@@ -56,6 +56,8 @@ SMALL = 32
 RARE = 1000
 #: Leading bits of a node that the bitmap of wanted nodes tells apart (8 MB).
 MARK_BITS = 26
+#: Sets that are sent to every executor at most.
+SENT_SETS = 200_000
 #: Rounds in which a signature's components are compared by one member each only.
 STARS = 2
 #: Roles of a signature.
@@ -231,15 +233,16 @@ def _signed(nodes: np.ndarray, own: list[np.ndarray], bands: Bands, percent: int
             )
 
 
-def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``sig, node, n, role`` of all sets; of equal sets in a batch one stands for all."""
+def signatures(texts: DataFrame, marks: np.ndarray, width: int, percent: int) -> DataFrame:
+    """``sig, node, n, role`` of the sets of all rows ``lot, text`` whose lot is marked; of equal sets in a batch one stands for all."""
+    sent = texts.sparkSession.sparkContext.broadcast(marks)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
             kept: dict[int, np.ndarray] = {}
-            for i, own in sets_of(batch["text"], width):
-                if len(own) and batch["row"][i].is_valid:
+            for _, own in sets_of(batch["text"].filter(_held(sent.value, batch["lot"])), width):
+                if len(own):
                     kept.setdefault(_key(own), own)
             if not kept:
                 continue
@@ -250,7 +253,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 low, high = np.searchsorted(piece, [at, at + 1])
                 yield from _signed(every[low:high], own_sets[low:high], bands, percent)
 
-    return docs.mapInArrow(sign, SIGNATURES)
+    return texts.select("lot", "text").mapInArrow(sign, SIGNATURES)
 
 
 # -- candidates ------------------------------------------------------------
@@ -334,15 +337,19 @@ def _marks(nodes: DataFrame) -> np.ndarray:
     return marks
 
 
+def _held(marks: np.ndarray, nodes: pa.Array) -> pa.Array:
+    """Which of ``nodes`` are marked."""
+    lead = nodes.to_numpy().view(np.uint64) >> np.uint64(64 - MARK_BITS)
+    return pa.array(marks[lead >> np.uint64(6)] >> (lead & np.uint64(63)) & np.uint64(1) == 1)
+
+
 def _marked(texts: DataFrame, marks: np.ndarray) -> DataFrame:
     """The rows of ``texts`` whose node is marked."""
     sent = texts.sparkSession.sparkContext.broadcast(marks)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = sent.value
         for batch in batches:
-            lead = batch["node"].to_numpy().view(np.uint64) >> np.uint64(64 - MARK_BITS)
-            yield batch.filter(pa.array(marks[lead >> np.uint64(6)] >> (lead & np.uint64(63)) & np.uint64(1) == 1))
+            yield batch.filter(_held(sent.value, batch["node"]))
 
     return texts.mapInArrow(look, "node long, text string")
 
@@ -478,14 +485,16 @@ def compared(rows: DataFrame, sketches: DataFrame, percent: int, nearest: bool =
     return met.mapInArrow(compare, "a long, b long")
 
 
-def _rarest(crowd: DataFrame, width: int, percent: int) -> DataFrame:
+def _rarest(crowd: DataFrame, texts: DataFrame, width: int, percent: int, stage: Stage) -> DataFrame:
     """``key, node, n, comp`` for the rarest shingles of every set of ``crowd``.
 
     A linked set has ``percent`` of a set's shingles at least, so it has one
     of the first n - ceil(n x percent / 100) + 1 in any order that both use;
     here those come first that few sets hold. The common ones, less than
-    ``RARE`` times the mean size of a set, go to the tasks as an array.
+    ``RARE`` times the mean size of a set, go to the tasks as an array. Texts
+    are picked out where they are; only the rarest shingles meet ``crowd``.
     """
+    met = stage("crowd-texts", _marked(texts, _marks(crowd)))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -493,28 +502,22 @@ def _rarest(crowd: DataFrame, width: int, percent: int) -> DataFrame:
                 yield pa.record_batch([pa.array(own.view(np.int64))], names=["key"])
 
     n = crowd.count()
-    counts = crowd.select("text").mapInArrow(tokens, "key long").groupBy("key").agg(F.count("*").alias("held"))
+    counts = met.select("text").mapInArrow(tokens, "key long").groupBy("key").agg(F.count("*").alias("held"))
     often = counts.filter(F.col("held") > max(4, n // RARE)).select("key").collect() if n else []
     common = np.sort(np.array([r["key"] for r in often], np.int64).view(np.uint64))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows = [], []
-            for i, own in sets_of(batch["text"], width):
+            keys = []
+            for _, own in sets_of(batch["text"], width):
                 need = len(own) - -(-len(own) * percent // 100) + 1
                 at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
                 known = common[at] == own if len(common) else np.zeros(len(own), bool)
                 keys.append(own[np.lexsort((own, known))[:need]].view(np.int64))
-                rows.append(np.full(len(keys[-1]), i))
-            if not rows:
-                continue
-            of = pa.array(np.concatenate(rows))
-            yield pa.record_batch(
-                [pa.array(np.concatenate(keys)), *(batch[c].take(of) for c in ("node", "n", "comp"))],
-                names=["key", "node", "n", "comp"],
-            )
+            yield pa.record_batch([batch["node"], pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
 
-    return crowd.select("node", "n", "comp", "text").mapInArrow(first, "key long, node long, n long, comp long")
+    rarest = met.mapInArrow(first, "node long, keys array<long>")
+    return rarest.join(crowd, "node").select(F.explode("keys").alias("key"), "node", "n", "comp")
 
 
 def components(links: DataFrame, stage: Stage, name: str) -> DataFrame:
@@ -563,41 +566,42 @@ def links(narrow: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Da
     sets = stage("sets", narrow.mapInArrow(size_up, SETS))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = stage("shared", _shared(signatures(narrow, width, percent), max(least, -(-total // 2_000_000))))
-
-    # One text for each set that has a candidate.
+    # One row speaks for each set. Rows are told apart by a bitmap of hashes of
+    # ``row``, so a few copies may be looked at besides, but no text moves.
+    speaker = stage("speaker", sets.filter("node IS NOT NULL AND row IS NOT NULL").groupBy("node").agg(F.min("row").alias("row")))
+    lots = narrow.filter("row IS NOT NULL").select(F.xxhash64("row").alias("lot"), "text")
+    marks_of = lambda rows: _marks(rows.select(F.xxhash64("row").alias("node")))
+    signed = signatures(lots, marks_of(speaker), width, percent)
+    shared = stage("shared", _shared(signed, max(least, -(-total // 2_000_000))))
+
+    # One text for each set that has a candidate, its size and parities.
     active = shared.select("node").union(shared.select("first")).distinct()
-    held = sets.filter("node IS NOT NULL AND row IS NOT NULL").groupBy("node", "row").agg(F.count("*").alias("held"))
-    speaker = held.groupBy("node").agg(F.min(F.struct("row", "held")).alias("first")).select("node", "first.*")
-    wanted = stage("wanted", speaker.join(active, "node"))
+    sent = spark.sparkContext.broadcast(marks_of(speaker.join(active, "node")))
 
-    def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows that share ``row`` may have different sets; each speaks for its own alone.
         for batch in batches:
-            node = batch["node"].to_numpy()
-            keep = [len(s) > 0 and _key(s) == node[i] for i, s in sets_of(batch["text"], width)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    # Only rows that repeat have to meet for one of them to speak; the others stay where they are read.
-    speaks = lambda which: narrow.join(wanted.filter(which), "row").select("node", "text").mapInArrow(
-        own_words, "node long, text string"
-    )
-    texts = speaks("held = 1")
-    if not wanted.filter("held > 1").isEmpty():
-        texts = texts.union(speaks("held > 1").dropDuplicates(["node"]))
-    texts = stage("texts", texts)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [(len(s), parities(s), parities(s, SKETCH)) for _, s in sets_of(batch["text"], width)]
-            n, bits, sketch = zip(*own) if own else ((), (), ())
-            yield pa.record_batch(
-                [batch["node"], pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(sketch, pa.binary())],
-                names=["node", "n", "bits", "sketch"],
-            )
-
-    folded = stage("bits", texts.mapInArrow(fold, "node long, n long, bits binary, sketch binary"))
-    bits, sketches = folded.select("node", "n", "bits"), folded.select("node", "sketch")
+            texts = batch["text"].filter(_held(sent.value, batch["lot"]))
+            own = [(i, _key(s), len(s), parities(s), parities(s, SKETCH)) for i, s in sets_of(texts, width) if len(s)]
+            if own:
+                at, node, n, bits, sketch = zip(*own)
+                yield pa.record_batch(
+                    [pa.array(node, pa.int64()), texts.take(pa.array(at)), pa.array(n, pa.int64()),
+                     pa.array(bits, pa.binary()), pa.array(sketch, pa.binary())],
+                    names=["node", "text", "n", "bits", "sketch"],
+                )
+
+    spoken = stage("spoken", lots.mapInArrow(speak, "node long, text string, n long, bits binary, sketch binary"))
+    # Only sets that several rows speak for have to meet for one of them to stay.
+    again = stage("again", spoken.groupBy("node").agg(F.count("*").alias("held")).filter("held > 1").select("node"))
+    n_again, texts = again.count(), spoken
+    if n_again > min(SENT_SETS, spoken.count() // 10):
+        texts = stage("texts", spoken.join(again, "node", "left_anti").union(spoken.join(again, "node").dropDuplicates(["node"])))
+    elif n_again:
+        few = F.broadcast(again)
+        one = stage("one-of-few", spoken.join(few, "node").dropDuplicates(["node"]))
+        texts = spoken.join(few, "node", "left_anti").union(one)
+    bits, sketches, texts = texts.select("node", "n", "bits"), texts.select("node", "sketch"), texts.select("node", "text")
 
     # A pair is a candidate only where one of the two probes; most crowded
     # signatures, such as empty segments, are only in the index.
@@ -629,7 +633,7 @@ def links(narrow: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Da
     for step in range(2, STARS + 1):
         # One member speaks for each component of a signature, and one of them meets the others.
         one = F.struct((~probing("role")).alias("silent"), F.xxhash64("node", F.lit(step)).alias("lot"), "node", "n")
-        speakers = labelled_now(step).groupBy("sig", "comp").agg(F.min(one).alias("own"))
+        speakers = stage(f"speakers-{step}", labelled_now(step).groupBy("sig", "comp").agg(F.min(one).alias("own")))
         hubs = (
             speakers.groupBy("sig")
             .agg(F.min(F.struct("own", "comp")).alias("hub"), F.count("*").alias("held"))
@@ -661,7 +665,7 @@ def links(narrow: DataFrame, stage: Stage, width: int, percent: int) -> tuple[Da
     large = open_rows.groupBy("sig").agg(F.count("*").alias("size")).filter(F.col("size") > SMALL).select("sig")
     few = open_rows.join(large, "sig", "left_anti").withColumnRenamed("sig", "key")
     crowd = stage("crowd", open_rows.join(large, "sig", "left_semi").select("node", "n", "comp").distinct())
-    rare = _rarest(crowd.join(texts, "node"), width, percent).withColumn("role", F.lit(INDEX | PROBE))
+    rare = _rarest(crowd, texts, width, percent, stage).withColumn("role", F.lit(INDEX | PROBE))
     columns = ["key", "node", "n", "role", "comp"]
     shares = stage("rare", few.select(columns).union(rare.select(columns)))
     # Every component's nearest first; what they join need not be compared in full.

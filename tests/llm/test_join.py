@@ -115,3 +115,27 @@ def test_texts_move_only_for_pairs_that_may_be_linked(spark, tmp_path):
         wanted = {n for r in rows[f"possible-{name}"].collect() for n in r}
         assert wanted and {r.node for r in rows[f"met-{name}"].collect()} == wanted
     assert rows["met-links-star-2"].count() < rows["texts"].count()
+
+
+def test_a_set_is_signed_and_moved_once(spark, tmp_path):
+    prepare(spark)
+    plain, rows, plans = stage_in(str(tmp_path)), {}, {}
+
+    def stage(name, df, *by):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        rows[name] = plain(name, df, *by)
+        return rows[name]
+
+    texts = hot_texts()
+    # Copies, of which none is signed, and two rows of an id that are the same.
+    docs = [(i, t, i) for i, t in enumerate([*texts, *texts])] + [(0, texts[0], 0)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, row long").repartition(5)
+    jaccard.links(docs, stage, 4, 85)
+    assert "Join" not in plans["spoken"]  # texts are picked out where they are read
+    assert rows["speaker"].count() == len(set(texts)) and rows["again"].count() == 1
+    assert rows["spoken"].count() == rows["spoken"].select("node").distinct().count() + 1
+    marks = jaccard._marks(rows["speaker"].selectExpr("xxhash64(row) AS node"))
+    signed = lambda docs: jaccard.signatures(docs.selectExpr("xxhash64(row) AS lot", "text").coalesce(1), marks, 4, 85)
+    assert signed(docs.filter(f"row >= {len(texts)}")).isEmpty()
+    assert signed(docs).count() == signed(docs.filter(f"row < {len(texts)}")).count() > 0
+    assert rows["crowd-texts"].select("node").distinct().count() == rows["crowd"].select("node").distinct().count()
