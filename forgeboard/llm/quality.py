@@ -334,6 +334,9 @@ def keep_good(
     def log_odds(texts: pa.Array) -> pa.Array:
         return pa.array(model.log_odds(shape(texts)))
 
+    # Else the condition below is also pushed under the join, where every text
+    # is measured a second time by a second worker for each task.
+    log_odds = log_odds.asNondeterministic()
     # Columns of the input go under numbers meanwhile, so that none clashes.
     columns = docs.columns
     at = {c: f"c{columns.index(c)}" for c in (host, path, "text")}

@@ -126,3 +126,12 @@ def test_stages(spark, folder):
     whole = corpus_pipeline.run(spark, folder).collect()
     key = lambda r: (str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, whole)) == sorted(map(key, packed))
+
+
+def test_each_text_is_measured_once_for_its_quality(spark):
+    prepare(spark)
+    rows = [(i, f"Some words of text {i}, plain ones.", "en", f"s{i % 3}", 30) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    plan = quality.keep_good(docs, labels)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
