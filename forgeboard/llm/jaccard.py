@@ -486,13 +486,16 @@ def compared(rows: DataFrame, sketches: DataFrame, percent: int, nearest: bool =
 
 
 def _rarest(crowd: DataFrame, texts: DataFrame, width: int, percent: int, stage: Stage) -> DataFrame:
-    """``key, node, n, comp`` for the rarest shingles of every set of ``crowd``.
+    """``key, node, n, comp`` for those of the rarest shingles of every set of ``crowd`` that another set may hold.
 
     A linked set has ``percent`` of a set's shingles at least, so it has one
-    of the first n - ceil(n x percent / 100) + 1 in any order that both use;
-    here those come first that few sets hold. The common ones, less than
-    ``RARE`` times the mean size of a set, go to the tasks as an array. Texts
-    are picked out where they are; only the rarest shingles meet ``crowd``.
+    of the first n - ceil(n x percent / 100) + 1 in any order that both use.
+    Here those come first that no other set holds: they meet nothing and go
+    no further, so a set of enough of them leaves no row. A bitmap of fixed
+    size knows the others, but for a few more of the same leading bits. The
+    common ones, less than ``RARE`` times the mean size of a set, come last
+    and go to the tasks as an array. Texts are picked out where they are; only
+    the rarest shingles meet ``crowd``.
     """
     met = stage("crowd-texts", _marked(texts, _marks(crowd)))
 
@@ -503,8 +506,10 @@ def _rarest(crowd: DataFrame, texts: DataFrame, width: int, percent: int, stage:
 
     n = crowd.count()
     counts = met.select("text").mapInArrow(tokens, "key long").groupBy("key").agg(F.count("*").alias("held"))
-    often = counts.filter(F.col("held") > max(4, n // RARE)).select("key").collect() if n else []
+    several = stage("crowd-shared", counts.filter("held > 1"))
+    often = several.filter(F.col("held") > max(4, n // RARE)).select("key").collect() if n else []
     common = np.sort(np.array([r["key"] for r in often], np.int64).view(np.uint64))
+    sent = crowd.sparkSession.sparkContext.broadcast(_marks(several.select(F.col("key").alias("node"))))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -513,7 +518,9 @@ def _rarest(crowd: DataFrame, texts: DataFrame, width: int, percent: int, stage:
                 need = len(own) - -(-len(own) * percent // 100) + 1
                 at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
                 known = common[at] == own if len(common) else np.zeros(len(own), bool)
-                keys.append(own[np.lexsort((own, known))[:need]].view(np.int64))
+                shared = _held(sent.value, pa.array(own.view(np.int64))).to_numpy(zero_copy_only=False)
+                rarest = np.lexsort((own, known, shared))[:need]
+                keys.append(own[rarest[shared[rarest]]].view(np.int64))
             yield pa.record_batch([batch["node"], pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
 
     rarest = met.mapInArrow(first, "node long, keys array<long>")

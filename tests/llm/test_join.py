@@ -139,3 +139,27 @@ def test_a_set_is_signed_and_moved_once(spark, tmp_path):
     assert signed(docs.filter(f"row >= {len(texts)}")).isEmpty()
     assert signed(docs).count() == signed(docs.filter(f"row < {len(texts)}")).count() > 0
     assert rows["crowd-texts"].select("node").distinct().count() == rows["crowd"].select("node").distinct().count()
+
+
+def test_shingles_that_no_other_set_holds_leave_no_row(spark, tmp_path):
+    prepare(spark)
+    texts = hot_texts()
+    rng = random.Random(8)
+    lone = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(50)) for _ in range(100)]
+    every = spark.createDataFrame(list(enumerate([*texts, *lone])), "node long, text string")
+    # Nodes are hashes in earnest, and their leading bits tell them apart.
+    every = every.selectExpr("node AS at", "xxhash64(node) AS node", "text")
+    crowd = every.selectExpr("node", "cast(size(split(text, ' ')) - 3 as long) AS n", "at AS comp")
+    rare = jaccard._rarest(crowd, every.select("node", "text"), 4, 85, stage_in(str(tmp_path))).collect()
+    assert {r.comp for r in rare} and max(r.comp for r in rare) < len(texts)
+    keys = {}
+    for r in rare:
+        keys.setdefault(r.comp, set()).add(r.key)
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts)]
+    linked = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[a] & sets[b])
+        if 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+            linked += 1
+            assert keys.get(a, set()) & keys.get(b, set())
+    assert linked > 100
