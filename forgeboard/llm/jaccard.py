@@ -25,7 +25,7 @@ rarest (linked sets must, by the overlap they need).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -339,7 +339,8 @@ def _marks(nodes: DataFrame) -> np.ndarray:
 
 def _held(marks: np.ndarray, nodes: pa.Array) -> pa.Array:
     """Which of ``nodes`` are marked."""
-    lead = nodes.to_numpy().view(np.uint64) >> np.uint64(64 - MARK_BITS)
+    bits = len(marks).bit_length() + 5  # 64 to a cell
+    lead = nodes.to_numpy().view(np.uint64) >> np.uint64(64 - bits)
     return pa.array(marks[lead >> np.uint64(6)] >> (lead & np.uint64(63)) & np.uint64(1) == 1)
 
 
@@ -724,6 +725,41 @@ def _row_key(plain: DataFrame) -> Column:
     return F.xxhash64(*usable, *[F.col(c).isNull() for c in kinds])
 
 
+def _rows_of(keyed: DataFrame, every: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose ``row`` is in ``kept``, one of each where that was ``held`` more than once.
+
+    ``every`` lists what ``row`` can be. A bitmap of what is kept tells in the
+    scan, and a second one of what it is wrong about or what repeats; only
+    rows in the second meet ``kept``, so hardly a text moves.
+    """
+    spark = keyed.sparkSession
+    once, repeated = kept.filter("held = 1").select("row"), kept.filter("held > 1").select("row")
+    again = F.xxhash64("row")  # other leading bits than those of ``row``
+
+    def marked(nodes: DataFrame) -> tuple[bool, Callable[..., Column]]:
+        marks = _marks(nodes.toDF("node"))
+        sent = spark.sparkContext.broadcast(marks)
+
+        @F.arrow_udf("boolean")
+        def held(rows: pa.Array) -> pa.Array:
+            return _held(sent.value, rows)
+
+        return bool(marks.any()), held
+
+    _, wanted = marked(once)
+    wrong = every.join(once, "row", "left_anti").filter(wanted("row"))
+    any_doubt, doubtful = marked(wrong.union(repeated).select(again))
+    if not any_doubt:
+        return keyed.filter(wanted("row"))
+    sure = keyed.filter(wanted("row") & ~doubtful(again))
+    chosen = sure.union(keyed.filter(doubtful(again)).join(once, "row", "left_semi").select(sure.columns))
+    if not repeated.isEmpty():
+        chosen = chosen.union(
+            keyed.filter(doubtful(again)).join(repeated, "row", "left_semi").dropDuplicates(["row"]).select(sure.columns)
+        )
+    return chosen
+
+
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of ``docs``, all columns, for each component: that of the smallest id.
 
@@ -753,8 +789,5 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         .select("first.row", "first.held")
         .union(alike.filter("node IS NULL AND doc_id IS NULL").select("row", F.lit(1).cast("long"))),
     )
-    chosen = keyed.join(kept.filter("held = 1").select("row"), "row", "left_semi")
-    repeated = kept.filter("held > 1").select("row")
-    if not repeated.isEmpty():
-        chosen = chosen.union(keyed.join(repeated, "row", "left_semi").dropDuplicates(["row"]).select(chosen.columns))
+    chosen = _rows_of(keyed, alike.select("row"), kept)
     return chosen.drop("row").toDF(*docs.columns)

@@ -163,3 +163,30 @@ def test_shingles_that_no_other_set_holds_leave_no_row(spark, tmp_path):
             linked += 1
             assert keys.get(a, set()) & keys.get(b, set())
     assert linked > 100
+
+
+def test_kept_texts_are_picked_out_where_they_are(spark):
+    prepare(spark)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string").repartition(3)
+    kept = jaccard.one_of_each(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+
+
+@pytest.mark.parametrize("bits", [6, 8, 12, 26])
+def test_rows_of_are_exact_however_full_the_bitmaps_are(spark, monkeypatch, bits):
+    prepare(spark)
+    monkeypatch.setattr(jaccard, "MARK_BITS", bits)
+    # Every third row goes; every seventh lies twice.
+    rows = [(i, str(i)) for i in range(200) for _ in range(1 + (i % 7 == 0))]
+    keyed = spark.createDataFrame(rows, "id long, text string").repartition(3).selectExpr("xxhash64(id) AS row", "id", "text")
+    every = keyed.select("row").distinct()
+    kept = keyed.filter("id % 3 > 0").groupBy("row").count().withColumnRenamed("count", "held")
+    want = [i for i in range(200) if i % 3]
+    assert sorted(r.id for r in jaccard._rows_of(keyed, every, kept).collect()) == want
+    twice = keyed.selectExpr("row", "1L AS held").filter("row IS NOT NULL").distinct().join(kept.select("row"), "row", "left_semi")
+    assert sorted(r.id for r in jaccard._rows_of(keyed, every, twice).collect()) == sorted(i for i, _ in rows if i % 3)
+    assert jaccard._rows_of(keyed, every, kept.filter("held > 5")).count() == 0
