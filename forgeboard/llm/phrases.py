@@ -9,13 +9,14 @@ frequent shorter phrases overlap:
    numbers of so many bits, and counted. What a task hands on are its numbers
    in order, as gaps, packed by block of numbers; a block's are added up.
 2. The pairs with the support are the candidates. They go into double-array
-   tries of a bounded size, broadcast one after the other.
-3. All places of an array walk a trie together, level by level; the places
-   where a phrase is accepted are counted by number, and the counts of all
-   tasks added.
-
-The bounds are on what travels at once (words and candidates in a broadcast);
-more of them mean further tries and further steps, not fewer rows.
+   tries of a bounded size, each of a range of first words, and are broadcast.
+3. All places of an array walk the trie of their first word together, level by
+   level; the places where a phrase is accepted are counted by number, and the
+   counts of all tasks added.
+
+The bounds are on what a task holds at once (words and candidates in a
+broadcast); more of them mean further tries, which a task reads one after the
+other for the texts it holds, not fewer rows and no further Python workers.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +36,14 @@ from forgeboard.llm.text import BLOCK_BYTES, all_alike, by_bytes, distinct, flat
 from forgeboard.llm.trie import DoubleArray, digits_for
 from forgeboard.session import Stage, shared_dir, stage_in
 
-#: Words whose numbers travel to the tasks together, and candidates in one trie.
+#: Words whose numbers a task holds at once, and candidates in one trie.
 WORDS_TOGETHER, TRIE_PHRASES = 2_000_000, 250_000
-#: Words or places of a task that are added up together.
+#: Ranges of first words that the candidates are counted by.
+FIRST_RANGES = 4096
+#: Words or places of a task that are added up, or looked up, together.
 HELD_TOGETHER = 1 << 21
-#: Leading bits of a pair's number that tell its block, and counts in a block of phrases.
-BLOCK_BITS, COUNT_BLOCK = 12, 4096
+#: Leading bits of a pair's number that tell its block, counts in a block of phrases, and counts a task holds at once.
+BLOCK_BITS, COUNT_BLOCK, COUNTS_TOGETHER = 12, 4096, 1 << 22
 #: An odd number that spreads what it multiplies, and what undoes it.
 SPREAD = 0x9E3779B97F4A7C15
 UNSPREAD = pow(SPREAD, -1, 1 << 64)
@@ -141,6 +145,14 @@ def _place_in(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(known[at] == keys, at, -1)
 
 
+def _once(shared: Broadcast):
+    """What was broadcast, read anew: unlike its ``value`` it goes when the caller lets go of it."""
+    value = shared.value
+    if getattr(shared, "_path", None):  # else it came by a socket and cannot be read again
+        del shared._value
+    return value
+
+
 def _summed(parts: list[np.ndarray], names: tuple[str, str]) -> pa.RecordBatch:
     values, held = np.unique(np.concatenate(parts), return_counts=True)
     return pa.record_batch([pa.array(values), pa.array(held)], names=list(names))
@@ -200,22 +212,35 @@ def unpack(column: pa.Array, i: int, n: int, dtype=np.int32) -> np.ndarray:
     return np.frombuffer(pa.decompress(column[i].as_buffer(), n * np.dtype(dtype).itemsize, "zstd"), dtype)
 
 
-def _numbered(texts: DataFrame, keys: list[np.ndarray], seed: int) -> DataFrame:
+def _numbered(texts: DataFrame, shards: list[tuple[Broadcast, int]], seed: int) -> DataFrame:
     """Texts as packed arrays of word numbers, -1 for a rare word and where phrases end.
 
     Rows that have no such array name the words of the keys, once a task.
-    ``keys`` are sorted shards; numbers go on from shard to shard.
+    ``shards`` are sorted keys and the number of the first. A task keeps the
+    shard whose words it names; the others it reads one after the other, for
+    as many texts as are held together.
     """
-    spark = texts.sparkSession
 
-    def numbers(known: np.ndarray, first: int, stream: np.ndarray, words: np.ndarray) -> np.ndarray:
-        at = _place_in(known, stream)
-        return np.where(at >= 0, first + at, words).astype(np.int32)
+    def number(known: np.ndarray, first: int, stream: np.ndarray, words: np.ndarray) -> None:
+        left = np.flatnonzero((words < 0) & (stream != 0))
+        at = _place_in(known, stream[left])
+        words[left[at >= 0]] = first + at[at >= 0]
 
-    def spell(shard):
+    def spell(own: tuple[Broadcast, int], others: list[tuple[Broadcast, int]] | None):
         def rows(batches: Batches) -> Batches:
-            known = shard.value
+            known, first = own[0].value, own[1]
             names = Names(known, seed)
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def numbered() -> Batches:
+                for shard, start in others:
+                    keys = _once(shard)
+                    for stream, words in held:
+                        number(keys, start, stream, words)
+                for _, words in held:
+                    yield _text_row(words)
+                held.clear()
+
             for batch in batches:
                 fresh: list[tuple[int, str, str]] = []
 
@@ -223,51 +248,41 @@ def _numbered(texts: DataFrame, keys: list[np.ndarray], seed: int) -> DataFrame:
                     fresh.extend(names.fresh(words, langs))
 
                 for stream in streams(batch, seed, look):
+                    if others is None:  # the texts are numbered elsewhere
+                        continue
                     stream = stream.view(np.int64)
-                    words = numbers(known, 0, stream, np.full(len(stream), -1, np.int32))
-                    yield _text_row(len(stream), stream, words)
+                    words = np.full(len(stream), -1, np.int32)
+                    number(known, first, stream, words)
+                    held.append((stream if others else stream[:0], words))
+                    if not others or sum(len(words) for _, words in held) > HELD_TOGETHER:
+                        yield from numbered()
                 yield pa.record_batch(
                     [
-                        pa.nulls(len(fresh), pa.int64()), pa.nulls(len(fresh), pa.binary()), pa.nulls(len(fresh), pa.binary()),
+                        pa.nulls(len(fresh), pa.int64()), pa.nulls(len(fresh), pa.binary()),
                         pa.array([k for k, _, _ in fresh], pa.int64()), pa.array([g for _, g, _ in fresh], pa.string()),
                         pa.array([w for _, _, w in fresh], pa.string()),
                     ],
                     names=TEXT_NAMES,
                 )
+            if held:
+                yield from numbered()
 
         return rows
 
-    def more(shard, first: int):
-        def rows(batches: Batches) -> Batches:
-            known = shard.value
-            for batch in batches:
-                yield batch.filter(batch["n"].is_null())
-                for i, n in enumerate(batch["n"].to_pylist()):
-                    if n is not None:
-                        stream = unpack(batch["stream"], i, n, np.int64)
-                        yield _text_row(n, stream, numbers(known, first, stream, unpack(batch["words"], i, n)))
-
-        return rows
-
-    found = texts.mapInArrow(spell(spark.sparkContext.broadcast(keys[0])), TEXT_ROWS)
-    for k, shard in enumerate(keys[1:], 1):
-        # The words of further shards are named in a step of their own, the texts numbered in another.
-        naming = texts.mapInArrow(spell(spark.sparkContext.broadcast(shard)), TEXT_ROWS).filter("n IS NULL")
-        numbering = more(spark.sparkContext.broadcast(shard), sum(map(len, keys[:k])))
-        found = found.mapInArrow(numbering, TEXT_ROWS).union(naming)
+    found = texts.mapInArrow(spell(shards[0], shards[1:]), TEXT_ROWS)
+    for shard in shards[1:]:
+        # The words of further shards are named in tasks of their own.
+        found = found.union(texts.mapInArrow(spell(shard, None), TEXT_ROWS))
     return found
 
 
-TEXT_ROWS = "n long, stream binary, words binary, key long, lang string, word string"
+TEXT_ROWS = "n long, words binary, key long, lang string, word string"
 TEXT_NAMES = [field.split()[0] for field in TEXT_ROWS.split(", ")]
 
 
-def _text_row(n: int, stream: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+def _text_row(words: np.ndarray) -> pa.RecordBatch:
     none = (pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()))
-    return pa.record_batch(
-        [pa.array([n], pa.int64()), pa.array([pack(stream)], pa.binary()), pa.array([pack(words)], pa.binary()), *none],
-        names=TEXT_NAMES,
-    )
+    return pa.record_batch([pa.array([len(words)], pa.int64()), pa.array([pack(words)], pa.binary()), *none], names=TEXT_NAMES)
 
 
 def _words(texts: DataFrame, least: int, stage: Stage) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -284,11 +299,14 @@ def _words(texts: DataFrame, least: int, stage: Stage) -> tuple[DataFrame, DataF
         keys, numbers, first = [], [], 0
         for shard in range(shards):
             part = frequent.filter(F.pmod(F.col("key"), F.lit(shards)) == shard).select("key").toArrow()["key"].to_numpy()
-            keys.append(np.sort(part))
-            table = pa.table({"key": keys[-1], "number": np.arange(first, first + len(part), dtype=np.int32)})
+            part = np.sort(part)
+            keys.append((spark.sparkContext.broadcast(part), first))
+            table = pa.table({"key": part, "number": np.arange(first, first + len(part), dtype=np.int32)})
             numbers.append(stage(f"numbers-{seed}-{shard}", spark.createDataFrame(table)))
             first += len(part)
-        rows = stage(f"texts-{seed}", _numbered(texts, keys, seed).drop("stream"))
+        rows = stage(f"texts-{seed}", _numbered(texts, keys, seed))
+        for shard, _ in keys:
+            shard.destroy()
         named = stage(f"named-{seed}", rows.filter("n IS NULL").select("key", "lang", "word").distinct())
         if named.groupBy("key").count().filter("count > 1").isEmpty():
             break
@@ -401,58 +419,77 @@ def _candidates(heavy: DataFrame, bits: int) -> DataFrame:
 
 
 LEVEL = "n long, words binary, state binary"
+#: A broadcast double array, the least and the greatest first word in it, and the number of its first phrase.
+Trie = tuple[Broadcast, int, int, int]
 
 
-def _accepted(level: DataFrame, tries: list, width: int) -> DataFrame:
-    """The level with the number of the candidate that starts at each place, or -1, as state."""
+def _accepted(level: DataFrame, tries: list[Trie], width: int) -> DataFrame:
+    """The level with the number of the candidate that starts at each place, or -1, as state.
 
-    def walk(trie, first: int, last: bool):
-        def step(batches: Batches) -> Batches:
-            automaton = trie.value
-            for batch in batches:
-                for i, n in enumerate(batch["n"].to_pylist()):
-                    words, state = (unpack(batch[c], i, n) for c in ("words", "state"))
-                    found = unpack(batch["found"], i, n).copy() if first else np.full(n, -1, np.int32)
-                    at = _safe_places(words, state, width)
-                    at = at[found[at] < 0]
+    A task holds some texts and reads the tries one after the other for them.
+    """
+
+    def walk(batches: Batches) -> Batches:
+        texts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def rows() -> Batches:
+            for trie, low, high, first in tries:
+                automaton = _once(trie)
+                for _, words, places, starts, found in texts:
+                    at = places[np.searchsorted(starts, low) : np.searchsorted(starts, high, "right")]
                     number = automaton.walk(words, at)
                     found[at[number >= 0]] = first + number[number >= 0]
-                    columns = [batch["words"].slice(i, 1)]
-                    columns += [] if last else [batch["state"].slice(i, 1)]
-                    yield pa.record_batch(
-                        [pa.array([n], pa.int64()), *columns, pa.array([pack(found)], pa.binary())],
-                        names=["n", "words", "state"] if last else ["n", "words", "state", "found"],
-                    )
+                del automaton
+            for packed, words, _, _, found in texts:
+                yield pa.record_batch(
+                    [pa.array([len(words)], pa.int64()), packed, pa.array([pack(found)], pa.binary())],
+                    names=["n", "words", "state"],
+                )
+            texts.clear()
 
-        return step
+        for batch in batches:
+            for i, n in enumerate(batch["n"].to_pylist()):
+                words, state = (unpack(batch[c], i, n) for c in ("words", "state"))
+                at = _safe_places(words, state, width)
+                at = at[np.argsort(words[at], kind="stable")]  # by their first word, as the tries are
+                texts.append((batch["words"].slice(i, 1), words, at, words[at], np.full(n, -1, np.int32)))
+                if sum(len(words) for _, words, *_ in texts) > HELD_TOGETHER:
+                    yield from rows()
+        if texts:
+            yield from rows()
 
-    rows, first = level, 0
-    for k, (trie, size) in enumerate(tries):
-        last = k == len(tries) - 1
-        rows = rows.mapInArrow(walk(trie, first, last), LEVEL if last else f"{LEVEL}, found binary")
-        first += size
-    return rows
+    return level.mapInArrow(walk, LEVEL)
 
 
-def _counts(level: DataFrame, sizes: list[int]) -> DataFrame:
-    """``number, a``: how often each number of ``state`` occurs.
+def _counts(level: DataFrame, size: int) -> DataFrame:
+    """``number, a``: how often each number below ``size`` occurs in ``state``.
 
-    A task counts in one array for a trie; what it hands on are blocks of that
-    array, which are added up block by block.
+    A task counts so many numbers in one array; what it hands on are blocks of
+    that array, which are added up block by block.
     """
 
     def count(first: int, size: int):
         def bins(batches: Batches) -> Batches:
             held = np.zeros(-(-size // COUNT_BLOCK) * COUNT_BLOCK, np.int64)
+            parts: list[np.ndarray] = []
+
+            def add_up() -> None:
+                np.add(held, np.bincount(np.concatenate(parts), minlength=len(held)), out=held)
+                parts.clear()
+
             for batch in batches:
                 for i, n in enumerate(batch["n"].to_pylist()):
                     state = unpack(batch["state"], i, n) - first
-                    held += np.bincount(state[(state >= 0) & (state < size)], minlength=len(held))
+                    parts.append(state[(state >= 0) & (state < size)])
+                    if sum(map(len, parts)) > HELD_TOGETHER:
+                        add_up()
+            if parts:
+                add_up()
             blocks = held.reshape(-1, COUNT_BLOCK)
             some = np.flatnonzero(blocks.any(axis=1))
             start = first + some * COUNT_BLOCK
             yield pa.record_batch(
-                [pa.array(start), pa.array([pack(b) for b in blocks[some]], pa.binary())], names=["start", "held"]
+                [pa.array(start), pa.array([pack(blocks[k]) for k in some], pa.binary())], names=["start", "held"]
             )
 
         return bins
@@ -466,38 +503,65 @@ def _counts(level: DataFrame, sizes: list[int]) -> DataFrame:
             some = np.flatnonzero(held)
             yield pa.record_batch([pa.array(start + some), pa.array(held[some])], names=["number", "a"])
 
-    parts, first = [], 0
-    for size in sizes:
-        parts.append(level.select("n", "state").mapInArrow(count(first, size), "start long, held binary"))
-        first += size
+    narrow = level.select("n", "state")
+    parts = [
+        narrow.mapInArrow(count(first, min(COUNTS_TOGETHER, size - first)), "start long, held binary")
+        for first in range(0, max(1, size), COUNTS_TOGETHER)
+    ]
     every = parts[0]
     for more in parts[1:]:
         every = every.union(more)
     return every.repartition("start").mapInArrow(add, "number long, a long")
 
 
-def _tries(phrases: DataFrame, digits: int, stage: Stage, width: int) -> tuple[list, DataFrame]:
-    """Broadcast tries of all candidates, a bounded number in each, and ``number, words`` of them."""
-    spark = phrases.sparkSession
-    shards = max(1, -(-phrases.count() // TRIE_PHRASES))
-    tries, numbered, first = [], [], 0
-    for shard in range(shards):
-        part = phrases.filter(F.pmod(F.xxhash64("words"), F.lit(shards)) == shard).toArrow()["words"].combine_chunks()
-        rows = part.flatten().to_numpy().reshape(-1, width).astype(np.int64)
+def _ranges(phrases: DataFrame, words: int) -> list[tuple[int, int, int, int]]:
+    """First words from and to, part and parts: of which candidates each trie is.
+
+    Ranges of first words with few candidates share a trie; one with too many
+    for a trie is dealt out by hash.
+    """
+    step = max(1, -(-words // FIRST_RANGES))
+    counts = phrases.groupBy(F.expr(f"words[0] div {step}").alias("range")).count().collect()
+    ranges: list[tuple[int, int, int, int]] = []
+    room = 0
+    for own, count in sorted((r["range"], r["count"]) for r in counts):
+        low, high = own * step, (own + 1) * step - 1
+        parts = -(-count // TRIE_PHRASES)
+        if count <= room:
+            ranges[-1] = (ranges[-1][0], high, 0, 1)
+            room -= count
+        else:
+            ranges += [(low, high, part, parts) for part in range(parts)]
+            room = TRIE_PHRASES - count if parts == 1 else 0
+    return ranges or [(0, 0, 0, 1)]
+
+
+def _tries(phrases: DataFrame, words: int, stage: Stage, width: int) -> tuple[list[Trie], DataFrame, int]:
+    """Broadcast tries of all candidates, a bounded number in each, ``number, words`` of them, and how many they are.
+
+    ``words`` is how many word numbers there are.
+    """
+    spark, digits, head = phrases.sparkSession, digits_for(words), F.col("words")[0]
+    tries: list[Trie] = []
+    numbered, first = [], 0
+    for k, (low, high, part, parts) in enumerate(_ranges(phrases, words)):
+        own = phrases.filter(head.between(low, high) & (F.pmod(F.xxhash64("words"), F.lit(parts)) == part))
+        rows = own.toArrow()["words"].combine_chunks().flatten().to_numpy().reshape(-1, width).astype(np.int64)
         rows = rows[np.lexsort(rows.T[::-1])]
-        tries.append((spark.sparkContext.broadcast(DoubleArray(rows, digits)), len(rows)))
+        tries.append((spark.sparkContext.broadcast(DoubleArray(rows, digits)), low, high, first))
+        at = pa.array(np.arange(0, rows.size + 1, width, dtype=np.int32))
         table = pa.table(
             {
                 "number": np.arange(first, first + len(rows), dtype=np.int64),
-                "words": pa.array(list(rows.astype(np.int32)), pa.list_(pa.int32())),
+                "words": pa.ListArray.from_arrays(at, pa.array(rows.astype(np.int32).ravel())),
             }
         )
-        numbered.append(stage(f"candidates-{width}-{shard}", spark.createDataFrame(table)))
+        numbered.append(stage(f"candidates-{width}-{k}", spark.createDataFrame(table)))
         first += len(rows)
     every = numbered[0]
     for more in numbered[1:]:
         every = every.union(more)
-    return tries, every
+    return tries, every, first
 
 
 def frequent_phrases(texts: DataFrame, least: int, longest: int, stage: Stage) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -509,7 +573,6 @@ def frequent_phrases(texts: DataFrame, least: int, longest: int, stage: Stage) -
     every = vocabulary.select(F.array("number").alias("words"), "a")
     shorter = vocabulary.select(F.col("number").cast("long").alias("state"), F.array("number").alias("head"))
     level = rows.withColumn("state", F.col("words"))
-    digits = digits_for(size)
     states = size
     for width in range(2, longest + 1):
         bits = max(BLOCK_BITS, 2 * max(states, size).bit_length())
@@ -518,11 +581,11 @@ def frequent_phrases(texts: DataFrame, least: int, longest: int, stage: Stage) -
             f"phrases-{width}",
             _candidates(heavy, bits).join(shorter, "state").select(F.concat("head", F.array(F.col("after").cast("int"))).alias("words")),
         )
-        tries, numbered = _tries(phrases, digits, stage, width)
-        sizes = [n for _, n in tries]
-        states = sum(sizes)
+        tries, numbered, states = _tries(phrases, size, stage, width)
         level = stage(f"level-{width}", _accepted(level, tries, width))
-        counted = stage(f"counts-{width}", _counts(level, sizes))
+        for trie, *_ in tries:
+            trie.destroy()
+        counted = stage(f"counts-{width}", _counts(level, states))
         kept = stage(f"frequent-{width}", numbered.join(counted.filter(F.col("a") >= least), "number"))
         every = every.union(kept.select("words", "a"))
         shorter = kept.select(F.col("number").alias("state"), F.col("words").alias("head"))

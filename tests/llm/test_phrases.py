@@ -85,6 +85,66 @@ def test_many_small_tries_give_the_same(table, monkeypatch):
     assert result(phrases.collocations(docs, least=4, top=50)) == plain(rows, 4, top=50)
 
 
+def workers(plan):
+    """Python workers that a task of this plan holds at once."""
+    below = plan.children()
+    return ("MapInArrow" in plan.nodeName()) + max((workers(below.apply(i)) for i in range(below.size())), default=0)
+
+
+def test_more_tries_and_words_need_no_more_workers(table, monkeypatch):
+    rows, docs = table
+    for name, value in (("WORDS_TOGETHER", 40), ("TRIE_PHRASES", 8), ("HELD_TOGETHER", 300)):
+        monkeypatch.setattr(phrases, name, value)
+    real, held = phrases.stage_in, {}
+
+    def stage_in(folder):
+        def stage(name, df, *by):
+            held[name] = workers(df._jdf.queryExecution().optimizedPlan())
+            return real(folder)(name, df, *by)
+
+        return stage
+
+    monkeypatch.setattr(phrases, "stage_in", stage_in)
+    assert result(phrases.collocations(docs, least=4, top=50)) == plain(rows, 4, top=50)
+    assert {"numbers-0-1", "candidates-2-1", "candidates-3-1"} <= set(held)  # more than one of each
+    assert held["texts-0"] == held["level-2"] == held["level-3"] == 1
+
+
+def test_a_task_lets_go_of_what_it_read_once(spark):
+    prepare(spark)
+    shared = spark.sparkContext.broadcast(np.arange(9))
+
+    def read(batches):
+        for batch in batches:
+            total = int(phrases._once(shared).sum() + phrases._once(shared).sum())
+            yield pa.record_batch([pa.array([total]), pa.array([hasattr(shared, "_value")])], names=["total", "kept"])
+
+    assert [tuple(r) for r in spark.range(1).mapInArrow(read, "total long, kept boolean").collect()] == [(72, False)]
+
+
+def test_tries_share_out_first_words(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "TRIE_PHRASES", 60)
+    rng = np.random.default_rng(4)
+    words = np.unique(np.concatenate([rng.integers(0, 90, (300, 2)), [(7, i) for i in range(200)]]), axis=0)
+    rows = spark.createDataFrame([(w,) for w in words.tolist()], "words array<int>")
+    ranges = phrases._ranges(rows, 90)
+    assert sorted(part for low, high, part, parts in ranges if low <= 7 <= high) == list(range(4))
+    for low, high, part, parts in ranges:
+        here = int(((words[:, 0] >= low) & (words[:, 0] <= high)).sum())
+        assert -(-here // parts) <= 60
+    assert all(any(low <= w <= high for low, high, *_ in ranges) for w in words[:, 0])
+
+
+def test_counts_in_several_steps(spark, monkeypatch):
+    prepare(spark)
+    monkeypatch.setattr(phrases, "COUNTS_TOGETHER", 4096)
+    monkeypatch.setattr(phrases, "HELD_TOGETHER", 1000)
+    state = np.random.default_rng(5).integers(-1, 9000, 3000).astype(np.int32)
+    level = spark.createDataFrame([(len(state), phrases.pack(state))] * 2, "n long, state binary").repartition(2)
+    got = {r.number: r.a for r in phrases._counts(level, 9000).collect()}
+    assert got == {int(k): 2 * n for k, n in collections.Counter(state.tolist()).items() if k >= 0}
+
+
 def test_full_buckets_lose_nothing(table, monkeypatch):
     rows, docs = table
     real = phrases._heavy_buckets
