@@ -212,6 +212,39 @@ def unpack(column: pa.Array, i: int, n: int, dtype=np.int32) -> np.ndarray:
     return np.frombuffer(pa.decompress(column[i].as_buffer(), n * np.dtype(dtype).itemsize, "zstd"), dtype)
 
 
+def _number(known: np.ndarray, first: int, keys: np.ndarray, numbers: np.ndarray) -> None:
+    """Give a number to the keys known; what has one keeps it."""
+    left = np.flatnonzero((numbers < 0) & (keys != 0))
+    at = _place_in(known, keys[left])
+    numbers[left[at >= 0]] = first + at[at >= 0]
+
+
+def _numbers(frequent: DataFrame, shards: list[tuple[Broadcast, int]]) -> DataFrame:
+    """``key, number, a`` of the frequent words, numbered as in the shards of their keys."""
+
+    def look_up(batches: Batches) -> Batches:
+        parts: list[pa.RecordBatch] = []
+
+        def rows() -> pa.RecordBatch:
+            own = pa.Table.from_batches(parts).combine_chunks()
+            parts.clear()
+            keys = own["key"].to_numpy()
+            numbers = np.full(len(keys), -1, np.int32)
+            for shard, first in shards:
+                _number(_once(shard), first, keys, numbers)
+            held = own["held"].combine_chunks()
+            return pa.record_batch([pa.array(keys), pa.array(numbers), held], names=["key", "number", "a"])
+
+        for batch in batches:
+            parts.append(batch)
+            if sum(map(len, parts)) > HELD_TOGETHER:
+                yield rows()
+        if sum(map(len, parts)):
+            yield rows()
+
+    return frequent.mapInArrow(look_up, "key long, number int, a long")
+
+
 def _numbered(texts: DataFrame, shards: list[tuple[Broadcast, int]], seed: int) -> DataFrame:
     """Texts as packed arrays of word numbers, -1 for a rare word and where phrases end.
 
@@ -221,11 +254,6 @@ def _numbered(texts: DataFrame, shards: list[tuple[Broadcast, int]], seed: int)
     as many texts as are held together.
     """
 
-    def number(known: np.ndarray, first: int, stream: np.ndarray, words: np.ndarray) -> None:
-        left = np.flatnonzero((words < 0) & (stream != 0))
-        at = _place_in(known, stream[left])
-        words[left[at >= 0]] = first + at[at >= 0]
-
     def spell(own: tuple[Broadcast, int], others: list[tuple[Broadcast, int]] | None):
         def rows(batches: Batches) -> Batches:
             known, first = own[0].value, own[1]
@@ -236,7 +264,7 @@ def _numbered(texts: DataFrame, shards: list[tuple[Broadcast, int]], seed: int)
                 for shard, start in others:
                     keys = _once(shard)
                     for stream, words in held:
-                        number(keys, start, stream, words)
+                        _number(keys, start, stream, words)
                 for _, words in held:
                     yield _text_row(words)
                 held.clear()
@@ -252,7 +280,7 @@ def _numbered(texts: DataFrame, shards: list[tuple[Broadcast, int]], seed: int)
                         continue
                     stream = stream.view(np.int64)
                     words = np.full(len(stream), -1, np.int32)
-                    number(known, first, stream, words)
+                    _number(known, first, stream, words)
                     held.append((stream if others else stream[:0], words))
                     if not others or sum(len(words) for _, words in held) > HELD_TOGETHER:
                         yield from numbered()
@@ -296,14 +324,12 @@ def _words(texts: DataFrame, least: int, stage: Stage) -> tuple[DataFrame, DataF
         frequent = counts.filter((F.col("held") >= least) & F.col("key").isNotNull()).select("key", "held")
         size = frequent.count()
         shards = max(1, -(-size // WORDS_TOGETHER))
-        keys, numbers, first = [], [], 0
+        keys, first = [], 0
         for shard in range(shards):
             part = frequent.filter(F.pmod(F.col("key"), F.lit(shards)) == shard).select("key").toArrow()["key"].to_numpy()
-            part = np.sort(part)
-            keys.append((spark.sparkContext.broadcast(part), first))
-            table = pa.table({"key": part, "number": np.arange(first, first + len(part), dtype=np.int32)})
-            numbers.append(stage(f"numbers-{seed}-{shard}", spark.createDataFrame(table)))
+            keys.append((spark.sparkContext.broadcast(np.sort(part)), first))
             first += len(part)
+        numbers = stage(f"numbers-{seed}", _numbers(frequent, keys))
         rows = stage(f"texts-{seed}", _numbered(texts, keys, seed))
         for shard, _ in keys:
             shard.destroy()
@@ -311,10 +337,7 @@ def _words(texts: DataFrame, least: int, stage: Stage) -> tuple[DataFrame, DataF
         if named.groupBy("key").count().filter("count > 1").isEmpty():
             break
         seed += 1
-    every = numbers[0]
-    for part in numbers[1:]:
-        every = every.union(part)
-    vocabulary = stage("vocabulary", named.join(every, "key").join(frequent.withColumnRenamed("held", "a"), "key"))
+    vocabulary = stage("vocabulary", named.join(numbers, "key"))
     totals = counts.filter(F.col("key").isNull()).select("lang", F.col("held").alias("n"))
     return rows.filter("n IS NOT NULL").select("n", "words"), vocabulary, totals, size
 
@@ -423,6 +446,26 @@ LEVEL = "n long, words binary, state binary"
 Trie = tuple[Broadcast, int, int, int]
 
 
+#: Word numbers, places in them by their first word, the first words, and the number of the phrase at each place or -1.
+Walked = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _to_walk(words: np.ndarray, places: np.ndarray) -> Walked:
+    places = places[np.argsort(words[places], kind="stable")]
+    return words, places, words[places], np.full(len(words), -1, np.int32)
+
+
+def _walk(tries: list[Trie], texts: list[Walked]) -> None:
+    """Fill in what the tries, read one after the other, accept."""
+    for trie, low, high, first in tries:
+        automaton = _once(trie)
+        for words, places, starts, found in texts:
+            at = places[np.searchsorted(starts, low) : np.searchsorted(starts, high, "right")]
+            number = automaton.walk(words, at)
+            found[at[number >= 0]] = first + number[number >= 0]
+        del automaton
+
+
 def _accepted(level: DataFrame, tries: list[Trie], width: int) -> DataFrame:
     """The level with the number of the candidate that starts at each place, or -1, as state.
 
@@ -430,30 +473,25 @@ def _accepted(level: DataFrame, tries: list[Trie], width: int) -> DataFrame:
     """
 
     def walk(batches: Batches) -> Batches:
-        texts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        packed: list[pa.Array] = []
+        texts: list[Walked] = []
 
         def rows() -> Batches:
-            for trie, low, high, first in tries:
-                automaton = _once(trie)
-                for _, words, places, starts, found in texts:
-                    at = places[np.searchsorted(starts, low) : np.searchsorted(starts, high, "right")]
-                    number = automaton.walk(words, at)
-                    found[at[number >= 0]] = first + number[number >= 0]
-                del automaton
-            for packed, words, _, _, found in texts:
+            _walk(tries, texts)
+            for own, (words, _, _, found) in zip(packed, texts):
                 yield pa.record_batch(
-                    [pa.array([len(words)], pa.int64()), packed, pa.array([pack(found)], pa.binary())],
+                    [pa.array([len(words)], pa.int64()), own, pa.array([pack(found)], pa.binary())],
                     names=["n", "words", "state"],
                 )
+            packed.clear()
             texts.clear()
 
         for batch in batches:
             for i, n in enumerate(batch["n"].to_pylist()):
                 words, state = (unpack(batch[c], i, n) for c in ("words", "state"))
-                at = _safe_places(words, state, width)
-                at = at[np.argsort(words[at], kind="stable")]  # by their first word, as the tries are
-                texts.append((batch["words"].slice(i, 1), words, at, words[at], np.full(n, -1, np.int32)))
-                if sum(len(words) for _, words, *_ in texts) > HELD_TOGETHER:
+                packed.append(batch["words"].slice(i, 1))
+                texts.append(_to_walk(words, _safe_places(words, state, width)))
+                if sum(len(words) for words, *_ in texts) > HELD_TOGETHER:
                     yield from rows()
         if texts:
             yield from rows()
@@ -536,32 +574,46 @@ def _ranges(phrases: DataFrame, words: int) -> list[tuple[int, int, int, int]]:
     return ranges or [(0, 0, 0, 1)]
 
 
-def _tries(phrases: DataFrame, words: int, stage: Stage, width: int) -> tuple[list[Trie], DataFrame, int]:
-    """Broadcast tries of all candidates, a bounded number in each, ``number, words`` of them, and how many they are.
+def _tries(phrases: DataFrame, words: int, width: int) -> tuple[list[Trie], int]:
+    """Broadcast tries of all candidates, a bounded number in each, and how many they are.
 
     ``words`` is how many word numbers there are.
     """
     spark, digits, head = phrases.sparkSession, digits_for(words), F.col("words")[0]
     tries: list[Trie] = []
-    numbered, first = [], 0
-    for k, (low, high, part, parts) in enumerate(_ranges(phrases, words)):
+    first = 0
+    for low, high, part, parts in _ranges(phrases, words):
         own = phrases.filter(head.between(low, high) & (F.pmod(F.xxhash64("words"), F.lit(parts)) == part))
-        rows = own.toArrow()["words"].combine_chunks().flatten().to_numpy().reshape(-1, width).astype(np.int64)
+        rows = own.toArrow()["words"].combine_chunks().flatten().to_numpy().reshape(-1, width)
         rows = rows[np.lexsort(rows.T[::-1])]
         tries.append((spark.sparkContext.broadcast(DoubleArray(rows, digits)), low, high, first))
-        at = pa.array(np.arange(0, rows.size + 1, width, dtype=np.int32))
-        table = pa.table(
-            {
-                "number": np.arange(first, first + len(rows), dtype=np.int64),
-                "words": pa.ListArray.from_arrays(at, pa.array(rows.astype(np.int32).ravel())),
-            }
-        )
-        numbered.append(stage(f"candidates-{width}-{k}", spark.createDataFrame(table)))
         first += len(rows)
-    every = numbered[0]
-    for more in numbered[1:]:
-        every = every.union(more)
-    return tries, every, first
+    return tries, first
+
+
+def _numbered_phrases(phrases: DataFrame, tries: list[Trie], width: int) -> DataFrame:
+    """``number, words`` of the candidates, as the tries number them."""
+
+    def look_up(batches: Batches) -> Batches:
+        parts: list[np.ndarray] = []
+
+        def rows() -> pa.RecordBatch:
+            words = np.concatenate(parts)
+            parts.clear()
+            starts = np.arange(0, len(words), width)
+            own = _to_walk(words, starts)
+            _walk(tries, [own])
+            phrases = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, width, dtype=np.int32)), pa.array(words))
+            return pa.record_batch([pa.array(own[-1][starts].astype(np.int64)), phrases], names=["number", "words"])
+
+        for batch in batches:
+            parts.append(batch["words"].flatten().to_numpy())
+            if sum(map(len, parts)) > HELD_TOGETHER:
+                yield rows()
+        if sum(map(len, parts)):
+            yield rows()
+
+    return phrases.mapInArrow(look_up, "number long, words array<int>")
 
 
 def frequent_phrases(texts: DataFrame, least: int, longest: int, stage: Stage) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -581,7 +633,8 @@ def frequent_phrases(texts: DataFrame, least: int, longest: int, stage: Stage) -
             f"phrases-{width}",
             _candidates(heavy, bits).join(shorter, "state").select(F.concat("head", F.array(F.col("after").cast("int"))).alias("words")),
         )
-        tries, numbered, states = _tries(phrases, size, stage, width)
+        tries, states = _tries(phrases, size, width)
+        numbered = stage(f"candidates-{width}", _numbered_phrases(phrases, tries, width))
         level = stage(f"level-{width}", _accepted(level, tries, width))
         for trie, *_ in tries:
             trie.destroy()
